@@ -78,6 +78,11 @@ def _bind_rows(real: pd.Series, kind: pd.Series, used: pd.Series, barred: pd.Ser
     )
 
 
+# Declared non-deterministic only to keep the optimizer from copying the call into
+# the expressions that use its result; the function itself has no randomness.
+_bind_rows = _bind_rows.asNondeterministic()
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _try_rows(real: pd.Series, kind: pd.Series, barred: pd.Series) -> pd.Series:
     return pd.Series(
@@ -365,7 +370,7 @@ def _rounds(values: DataFrame, barred: DataFrame) -> DataFrame:
             F.min(order).alias("_best")
         ).join(barred, ["scope", "fake"], "left_anti")
         held = (F.col("_best") == order) & (F.col("fake") != F.col("real"))
-        judged = _salted_left_join(state, best, ["scope", "fake"])
+        judged = state.join(best, ["scope", "fake"], "left")
         judged = cut_lineage(
             judged.withColumn("held", F.coalesce(held, F.lit(False))).drop("_best"), "round"
         )
@@ -400,7 +405,7 @@ def _skip_ahead(
     )
     # j = POOL_TRIES has no candidate and is never gone: the value is done.
     free = F.when(~gone, F.struct("j", "fake"))
-    looked = _salted_left_join(tries, owners, ["scope", "fake"])
+    looked = tries.join(owners, ["scope", "fake"], "left")
     moved = looked.groupBy("scope", "real", "kind", "ord").agg(
         F.min(free).alias("_free"), F.max(F.struct("j", "fake")).alias("_end")
     )
