@@ -195,7 +195,8 @@ def card_luhn(spark, sf_dir):
     pattern = dict(fv.HARD_ID_RULES)["credit_card"]
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = F.transform(
-        F.regexp_extract_all("text", F.lit(fv.REGEX_FLAGS + pattern), F.lit(0)), F.trim
+        F.regexp_extract_all("text", F.lit(fv.REGEX_FLAGS + pattern), F.lit(0)),
+        lambda m: F.trim(m),
     )
     rows = explode_in_order(docs.select("doc_id", found.alias("c")), "c", "pos", "candidate")
     return rows.withColumn("luhn", luhn_valid(F.col("candidate")))
