@@ -438,7 +438,13 @@ ORACLES: dict[str, str] = {
     "csv_or_prose": f"""SELECT 'table' AS origin, bucket AS key,
         count(*) >= 2 AND count(*) FILTER (n_fields = 4) * 100 >= count(*) * 80 AS is_csv
       FROM ({CSV_TEXTS}) GROUP BY bucket
-      UNION ALL SELECT 'document', doc_id, false FROM documents""",
+      UNION ALL SELECT 'document', doc_id, len(ls) >= 3 AND contains(ls[1], ',') AND n[1] >= 3
+        AND len(list_filter(n[2:31], lambda x: x = n[1])) * 100 >= len(n[2:31]) * 80
+      FROM (SELECT *, list_transform(ls, lambda l: len(string_split(
+          regexp_replace(l, '"[^"]*(?:""[^"]*)*(?:"|$)', 'Q', 'g'), ','))) AS n
+        FROM (SELECT doc_id, list_filter(string_split_regex(text,
+          '\\r\\n|[\\n\\r\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: l <> '') AS ls
+          FROM documents))""",
     "csv_cells_found": f"""WITH {CSV_CELLS} SELECT bucket,
         row_number() OVER (PARTITION BY bucket ORDER BY line_no, p) - 1 AS pos, text, kind FROM cells""",
     "scrub_csv_texts": f"""WITH {CSV_CELLS}, tables AS (SELECT bucket FROM ({CSV_TEXTS}) GROUP BY bucket
