@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv
+from .hashing import let
 
 LINE_BREAK_CHARS = r"\n\r\u000b\u000c\u0085\u2028\u2029"
 LINE_BREAK = rf"\r\n|[{LINE_BREAK_CHARS}]"
@@ -71,17 +72,24 @@ def looks_like_csv_lines(lines: Column) -> Column:
     Only the first 31 lines and whether there are at least three matter, so a
     caller may pass just those.
     """
-    header = F.get(lines, F.lit(0))
-    columns = csv_field_count(header)
-    sample = F.slice(lines, 2, fv.CSV_SAMPLE_ROWS)
-    exact = F.size(F.filter(sample, lambda l: csv_field_count(l) == columns))
-    return F.coalesce(
-        (F.size(lines) >= fv.CSV_MIN_LINES)
-        & header.contains(",")
-        & (columns >= fv.CSV_MIN_COLUMNS)
-        & (exact * 100 >= F.size(sample) * fv.CSV_MATCH_PERCENT),
-        F.lit(False),
-    )
+
+    def judge(counted: Column) -> Column:
+        columns = F.get(counted["n"], F.lit(0))
+        sample = F.slice(counted["n"], 2, fv.CSV_SAMPLE_ROWS)
+        exact = F.size(F.filter(sample, lambda n: n == columns))
+        return (
+            (F.size(counted["n"]) >= fv.CSV_MIN_LINES)
+            & counted["header"].contains(",")
+            & (columns >= fv.CSV_MIN_COLUMNS)
+            & (exact * 100 >= F.size(sample) * fv.CSV_MATCH_PERCENT)
+        )
+
+    def count(ls: Column) -> Column:
+        return F.struct(
+            F.get(ls, F.lit(0)).alias("header"), F.transform(ls, csv_field_count).alias("n")
+        )
+
+    return F.coalesce(let(lines, lambda ls: let(count(ls), judge)), F.lit(False))
 
 
 def looks_like_csv(text: Column) -> Column:

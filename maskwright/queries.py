@@ -34,13 +34,20 @@ from .sources.mappings import (
 )
 from .sources.files import scrubbed_path
 from .sources.runs import scrub_runs
-from .storage import checkpoint_dir, cut_lineage
+from .storage import checkpoint_dir, cut_lineage, spread
 from .streaming.restore import restore_stream, use_rocksdb
 
 
+# Tables with much work per row, and what to spread small copies of them by.
+TEXT_KEYS = {
+    "documents": "doc_id", "pages": "page_id", "customer": "c_custkey", "conversations": "conv_id",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def digits(value: Column, width: int) -> Column:

@@ -53,3 +53,14 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when the input comes in very few pieces.
+
+    A small file with one row group is one task, however heavy the work per row.
+    Input that already has a partition per core, as any large input does, stays
+    as it is and costs no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

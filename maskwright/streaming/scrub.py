@@ -32,7 +32,7 @@ class _MapKeeper(StatefulProcessor):
         used = set(known.values())
         for pdf in rows:
             finds, puts = [], []
-            for text, real, kind in zip(pdf["text"], pdf["_real"], pdf["_kind"]):
+            for text, real, kind in zip(pdf["text"], pdf["mw_real"], pdf["mw_kind"]):
                 new = [(r, k) for r, k in zip(real, kind) if r not in known]
                 barred = set(known) | {r for r, _ in new}
                 fakes = _bind_one_row([r for r, _ in new], [k for _, k in new], used, barred)
@@ -42,7 +42,7 @@ class _MapKeeper(StatefulProcessor):
                 here = [r for r in known if r in text]
                 finds.append(here)
                 puts.append([known[r] for r in here])
-            yield pdf[self.columns].assign(_find=finds, _put=puts)
+            yield pdf[self.columns].assign(mw_find=finds, mw_put=puts)
 
     def close(self) -> None:
         pass
@@ -63,19 +63,19 @@ def scrub_conversation_stream(
         ))
     given = turns.columns
     found = turns.withColumn("_all", hits).withColumn("_txt", t).select(
-        *given, F.transform("_all", lambda h: h["v"]).alias("_real"),
-        F.transform("_all", lambda h: h["k"]).alias("_kind"),
+        *given, F.transform("_all", lambda h: h["v"]).alias("mw_real"),
+        F.transform("_all", lambda h: h["k"]).alias("mw_kind"),
     ).withColumnRenamed(text, "text")
     columns = [c if c != text else "text" for c in given]
     strings = T.ArrayType(T.StringType())
     schema = T.StructType(
         [f for f in found.schema.fields if f.name in columns]
-        + [T.StructField("_find", strings), T.StructField("_put", strings)]
+        + [T.StructField("mw_find", strings), T.StructField("mw_put", strings)]
     )
     kept = found.groupBy(conversation).transformWithStateInPandas(
         _MapKeeper(columns), schema, "append", "None"
     )
-    done = rewrite(F.col("text"), make_pairs(F.col("_find"), F.col("_put")))
+    done = rewrite(F.col("text"), make_pairs(F.col("mw_find"), F.col("mw_put")))
     return kept.withColumn("scrubbed", done).withColumnRenamed("text", text).select(
         *given, "scrubbed"
     )
