@@ -95,13 +95,18 @@ def looks_like_csv_lines(lines: Column) -> Column:
 def looks_like_csv(text: Column) -> Column:
     """Whether a text is a delimited table rather than prose.
 
-    The comma test comes first so that most prose never gets split into lines.
+    A table needs two commas in its first line and a second line; a text
+    without them is never split.  The rule looks at 31 non-empty lines, so a long
+    text is cut there before it is split.
     """
-    head = F.slice(F.filter(text_lines(text), lambda l: l != ""), 1, fv.CSV_SAMPLE_ROWS + 1)
-    return F.when(
-        text.rlike(rf"^[{LINE_BREAK_CHARS}]*+[^{LINE_BREAK_CHARS}]*,"),
-        looks_like_csv_lines(head),
-    ).otherwise(False)
+    line, gap = f"[^{LINE_BREAK_CHARS}]", f"[{LINE_BREAK_CHARS}]"
+    head = F.regexp_extract(
+        text, f"^{gap}*+(?:{line}++{gap}++){{0,{fv.CSV_SAMPLE_ROWS}}}{line}*+", 0
+    )
+    lines = F.filter(text_lines(head), lambda l: l != "")
+    word = f"[^,{LINE_BREAK_CHARS}]*+"
+    maybe = text.rlike(f"^{gap}*+{word},{word},{line}*+{gap}")
+    return F.when(maybe, looks_like_csv_lines(lines)).otherwise(False)
 
 
 def chunk_text(

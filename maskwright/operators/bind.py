@@ -32,6 +32,12 @@ from ..functions.synthetics import (
 )
 from ..storage import cut_lineage
 
+# Candidate sets short enough to see at once that nothing is left in them.
+LISTED_SPACES = {
+    **CONTEXT_POOLS,
+    "person_name": fv.FIRST_NAMES,
+    "full_name": [f"{a} {b}" for a in fv.FIRST_NAMES for b in fv.LAST_NAMES],
+}
 POOL_TRIES = fv.LAST_POOL_NUDGE // fv.NUDGE_STEP + 1
 
 
@@ -46,20 +52,33 @@ def _bind_one_row(real, kind, used: set, barred: set, number: bool = True) -> li
 
     out = []
     known: dict = {}
+    next_number: dict = {}
+    used_up: set = set()
     for value, k in zip(real, kind):
         if value not in known:
             picked = None
-            for nudge in range(0, fv.LAST_POOL_NUDGE + 1, fv.NUDGE_STEP):
+            space = "full_name" if k == "person_name" and " " in value else k
+            if space not in used_up and all(
+                n in used or n in barred for n in LISTED_SPACES.get(space, [""])
+            ):
+                used_up.add(space)
+            tries = [] if space in used_up else range(0, fv.LAST_POOL_NUDGE + 1, fv.NUDGE_STEP)
+            for nudge in tries:
                 proposal = candidate(k, value, nudge)
                 if not taken(proposal, value):
                     picked = proposal
                     break
             if picked is None and number:
                 joiner = "" if k in fv.HARD_ID_KINDS else " "
-                base, n = candidate(k, value, fv.SUFFIX_NUDGE) + joiner, fv.FIRST_SUFFIX
+                base = candidate(k, value, fv.SUFFIX_NUDGE) + joiner
+                n = next_number.get(base, fv.FIRST_SUFFIX)
                 while taken(f"{base}{n}", value):
                     n += 1
                 picked = f"{base}{n}"
+                # All smaller numbers are gone for later values, too, unless one
+                # was passed over only because it spells this very value.
+                if not (value.startswith(base) and value not in used and value not in barred):
+                    next_number[base] = n + 1
             known[value] = picked
             if picked is not None:
                 used.add(picked)
@@ -171,7 +190,7 @@ def bind_values(
     values: DataFrame,
     existing: DataFrame | None = None,
     bar_reals: bool = True,
-    small_scope: int = 2000,
+    small_scope: int = 20000,
 ) -> DataFrame:
     """Bind ``(scope, real, kind, ord)`` to ``(scope, real, kind, ord, fake)``.
 
@@ -246,7 +265,7 @@ def _space_members(spark) -> DataFrame:
 
     out = listed("person_name", fv.FIRST_NAMES)
     out = out.unionByName(listed(
-        "full_name", [f"{a} {b}" for a in fv.FIRST_NAMES for b in fv.LAST_NAMES]))
+        "full_name", LISTED_SPACES["full_name"]))
     for kind, pool in CONTEXT_POOLS.items():
         out = out.unionByName(listed(kind, pool))
     out = out.unionByName(spark.range(SPACE_SIZES["email"]).select(

@@ -13,7 +13,7 @@ from ..functions.hashing import let
 
 TOKEN = "[A-Za-z0-9]+"
 CORE = "(?s)[A-Za-z0-9](?:.*[A-Za-z0-9])?"
-INLINE_PAIRS = 200
+INLINE_PAIRS = 1000
 
 
 def attach_pairs(
