@@ -30,7 +30,7 @@ from ..functions.synthetics import (
     fake_space,
     suffix_joiner,
 )
-from ..storage import cut_lineage
+from ..storage import cut_lineage, sql_conf
 
 # Candidate sets short enough to see at once that nothing is left in them.
 LISTED_SPACES = {
@@ -354,9 +354,14 @@ def _walk_prefixes(values: DataFrame, barred: DataFrame) -> tuple[DataFrame, Dat
     rows = prefix.groupBy(*group).agg(
         F.array_sort(F.collect_list(F.struct("ord", "real", "kind"))).alias("v")
     ).join(closed, group, "left").withColumn("_closed", F.coalesce("_closed", nothing))
-    rows = cut_lineage(
-        rows.withColumn("f", _try_rows("v.real", "v.kind", "_closed")), "prefix"
-    )
+    # Lets the row limit run inside each input partition, before any shuffle; by
+    # default Spark does that for limits up to 1000 only.
+    with sql_conf(
+        values.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold", str(largest)
+    ):
+        rows = cut_lineage(
+            rows.withColumn("f", _try_rows("v.real", "v.kind", "_closed")), "prefix"
+        )
     served = rows.select("scope", F.explode(F.arrays_zip("v", "f")).alias("e")).select(
         "scope", F.col("e.v.real").alias("real"), F.col("e.v.kind").alias("kind"),
         F.col("e.v.ord").alias("ord"), F.col("e.f").alias("fake"),
