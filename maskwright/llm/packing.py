@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import cut_lineage
-from .stable_bpe import StableEncoder, as_text, slices
+from .stable_bpe import as_text, shared_encoder, slices
 
 CAPACITY = 4096
 OPEN_BINS = 1024
@@ -69,7 +69,7 @@ def token_pieces(scrubs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long"
 
     def run(batches):
-        encoder = StableEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for batch in batches:
             column, keys = as_text(batch.column(1)), batch.column(0)
             for row, part in slices(column):

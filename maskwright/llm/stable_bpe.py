@@ -18,14 +18,15 @@ up afterwards.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 8_000_000
-MEMO_ENTRIES = 1_000_000
+SLICE_BYTES = 6_000_000
+MEMO_ENTRIES = 600_000
 
 _SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
 
@@ -116,11 +117,122 @@ def stable_cuts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return segments, np.searchsorted(starts, ends - low)
 
 
+def byte_letters() -> dict[str, int]:
+    """Printable stand-ins of the byte-level alphabet: printable bytes stand for
+    themselves, the others take the code points from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _joined(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
+    """The symbols after all merges, least rank first, leftmost first."""
+    while len(symbols) > 1:
+        best = min(range(len(symbols) - 1), key=lambda i: rank.get((symbols[i], symbols[i + 1]), 1 << 40))
+        if (symbols[best], symbols[best + 1]) not in rank:
+            break
+        symbols[best:best + 2] = [symbols[best] + symbols[best + 1]]
+    return symbols
+
+
+class PieceEncoder:
+    """Ids of pieces of the split pattern, by a rank table.
+
+    A rank table merges whatever neighbours form a token, a merge list only its own
+    pairs.  Both agree if every token of the table comes out of its own letters: the
+    part of a text that becomes a token goes through the same steps as the token
+    alone.  Tokens that do not come out never occur, and are left out.
+
+    Only plain segments are taken, of characters whose classes are the same in all
+    libraries; the others are left to the tokenizers library.
+    """
+
+    PLAIN = re.compile("[\t-\r -~\xa1-\u012f\u0131-\u024f]*")
+    END = b"\xff"  # no byte of UTF-8; marks the end of a word
+
+    def __init__(self, spec: dict, merges: list[tuple[str, str]]):
+        import regex
+        import tiktoken
+
+        model, steps = spec["model"], [spec.get("pre_tokenizer") or {}]
+        steps += steps[0].get("pretokenizers", [])
+        patterns = [s["pattern"]["Regex"] for s in steps if s.get("type") == "Split"]
+        levels = [s for s in steps if s.get("type") == "ByteLevel"]
+        norm = spec.get("normalizer") or {}
+        names = [n["type"] for n in norm.get("normalizers", [norm])] if norm else []
+        self.mark = model.get("end_of_word_suffix") or ""
+        if len(levels) != 1 or levels[0].get("add_prefix_space") or not set(names) <= {"NFC", "Replace", "Lowercase"}:
+            raise ValueError("unknown steps")
+        self.normal = "NFC" in names
+        self.lower = "Lowercase" in names
+        self.split = regex.compile(patterns[0] if patterns else GPT_SPLIT)
+        letters = byte_letters()
+
+        def raw(token: str) -> bytes:
+            end = bool(self.mark) and token.endswith(self.mark)
+            token = token[:-len(self.mark)] if end else token
+            return bytes(letters[c] for c in token) + (self.END if end else b"")
+
+        vocab, rank = model["vocab"], {m: i for i, m in enumerate(merges)}
+        ids = [vocab[a + b] for a, b in merges]
+        singles = [c for c in letters if c in vocab] + [c + self.mark for c in letters if self.mark and c + self.mark in vocab]
+        if ids != sorted(set(ids)) or max(vocab[c] for c in singles) > ids[0] or len(singles) < 256:
+            raise ValueError("ids are not in merge order")
+        table = {raw(c): vocab[c] for c in singles}
+        for a, b in merges:
+            token = a + b
+            body = list(token[:-len(self.mark)] if self.mark and token.endswith(self.mark) else token)
+            if len(body) < len(token):
+                body[-1] += self.mark
+            if _joined(body, rank) == [token]:
+                table[raw(token)] = vocab[token]
+        if self.mark:
+            table[self.END] = max(vocab.values()) + 1_000_000
+        self.core = tiktoken.Encoding("pieces", pat_str="", mergeable_ranks=table, special_tokens={})
+
+    def encode(self, segments: list[str]):
+        """The plain segments, their ids in order and sizes, and the other segments."""
+        plain, findall, normalize = self.PLAIN.fullmatch, self.split.findall, unicodedata.normalize
+        one, end = self.core._core_bpe.encode_single_piece, self.END if self.mark else b""
+        taken, ids, sizes, rest = [], [], [], []
+        for segment in segments:
+            if not plain(segment) or "<|" in segment:
+                rest.append(segment)
+                continue
+            taken.append(segment)
+            if self.normal and not segment.isascii():
+                segment = normalize("NFC", segment)
+            if self.lower:
+                segment = segment.lower()
+            before = len(ids)
+            for piece in findall(segment):
+                ids += one(piece.encode() + end)
+            sizes.append(len(ids) - before)
+        return taken, ids, sizes, rest
+
+
+# Fixed value: the split of byte-level files that name no pattern.
+GPT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def shared_encoder(path: str) -> "StableEncoder":
+    """One encoder per file and process.
+
+    Functions come to executors by value, with new module globals for each task;
+    what should outlast a task is kept beside the library it wraps.
+    """
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_stable_encoders", {})
+    if path not in kept:
+        kept[path] = StableEncoder(path)
+    return kept[path]
+
+
 class StableEncoder:
     """Token ids of whole texts, as the tokenizers library gives them.
 
-    The memo lives as long as the object, one task, and is emptied when it holds
-    ``MEMO_ENTRIES`` segments; memory is bounded by it, one slice of the input
+    The memo is emptied when it holds ``MEMO_ENTRIES`` segments; memory is bounded by it, one slice of the input
     and ``window`` characters of a run without spaces.
     """
 
@@ -148,6 +260,10 @@ class StableEncoder:
             s.get("behavior") == "Removed" and s.get("invert")
             and "[^\\s" in (s.get("pattern") or {}).get("Regex", "")
             for s in steps)
+        try:
+            self.pieces = PieceEncoder(spec, merges)
+        except (ValueError, KeyError):
+            self.pieces = None
         self._forget()
 
     def _forget(self) -> None:
@@ -155,17 +271,28 @@ class StableEncoder:
         self.first, self.size, self.store = array("q"), array("q"), array("i")
 
     def _learn(self, segments: list[str]) -> None:
-        short = [s for s in segments if len(s) <= self.window]
-        for s, e in zip(short, self.library.encode_batch_fast(short, add_special_tokens=False)):
-            self._add(s, e.ids)
-        for s in segments:
+        rest = segments
+        if self.pieces is not None:
+            short = [s for s in segments if len(s) <= self.window]
+            taken, ids, sizes, rest = self.pieces.encode(short)
+            self._add(taken, ids, sizes)
+            rest += [s for s in segments if len(s) > self.window]
+        short = [s for s in rest if len(s) <= self.window]
+        for at in range(0, len(short), 4096):
+            some = short[at:at + 4096]
+            found = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, [i for ids in found for i in ids], [len(ids) for ids in found])
+        for s in rest:
             if len(s) > self.window:
-                self._add(s, [i for ids in self._stream(s) for i in ids])
-
-    def _add(self, segment: str, ids: list[int]) -> None:
-        self.known[segment] = len(self.first)
-        self.first.append(len(self.store))
-        self.size.append(len(ids))
+                ids = [i for ids in self._stream(s) for i in ids]
+                self._add([s], ids, [len(ids)])
+
+    def _add(self, segments: list[str], ids: list[int], sizes: list[int]) -> None:
+        start = len(self.first)
+        self.known.update(zip(segments, range(start, start + len(segments))))
+        ends = np.cumsum(np.array([len(self.store), *sizes], np.int64))
+        self.first.frombytes(ends[:-1].tobytes())
+        self.size.frombytes(np.array(sizes, np.int64).tobytes())
         self.store.extend(ids)
 
     def _stream(self, text: str):
@@ -195,7 +322,6 @@ class StableEncoder:
         words = uniques.to_pylist()
         if self.drops_space:
             words = [w.strip(" ") for w in words]
-            words = [w if "<|" in w else w.lower() if w.isascii() else w for w in words]
         if len(self.known) > MEMO_ENTRIES:
             self._forget()
         known = self.known

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .stable_bpe import StableEncoder, as_text, slices
+from .stable_bpe import as_text, shared_encoder, slices
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -91,7 +91,7 @@ def count_tokens(texts: DataFrame, tokenizer: str, limit: int = 512, key: str =
     schema = f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean"
 
     def run(batches):
-        encoder = StableEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         counter = ChunkCounter(encoder.library, chunk, overlap)
         for batch in batches:
             column, keys = as_text(batch.column(1)), batch.column(0)

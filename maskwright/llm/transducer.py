@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .stable_bpe import SLICE_BYTES, StableEncoder, as_text
+from .stable_bpe import SLICE_BYTES, StableEncoder, as_text, byte_letters, shared_encoder
 
 BLOCK_CHARS = 65_536
 
@@ -57,14 +57,6 @@ def blocks(text: str, encoder: StableEncoder, size: int = BLOCK_CHARS):
     yield from stream.finish()
 
 
-def _byte_of() -> dict[str, int]:
-    """Printable stand-ins of the byte-level alphabet: printable bytes stand for
-    themselves, the others take the code points from 256 on, in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Decoder:
     """Ids to text, a few at a time; bytes of a cut character wait for the rest."""
 
@@ -79,7 +71,7 @@ class Decoder:
         if kind is None:  # tokens are joined by spaces
             self.joined, table = True, [(" " + t).encode() for t in tokens]
         elif kind == "ByteLevel":
-            self.joined, place = False, _byte_of()
+            self.joined, place = False, byte_letters()
             table = [bytes(place[c] for c in t) if all(c in place for c in t) else t.encode()
                      for t in tokens]
         else:
@@ -130,7 +122,7 @@ def transduce(texts: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_text
 
     def run(batches):
-        encoder = StableEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         stream = Transducer(encoder)
         decoder = Decoder(tokenizer)
         numbers = pa.array([f" {i}" for i in range(len(decoder.table))], pa.string())
