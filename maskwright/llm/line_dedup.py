@@ -10,10 +10,58 @@ BUCKETS = 1 << 18
 FILTER_WORDS = 1 << 18
 
 
+SHINGLE = 5
+
+
+def _words(line: Column) -> Column:
+    """Words of a line, lower case, as hashes."""
+    return F.transform(F.array_remove(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), ""),
+                       lambda w: F.xxhash64(w))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(words: Column) -> Column:
+    """All runs of five words, as hashes; none if there are fewer words."""
+    n = F.size(words) - SHINGLE + 1
+    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, F.lit(SHINGLE))))
+    return F.when(n > 0, runs)
+
+
 def _tokens(line: Column) -> Column:
-    """Distinct words of a line, lower case, as hashes."""
-    return F.array_distinct(F.transform(
-        F.array_remove(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), ""), lambda w: F.xxhash64(w)))
+    """The line's set: its distinct runs of five words."""
+    return _bind(_words(line), lambda w: F.array_sort(F.array_distinct(_runs(w))))
+
+
+def _line(line: Column, counts: Column, percent: int) -> Column:
+    """``a, b, n, prefix`` of a line; null if it has fewer than five words.
+
+    A token's rarity is the count of its rarest word, which bounds its own.  Count
+    above and hash below give one number that sorts rare tokens first.
+    """
+    def of_words(w: Column) -> Column:
+        often = F.transform(w, lambda x: F.get(counts, _bucket(x)))
+        return _bind(F.struct(_runs(w).alias("runs"), often.alias("often")), of_runs)
+
+    def of_runs(s: Column) -> Column:
+        keys = F.transform(s["runs"], lambda x, i: F.call_function(
+            "shiftleft", F.least(F.array_min(F.slice(s["often"], i + 1, F.lit(SHINGLE))), F.lit((1 << 31) - 1)), F.lit(32))
+            .bitwiseOR(F.shiftrightunsigned(x, 32)))
+        whole = F.array_sort(F.array_distinct(s["runs"]))
+        return _bind(F.struct(whole.alias("set"), F.array_sort(F.array_distinct(keys)).alias("keys")), finish)
+
+    def finish(s: Column) -> Column:
+        n = F.size(s["set"])
+        first = F.slice(s["keys"], F.lit(1), _prefix_length(n, percent))
+        return F.struct(
+            F.xxhash64(s["set"]).alias("a"), F.xxhash64(F.lit(1), s["set"]).alias("b"), n.alias("n"),
+            F.transform(first, lambda x: F.shiftright(F.call_function("shiftleft", x, F.lit(32)), 32)
+                        .cast("int")).alias("prefix"))
+
+    return _bind(_words(line), of_words)
 
 
 def _bucket(hash_: Column) -> Column:
@@ -62,13 +110,13 @@ def _maybe(column: str, bits: Column) -> Column:
     return word.bitwiseAND(bit) != 0
 
 
-def later_lines(texts: DataFrame, percent: int = 80, least_tokens: int = 5, key: str = "doc_id",
+def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """``(key, line_no, a, b)`` of the lines to remove; ``a, b`` is the line's print.
 
     Lines with equal token sets are one class, which stands where its first line
-    stands.  Tokens are ordered rare first by their count over all texts (summed up
-    in hash buckets; ties by hash).  Linked classes share one of the first ``n -
+    stands.  Tokens, runs of five words, are ordered rare first by word counts over
+    all texts (summed up in hash buckets; ties by hash).  Linked classes share one of the first ``n -
     ceil(t n) + 1`` tokens; pairs are filtered by length, shared prefix tokens and
     positions, and verified on whole token sets.
     """
@@ -76,20 +124,11 @@ def later_lines(texts: DataFrame, percent: int = 80, least_tokens: int = 5, key:
     rarity = cut_lineage(token_rarity(base, "text"), "rarity")
 
     lines = base.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.length("line") >= 2 * least_tokens - 1)
-    lines = lines.select("key", "line_no", F.array_sort(_tokens(F.col("line"))).alias("tokens"))
-    lines = lines.where(F.size("tokens") >= least_tokens)
-    lines = lines.withColumn("counts", rarity.scalar())
-    # Count above, hash below: one number that sorts rare tokens first.
-    ranked = F.array_sort(F.transform("tokens", lambda t: F.call_function(
-        "shiftleft", F.least(F.get("counts", _bucket(t)), F.lit((1 << 31) - 1)), F.lit(32))
-        .bitwiseOR(F.shiftrightunsigned(t, 32))))
-    n = F.size("tokens")
-    lines = cut_lineage(lines.select(
-        "key", "line_no", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"),
-        n.alias("n"), F.transform(F.slice(ranked, F.lit(1), _prefix_length(n, percent)),
-                                  lambda x: F.shiftright(F.call_function("shiftleft", x, F.lit(32)), 32).cast("int")).alias("prefix")),
-        "lines")
+    lines = lines.where(F.length("line") >= 2 * SHINGLE - 1).withColumn("counts", rarity.scalar())
+    # An explode of one element: what stands above it does not compute the line again.
+    lines = lines.select("key", "line_no", F.explode(F.array(
+        _line(F.col("line"), F.col("counts"), percent))).alias("of")).where("of.n > 0")
+    lines = cut_lineage(lines.select("key", "line_no", "of.*"), "lines")
 
     classes = lines.groupBy("a", "b").agg(
         F.min(F.struct("key", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"),
@@ -97,7 +136,9 @@ def later_lines(texts: DataFrame, percent: int = 80, least_tokens: int = 5, key:
     classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()), "line-classes")
     index = classes.select("class", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    live = index.join(shared, "token", "left_semi").join(classes.select("class", "first"), "class")
+    shared = cut_lineage(shared, "line-tokens")
+    maybe = _maybe("token", cut_lineage(_bits(shared, "token"), "token-bits").scalar())
+    live = index.where(maybe).join(shared, "token", "left_semi").join(classes.select("class", "first"), "class")
     live = cut_lineage(live, "line-live")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -153,12 +194,11 @@ def later_lines(texts: DataFrame, percent: int = 80, least_tokens: int = 5, key:
     return gone.select(F.col("key").alias(key), "line_no", "a", "b")
 
 
-def remove_later_lines(texts: DataFrame, percent: int = 80, least_tokens: int = 5,
-                       key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts without the lines that an earlier line matches.
 
     ``texts`` are texts to scrub, or scrubbed ones, ``(doc_id, text)``.  A line's set
-    is its distinct lower-cased words; lines with fewer than ``least_tokens`` stay.
+    is its distinct runs of five lower-cased words; lines with fewer words stay.
     Lines are ordered by ``doc_id`` and number; one goes if any earlier one has
     ``100 * |intersection| >= percent * |union|``, whether or not that one goes too.
 
@@ -170,7 +210,7 @@ def remove_later_lines(texts: DataFrame, percent: int = 80, least_tokens: int =
     have lost a line.
     """
     names = [c for c in texts.columns if c != "n_removed"]
-    gone = cut_lineage(later_lines(texts, percent, least_tokens, key, text), "gone-lines")
+    gone = cut_lineage(later_lines(texts, percent, key, text), "gone-lines")
     per_text = cut_lineage(gone.distinct().groupBy(F.col(key).alias("_gone_key")).agg(
         F.collect_list(F.struct("line_no", "a", "b")).alias("_gone")), "gone")
     bits = cut_lineage(_bits(per_text, "_gone_key"), "gone-bits").scalar()
@@ -179,9 +219,8 @@ def remove_later_lines(texts: DataFrame, percent: int = 80, least_tokens: int =
     hit = texts.where(maybe).join(per_text, F.col(key).eqNullSafe(F.col("_gone_key")), "left")
 
     def stays(line: Column, no: Column) -> Column:
-        tokens = F.array(F.array_sort(_tokens(line)))
-        mark = F.get(F.transform(tokens, lambda t: F.struct(
-            no.alias("line_no"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))), F.lit(0))
+        mark = _bind(_tokens(line), lambda t: F.struct(
+            no.alias("line_no"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b")))
         return ~F.array_contains("_gone", mark)
 
     all_lines = F.split(text, "\n")
