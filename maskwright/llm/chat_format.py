@@ -114,7 +114,7 @@ def format_chats(messages: DataFrame, conversation: str = "conv_id", turn: str =
             (F.col("_start") + F.length("_head")).alias("start"),
             F.length("_body").cast("long").alias("length"))).alias("loss"),
         F.col("_attachments").alias("attachments"))
-    chats = rows.groupBy("_conv").agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    chats = rows.groupBy("_conv").agg(F.sort_array(F.collect_list(one)).alias("turns"))
     attached = F.flatten(F.transform("turns", lambda t: F.transform(t["attachments"], lambda a: F.struct(
         (t["i"] - 1).alias("turn_index"), a["ordinal"].alias("ordinal"), a["type"].alias("type"),
         a["media"].alias("media"), a["tokens"].alias("tokens")))))

@@ -238,8 +238,8 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     found = cut_lineage(components(links), "components")
 
     # Groups against groups of other components.
-    group = F.xxhash64(F.first("n"), F.array_sort(F.collect_list(F.struct("pos", "token"))))
-    second = F.hash(F.array_sort(F.collect_list(F.struct("token", "pos"))))
+    group = F.xxhash64(F.first("n"), F.sort_array(F.collect_list(F.struct("pos", "token"))))
+    second = F.hash(F.sort_array(F.collect_list(F.struct("token", "pos"))))
     groups = live.groupBy("class").agg(F.first("n").alias("n"), group.alias("g1"), second.alias("g2"))
     members = groups.join(found.withColumnRenamed("vertex", "class"), "class", "left").select(
         "class", "n", "g1", "g2", F.coalesce("component", "class").alias("component"))

@@ -27,31 +27,30 @@ def _bind(value: Column, body) -> Column:
 def _runs(words: Column) -> Column:
     """All runs of five words, as hashes; none if there are fewer words."""
     n = F.size(words) - SHINGLE + 1
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, F.lit(SHINGLE))))
-    return F.when(n > 0, runs)
+    runs = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, SHINGLE)]))
+    return F.when(n > 0, F.slice(runs, F.lit(1), n))
 
 
 def _tokens(line: Column) -> Column:
     """The line's set: its distinct runs of five words."""
-    return _bind(_words(line), lambda w: F.array_sort(F.array_distinct(_runs(w))))
+    return _bind(_words(line), lambda w: F.sort_array(F.array_distinct(_runs(w))))
 
 
 def _line(line: Column, counts: Column, percent: int) -> Column:
     """``a, b, n, prefix`` of a line; null if it has fewer than five words.
 
-    A token's rarity is the count of its rarest word, which bounds its own.  Count
+    A token's rarity is the count of its first word, which bounds its own.  Count
     above and hash below give one number that sorts rare tokens first.
     """
     def of_words(w: Column) -> Column:
-        often = F.transform(w, lambda x: F.get(counts, _bucket(x)))
-        return _bind(F.struct(_runs(w).alias("runs"), often.alias("often")), of_runs)
+        return _bind(F.struct(w.alias("words"), _runs(w).alias("runs")), of_runs)
 
     def of_runs(s: Column) -> Column:
         keys = F.transform(s["runs"], lambda x, i: F.call_function(
-            "shiftleft", F.least(F.array_min(F.slice(s["often"], i + 1, F.lit(SHINGLE))), F.lit((1 << 31) - 1)), F.lit(32))
+            "shiftleft", F.least(F.get(counts, _bucket(F.get(s["words"], i))), F.lit((1 << 31) - 1)), F.lit(32))
             .bitwiseOR(F.shiftrightunsigned(x, 32)))
-        whole = F.array_sort(F.array_distinct(s["runs"]))
-        return _bind(F.struct(whole.alias("set"), F.array_sort(F.array_distinct(keys)).alias("keys")), finish)
+        whole = F.sort_array(F.array_distinct(s["runs"]))
+        return _bind(F.struct(whole.alias("set"), F.sort_array(F.array_distinct(keys)).alias("keys")), finish)
 
     def finish(s: Column) -> Column:
         n = F.size(s["set"])
@@ -78,7 +77,7 @@ def token_rarity(texts: DataFrame, text: str) -> DataFrame:
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count()
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     counts = every.join(counts, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("n"))
-    return counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))),
+    return counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "n"))),
                                   lambda x: x["n"]).alias("counts"))
 
 
@@ -99,7 +98,7 @@ def _bits(ids: DataFrame, column: str) -> DataFrame:
                        bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     every = spark.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word"))
     full = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))),
+    return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))),
                                 lambda x: x["bits"]).alias("words"))
 
 
@@ -125,10 +124,9 @@ def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
 
     lines = base.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.length("line") >= 2 * SHINGLE - 1).withColumn("counts", rarity.scalar())
-    # An explode of one element: what stands above it does not compute the line again.
-    lines = lines.select("key", "line_no", F.explode(F.array(
-        _line(F.col("line"), F.col("counts"), percent))).alias("of")).where("of.n > 0")
-    lines = cut_lineage(lines.select("key", "line_no", "of.*"), "lines")
+    # Filtered after it is written: a filter here would compute every line twice.
+    lines = lines.select("key", "line_no", _line(F.col("line"), F.col("counts"), percent).alias("of"))
+    lines = cut_lineage(lines, "lines").select("key", "line_no", "of.*").where("n > 0")
 
     classes = lines.groupBy("a", "b").agg(
         F.min(F.struct("key", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"),

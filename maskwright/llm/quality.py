@@ -26,10 +26,10 @@ def _repeated(ws: Column) -> Column:
     """Words covered by windows of 8 words that the text holds twice or more."""
     def of_hashes(h: Column) -> Column:
         # Equal hashes are neighbours once sorted; positions of those that have one.
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         twice = _bind(pairs, lambda s: F.filter(s, lambda x, k: (
             F.get(s, k + 1)["h"].eqNullSafe(x["h"]) | F.get(s, k - 1)["h"].eqNullSafe(x["h"]))))
-        places = F.array_sort(F.transform(twice, lambda x: x["i"]))
+        places = F.sort_array(F.transform(twice, lambda x: x["i"]))
         covered = F.aggregate(
             places, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
             lambda acc, p: F.struct(
@@ -37,9 +37,12 @@ def _repeated(ws: Column) -> Column:
             lambda acc: acc["n"])
         return F.when(F.size(F.array_distinct(h)) < F.size(h), covered).otherwise(0)
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(ws) - WINDOW + 1),
-                          lambda i: F.xxhash64(F.slice(ws, i, F.lit(WINDOW))))
-    return F.when(F.size(ws) > WINDOW, _bind(windows, of_hashes)).otherwise(0).cast("long")
+    def windows(h: Column) -> Column:
+        found = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
+        return F.slice(found, F.lit(1), F.size(h) - WINDOW + 1)
+
+    hashes = F.transform(ws, lambda w: F.xxhash64(w))
+    return F.when(F.size(ws) > WINDOW, _bind(_bind(hashes, windows), of_hashes)).otherwise(0).cast("long")
 
 
 def text_features(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -82,7 +85,7 @@ def frequent_lines(texts: DataFrame, text: str, host: str, least_documents: int,
     exact and most near copies of one text count once.
     """
     found = texts.select(F.col(host).alias("host"),
-                         F.array_sort(F.array_distinct(line_prints(F.col(text)))).alias("all"))
+                         F.sort_array(F.array_distinct(line_prints(F.col(text)))).alias("all"))
     documents = found.groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
     rows = found.select("host", F.explode("all").alias("line"), F.get("all", F.lit(0)).alias("one"),
                         F.get("all", F.lit(1)).alias("two")).where(F.col("line") != F.substring(F.md5(F.lit("")), 1, 16))

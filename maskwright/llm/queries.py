@@ -76,7 +76,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gone = later_lines(docs).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("line_no")).alias("gone"))
+        F.sort_array(F.collect_set("line_no")).alias("gone"))
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     return docs.select("doc_id", n_lines.alias("n_lines")).join(gone, "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
