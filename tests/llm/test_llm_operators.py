@@ -1,0 +1,329 @@
+"""Operators of the optional package against brute force, and on odd rows."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from maskwright.llm.chat_format import content_parts, format_chats, loss_text, read_back, text_part
+from maskwright.llm.components import components
+from maskwright.llm.jaccard import link_near_copies
+from maskwright.llm.line_dedup import remove_later_lines
+from maskwright.llm.maxscore import nearest_vectors
+from maskwright.llm.packing import BestFit, pack_scrubbed
+from maskwright.llm.quality import good_texts, quality_rules
+from maskwright.llm.secret_scan import (
+    base_spans, find_secrets, labelled_findings, redact, redact_secrets, train_network, windows)
+from maskwright.llm.stable_bpe import StableEncoder, sufficient_lookahead
+from maskwright.llm.token_counts import ChunkCounter, count_tokens
+from maskwright.llm.toxicity import fit_toxicity, score_texts, train
+from maskwright.llm.transducer import Decoder, transduce
+
+WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+LIBRARY = {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
+ENCODER = {p: StableEncoder(p) for p in (WORD, BYTE)}
+
+BASE = " ".join(f"word{i}" for i in range(60))
+ROWS = [
+    (1, BASE, "h", "x"), (2, BASE, "h", "x"), (2, BASE, "h", "x"), (3, BASE + " more", "h", "x"),
+    (4, None, "h", None), (5, "", None, "x"), (None, "one two", "h", "x"),
+    (6, "token = \"0123456789abcdef0123456789abcdef\" <|endoftext|> ée ça  \t\n", "h", "x"),
+    (7, "a" * 30_000, "h", "x"), (8, "Two\nlines\nTwo\n" + BASE, "g", "x"),
+]
+SCHEMA = "doc_id long, text string, source string, n_removed string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def ids_of(path, text):
+    return LIBRARY[path].encode(text or "", add_special_tokens=False).ids
+
+
+PARTS = ["a", "b", "the", "'s", "'", " ", "  ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "　", "é", "é",
+         "漢", "1", "<|endoftext|>", "<|", "!", "İ", "ß", "😀", "한", "ing"]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=60).map("".join))
+def test_encoding_equals_library(path, text):
+    ids, first = ENCODER[path].encode(pa.array([text, "", text], pa.string()))
+    want = ids_of(path, text)
+    assert ids[:first[1]].tolist() == want and first.tolist() == [0, len(want), len(want), 2 * len(want)]
+    assert ChunkCounter(LIBRARY[path], 24, 6).count(text) == len(want)
+    decoder, half = Decoder(path), len(want) // 2
+    ids = np.array(want, np.int32)
+    assert decoder.feed(ids[:half]) + decoder.feed(ids[half:], True) == \
+        LIBRARY[path].decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("text", ["abab" * 9000, "'" * 9000, "漢" * 9000, "x'sx're" * 3000, "<" * 9000])
+def test_long_runs_use_bounded_lookahead(path, text):
+    ids, _ = ENCODER[path].encode(pa.array([text]))
+    assert ids.tolist() == ids_of(path, text)
+
+
+def test_lookahead_follows_chains():
+    assert sufficient_lookahead([("b", "c"), ("a", "b")]) == 2
+    assert sufficient_lookahead([("c", "d"), ("b", "c"), ("a", "b")]) == 3
+
+
+def test_token_counts(docs, nothing):
+    got = {r.doc_id: r for r in count_tokens(docs, BYTE, limit=20, chunk=64, overlap=8).collect()}
+    for key, text, *_ in ROWS:
+        n = len(ids_of(BYTE, text))
+        assert (got[key].n_bytes, got[key].n_tokens, got[key].over_limit) == (
+            len((text or "").encode()), n, n > 20)
+    assert count_tokens(nothing, BYTE).count() == 0
+
+
+def test_transducer(docs, nothing):
+    rows = transduce(docs, WORD, block=50, with_text=True).collect()
+    assert len(rows) == len(ROWS)
+    texts = {key: text for key, text, *_ in ROWS}
+    for r in rows:
+        want = ids_of(WORD, texts[r.doc_id])
+        back = LIBRARY[WORD].decode(want, skip_special_tokens=False)
+        assert r.ids == want and r.decoded == back and r.n_tokens == len(want)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+    assert transduce(nothing, WORD).count() == 0
+
+
+def test_packing(docs, nothing):
+    texts = docs.withColumnRenamed("text", "scrubbed")
+    rows = pack_scrubbed(texts, WORD, capacity=64, open_bins=4, rows_per_task=5).collect()
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 64
+    want = []
+    for key, text, *_ in ROWS:
+        ids = ids_of(WORD, text) + [1]
+        for k, at in enumerate(range(0, len(ids), 64)):
+            part = np.array(ids[at:at + 64], "<i4")
+            want.append((key, k, at, len(part), zlib.crc32(part.tobytes())))
+    assert sorted(map(str, want)) == sorted(str(tuple(r[:5])) for r in rows)
+    assert pack_scrubbed(nothing, WORD, text="text").count() == 0
+
+
+def test_best_fit_takes_tightest_bin_and_closes_the_fullest():
+    fit = BestFit(10, 2)
+    assert [fit.put(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
+    assert [fit.put(n) for n in (8, 7, 6, 2)] == [(2, 0), (3, 0), (4, 0), (3, 7)]
+    with pytest.raises(ValueError):
+        fit.put(11)
+
+
+def sets_of(texts, size):
+    out = {}
+    for key, text in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        out[key] = {tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+    return out
+
+
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
+def test_near_copies(spark, size, percent):
+    rng = np.random.default_rng(5)
+    texts = []
+    for family in range(6):
+        words = [f"w{x}" for x in rng.integers(0, 400, 90)]
+        for k in range(12):
+            copy = list(words)
+            for at in rng.integers(0, 90, k % 4):
+                copy[at] = f"new{rng.integers(0, 9)}"
+            texts.append((len(texts), " ".join(copy[:90 - k % 3])))
+    texts += [(900, None), (901, ""), (902, "a"), (903, "A"), (904, "a b")]
+    df = spark.createDataFrame(texts, "id long, text string").withColumn("n", F.lit("clash"))
+    got = {r.id: (r.n_shingles, r.component_id) for r in link_near_copies(df, size, percent).collect()}
+    sets = sets_of(texts, size)
+    label = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert got == {k: (len(sets[k]), label[k]) for k in sets}
+
+
+def test_near_copies_odd_rows(docs, nothing):
+    rows = link_near_copies(docs, key="doc_id").collect()
+    got = {r.doc_id: r.component_id for r in rows}
+    assert len(rows) == len(ROWS) and got[2] == 1 and got[3] == 1 and got[4] == 4 and got[5] == 5
+    assert got[None] is None
+    assert link_near_copies(nothing, key="doc_id").count() == 0
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
+    got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_chat_formatting(spark):
+    said = "</s>[INST] ok [/INST] &lt; <|end|>"
+    rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 1, "assistant", said), (2, 0, None, None),
+            (None, 5, "assistant", "é😀")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = format_chats(df.withColumn("parts", text_part(F.col("text"))))
+    got = {r.conv_id: r for r in chats.withColumn("turns", read_back("formatted")).withColumn(
+        "loss", loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
+    assert [tuple(t) for t in got[1].turns] == [("user", said)] + 2 * [("assistant", said)]
+    assert got[1].loss == said * 2 and "[" not in got[1].formatted and got[1].n_turns == 3
+    assert [tuple(t) for t in got[2].turns] == [("", "")] and got[2].loss == ""
+    assert got[None].loss == "é😀"
+    assert format_chats(df.withColumn("parts", text_part(F.col("text"))).limit(0)).count() == 0
+
+
+def test_chat_parts(spark):
+    blocks = ('[{"type":"text","text":"see <b>"},{"type":"image","source":{"url":"i.png"},"width":750,"height":10},'
+              '{"type":"audio","source":{"file_id":"a1"},"seconds":2.5},{"type":"document","pages":2},'
+              '{"type":"tool_result","content":"done"}]')
+    df = spark.createDataFrame([(1, 0, "assistant", blocks), (1, 1, "user", "[plain")],
+                               "conv_id long, turn long, role string, content string")
+    r = format_chats(df.withColumn("parts", content_parts(F.col("content")))).first()
+    assert "see &lt;b>[image 1][audio 2][document 3]done" in r.formatted and "&#91;plain" in r.formatted
+    assert [tuple(a) for a in r.attachments] == [
+        (0, 1, "image", "i.png", 10), (0, 2, "audio", "a1", 63), (0, 3, "document", None, 3000)]
+    assert r.expanded_tokens == 3073
+
+
+def test_quality(docs, nothing):
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert got[1].kept and got[1].n_words == 60 and got[1].n_repeat_words == 0
+    assert got[4].base_failed and not got[4].kept and got[4].n_words == 0
+    assert got[8].n_dup_lines == 1
+    assert quality_rules(nothing).count() == 0
+
+
+def test_repeated_windows_and_frequent_lines(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(40):
+        own = " ".join(f"u{x}" for x in rng.integers(0, 10**6, 30))
+        texts.append((i, f"Common Line {i % 10} here\n{own}" if i < 30 else own, "h"))
+    texts.append((50, "x y " * 40, "h"))
+    texts.append((51, "only common line 7 here", "h"))
+    texts.append((52, "common line 7 here\n" + "a b", "h"))
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules(df, least_documents=5, share_percent=10).collect()}
+    assert got[50].n_repeat_words == 80 and got[50].base_failed
+    assert got[0].kept and "Common" not in got[0].kept_text and not got[0].depleted
+    assert got[52].depleted and got[31].kept_text == texts[31][1]
+    kept = good_texts(df, least_documents=5, share_percent=10)
+    assert kept.columns == df.columns and kept.count() == 40
+
+
+def test_line_dedup(spark, docs, nothing):
+    line = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, line + "\nshort\nshort"), (2, line.upper() + "\nown words stand here alone now"),
+            (3, line + " tail"), (4, None), (5, "short\n"), (6, " ".join(f"v{i}" for i in range(30)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line_no", F.lit(1))
+    got = {r.doc_id: (r.text, r.n_removed) for r in remove_later_lines(df).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("own words stand here alone now", 1), 3: ("", 1), 4: (None, 0),
+                   5: ("short\n", 0), 6: (rows[5][1], 0)}
+    odd = {r.doc_id: r for r in remove_later_lines(docs).collect()}
+    assert odd[2].text == "" and odd[1].text == BASE and odd[4].text is None
+    assert remove_later_lines(nothing).count() == 0
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows, base = [], [[f"t{x}" for x in rng.integers(0, 99, 25)] for _ in range(5)]
+    for i in range(60):
+        words = list(base[i % 5])
+        for at in rng.integers(0, 25, i % 3):
+            words[at] = f"n{rng.integers(0, 4)}"
+        rows.append((i // 2, " ".join(words)))
+    texts = [(k, "\n".join(t for key, t in rows if key == k)) for k in range(30)]
+    got = {r.doc_id: r.text for r in remove_later_lines(
+        spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(21)} for _, t in rows]
+    stay = [not any(10 * len(a & b) >= 8 * len(a | b) for b in sets[:i]) for i, a in enumerate(sets)]
+    assert got == {k: "\n".join(t for (key, t), s in zip(rows, stay) if key == k and s) for k in range(30)}
+
+
+def test_secrets(docs, nothing):
+    key = "AKIA" + "Z9" * 8
+    text = f"API_KEY: '{'q' * 8}' tokEn=abc {key} " + "0f" * 16
+    assert [(s, k) for s, k, _ in base_spans(text)] == [(0, 0), (text.index(key), 1), (len(text) - 32, 2)]
+    assert redact("abcdef", [(1, 3), (2, 4)], "#") == "a#ef"
+    rows = {r.doc_id: r.spans for r in find_secrets(docs, None).collect()}
+    assert [s.kind for s in rows[6]] == ["assign", "hex"] and rows[4] == [] and rows[1] == []
+    out = redact_secrets(docs, None)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[6].startswith("[secret]") and got[4] is None and got[1] == BASE
+    assert find_secrets(nothing, None).count() == 0
+    assert train_network(*labelled_findings(nothing)) is None
+
+
+def test_network_learns_and_keeps_recall():
+    rng = np.random.default_rng(1)
+    shown, labels = [], []
+    for i in range(400):
+        value = "".join(rng.choice(list("0123456789abcdefXYZ"), 24)) if i % 2 else "-".join(["plain", "words", "here"] * 2)
+        shown.append((f"set {value} now", 4, 4 + len(value)))
+        labels.append(i % 2)
+    codes = windows(shown)
+    net = train_network(codes, np.array(labels))
+    marked = net.score(codes) >= net.threshold
+    assert marked[1::2].mean() >= 0.95 and marked[0::2].mean() <= 0.05
+    assert train_network(codes[:1], np.array([1])) is None
+
+
+def test_maxscore(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (300, 12))
+    rows = [(i, [float(v) for v in x[i % 250]]) for i in range(300)]
+    rows += [(300, None), (400, [float("nan")] * 12), (500, [None] * 12), (600, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(0))
+    got = nearest_vectors(df, F.col("vec_id") % 100 == 0, k=4, block=40, query_block=2).collect()
+    v = {i: np.floor(1024 * np.array(e)).astype(int) for i, e in rows[:300]}
+    for q in (0, 100, 200):
+        want = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:4]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+    assert {r.query_id for r in got} == {0, 100, 200}
+    assert nearest_vectors(df.limit(0), F.col("vec_id") > 0).count() == 0
+
+
+def test_toxicity(spark, docs, nothing):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        words = [f"w{x}" for x in rng.integers(0, 500, 40)]
+        if i % 6 == 0:
+            words[:3] = ["vile", "rotten", "vile"]
+        rows.append((i, " ".join(words)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 600)] + [(1, None)], "doc_id long, toxic int")
+    model = fit_toxicity(texts, labels)
+    got = {r.doc_id: r.predicted for r in score_texts(texts, model).collect()}
+    assert np.mean([got[i] == int(i % 6 == 0) for i in range(600, 900)]) > 0.97
+    odd = {r.doc_id: r for r in score_texts(docs, model).collect()}
+    assert odd[4].score == odd[5].score and 0 <= odd[4].score <= 1
+    assert score_texts(nothing, model).count() == 0
+    assert train([], [], 0.1).offset < 0
