@@ -59,9 +59,12 @@ def found_in_text(
 
 
 def survivors(text: Column, fakes: Column) -> Column:
-    """Hard identifiers of a rewritten text that are no (part of a) replacement."""
+    """Hard identifiers of a rewritten text that are no (part of a) replacement and
+    hold none: two replacements side by side can look like one identifier, and
+    binding that would put replacements, not real values, into the map."""
     return F.filter(
-        detect_hits(text), lambda h: ~F.exists(fakes, lambda f: f.contains(h["value"]))
+        detect_hits(text),
+        lambda h: ~F.exists(fakes, lambda f: f.contains(h["value"]) | h["value"].contains(f)),
     )
 
 

@@ -24,7 +24,9 @@ def looks_binary(content: Column) -> Column:
 
 
 def read_text_docs(spark: SparkSession, path: str, reject_binary: bool = True) -> DataFrame:
-    """One row per text file: ``path, ext, kind, text``.
+    """One row per text file: ``path, ext, kind, text, error``.
+
+    A file that is no UTF-8 has a null text and an error; the others go on.
 
     Files with a known text extension or none are taken as they are; a file with
     another extension is taken unless it looks binary.  One file is one row, so
@@ -32,6 +34,7 @@ def read_text_docs(spark: SparkSession, path: str, reject_binary: bool = True) -
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     raw = raw.select("path", "content", file_ext(F.col("path")).alias("ext"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     known = F.col("ext").isin([*fv.TEXT_EXTENSIONS, ""])
     if reject_binary:
         raw = raw.where(known | ~looks_binary(F.col("content")))
@@ -39,7 +42,8 @@ def read_text_docs(spark: SparkSession, path: str, reject_binary: bool = True) -
         "path",
         F.when(F.col("ext") == "", "txt").otherwise(F.col("ext")).alias("ext"),
         F.lit("plainText").alias("kind"),
-        F.decode("content", "UTF-8").alias("text"),
+        text.alias("text"),
+        F.when(text.isNull(), F.lit("not UTF-8")).alias("error"),
     )
 
 

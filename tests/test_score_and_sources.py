@@ -146,3 +146,18 @@ def test_runs(spark, cuts):
     got = {(r.path, r.para, r.run): r.text for r in scrub_runs(runs, mapping).collect()}
     assert got == {("p", 0, 0): "Ask Avery Hartley now.", ("p", 0, 1): "", ("p", 0, 2): "",
                    ("p", 1, 0): "Quinn", ("q", 0, 0): "Dana"}
+
+
+def test_file_that_is_no_utf8_gives_an_error_row(spark, tmp_path):
+    (tmp_path / "good.txt").write_text("mail ann@x-corp.io", encoding="utf-8")
+    (tmp_path / "bad.txt").write_bytes(b"caf\xe9 \xff")
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in read_text_docs(spark, str(tmp_path)).collect()}
+    assert rows["good.txt"].text == "mail ann@x-corp.io" and rows["good.txt"].error is None
+    assert rows["bad.txt"].text is None and rows["bad.txt"].error == "not UTF-8"
+    out = tmp_path / "out"
+    (tmp_path / "in").mkdir()
+    for name in ("good.txt", "bad.txt"):
+        (tmp_path / name).rename(tmp_path / "in" / name)
+    assert scrub_path(spark, str(tmp_path / "in"), str(out)).count() == 2
+    texts = {r.error: r.scrubbed for r in spark.read.parquet(f"{out}/texts").collect()}
+    assert "ann@" not in texts[None] and "not UTF-8" in texts

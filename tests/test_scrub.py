@@ -10,7 +10,7 @@ from maskwright.plans.scoped import scrub_conversations, scrub_dataset
 from maskwright.plans.scrub import mapping_table, scrub, span_table
 
 HARD = ["ann@x-corp.io", "305-555-0142", "123-45-6789", "4111 1111 1111 1111",
-        "sk_live_9f3KJd82hQzX", "db1.internal.corp", "192.168.1.20"]
+        "sk_live_7hTq2LmX90bZ", "db1.internal.corp", "192.168.1.20"]
 
 
 def by_id(df, *columns):
@@ -65,15 +65,23 @@ def test_csv_text(spark):
 
 def test_essential_spans_stay(spark):
     def model(prompts, instructions, max_tokens):
-        return prompts.map(lambda p: "Miami | city | yes\nCarlos Mendez | person | no\na@b.co | other | yes")
+        return prompts.map(lambda p: "Lisbon | city | yes\nIrene Vasko | person | no\na@b.co | other | yes")
 
-    text = "Laws in Miami? For Carlos Mendez, a@b.co, Miami."
+    text = "Is Lisbon warm? Irene Vasko, a@b.co, asks about Lisbon."
     row = scrub(spark.createDataFrame([(text,)], "text string"), contextual=model,
                 strategy="baseline").first()
-    assert row.scrubbed.count("Miami") == 2
-    assert "Carlos" not in row.scrubbed and "a@b.co" not in row.scrubbed
+    assert row.scrubbed.count("Lisbon") == 2
+    assert "Irene" not in row.scrubbed and "a@b.co" not in row.scrubbed
     kept = [(s.text, s.fake, s.scrubbed) for s in row.spans if s.essential]
-    assert kept == [("Miami", "Miami", False)]
+    assert kept == [("Lisbon", "Lisbon", False)]
+
+
+def test_adjacent_identifiers_restore(spark):
+    ids = [f"{100 + i % 500}-{10 + i % 80}-{1000 + 7 * i}" for i in range(300)]
+    texts = [(i, f"ids {a} {ids[-1 - i]} end") for i, a in enumerate(ids)]
+    done = scrub(spark.createDataFrame(texts, "i long, text string"), contextual=None)
+    back = done.withColumn("back", restore_text(F.col("scrubbed"), F.col("mapping")))
+    assert back.where("back <> text").count() == 0
 
 
 def test_second_look_leaves_own_fakes(spark):
