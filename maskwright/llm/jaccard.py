@@ -9,12 +9,17 @@ The plan, for sets of shingle hashes and the rule
    at most ``1 / SHARE`` shingles can hold more than ``SHARE`` of all entries.
 2. Prefix shingles of a single class are dropped; they join nothing.  Classes of
    one size and with the same remaining prefix are one *group*.
-3. Classes are first compared with the least class of the shingles they share
-   most of; what links is joined into components.
+3. Classes are first compared with one class of each of their shingles: that with
+   the fewest shingles of its own, the middle of a family.  What links is joined
+   into components.
 4. Then groups are paired, only across components, filtered by size, number of
-   shared prefix shingles and positions; pairs that pass are expanded to their
-   members and verified on whole sets.  The most frequent component of a shingle
-   is not paired with itself, so a large family costs no square.
+   shared prefix shingles, positions and parity bits; pairs that pass are expanded
+   to their members and verified on whole sets.  The most frequent component of a
+   shingle is not paired with itself, so a large family costs no square.
+
+Parity bits tell for each of BITS buckets whether a set has an odd number of
+shingles in it.  Each shingle that only one of two sets has changes one bit, so
+sets whose bits differ in more places than they may differ in shingles do not link.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ SHARE = 1 / 131_072
 LOCAL_SHINGLES = 4_000_000
 LOCAL_LEAST = 4
 FILTER_WORDS = 1 << 20
+BITS = 512
 
 
 def _sets(batch_column: pa.Array, hasher: WordHasher, size: int):
@@ -97,26 +103,45 @@ def _prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _parity(found: np.ndarray) -> np.ndarray:
+    """Parity bits of a set, as 64-bit words."""
+    odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _bits_allow(n_a: str, bits_a: str, n_b: str, bits_b: str, percent: int) -> Column:
+    """Whether two sets differ in no more bits than linked ones may; true without bits."""
+    apart = F.lit(0)
+    for i in range(BITS // 64):
+        apart = apart + F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i))))
+    most = F.col(n_a) + F.col(n_b) - 2 * _need(F.col(n_a), F.col(n_b), percent)
+    return F.coalesce(apart <= most, F.lit(True))
+
+
 def _prefixes(texts: DataFrame, key: str, text: str, size: int, percent: int, frequent) -> DataFrame:
     kind = texts.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n long, print binary, prefix array<long>"
+    schema = f"`{key}` {kind}, n long, print binary, prefix array<long>, bits array<long>"
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
-            n, prints, ends, prefix = [], [], [0], []
+            n, prints, ends, prefix, bits = [], [], [0], [], []
             for _, found in _sets(batch.column(1), hasher, size):
                 n.append(len(found))
                 prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 keys = _in_order(found, *frequent)[:_prefix_length(len(found), percent) if len(found) else 0]
                 prefix.append(keys)
                 ends.append(ends[-1] + len(keys))
+                bits.append(_parity(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
                  pa.ListArray.from_arrays(
                      pa.array(ends, pa.int32()),
-                     pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))],
-                names=[key, "n", "print", "prefix"])
+                     pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
+                 pa.ListArray.from_arrays(
+                     pa.array(np.arange(len(bits) + 1) * (BITS // 64), pa.int32()),
+                     pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))],
+                names=[key, "n", "print", "prefix", "bits"])
 
     return texts.select(key, text).mapInArrow(run, schema)
 
@@ -190,6 +215,10 @@ def _whole_sets(texts: DataFrame, key: str, text: str, size: int, wanted: DataFr
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, key: str, text: str,
               size: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that link, by their whole sets."""
+    bits = classes.select("class", "n", "bits")
+    pairs = (pairs.join(bits.toDF("a", "n_a", "bits_a"), "a").join(bits.toDF("b", "n_b", "bits_b"), "b")
+             .where(_bits_allow("n_a", "bits_a", "n_b", "bits_b", percent)).select("a", "b"))
+    pairs = cut_lineage(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(ids.join(classes.select("class", key, "print"), "class"), "wanted")
     sets = cut_lineage(_whole_sets(texts, key, text, size, wanted).dropDuplicates(["class"]), "sets")
@@ -220,34 +249,39 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     frequent = _frequent(texts, text, size)
     docs = cut_lineage(_prefixes(texts, key, text, size, percent, frequent), "prefixes")
     one = docs.where("n > 0").groupBy("print").agg(
-        F.min(key).alias(key), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        F.min(key).alias(key), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+        F.first("bits").alias("bits"))
     classes = cut_lineage(one.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     index = classes.select("class", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = (index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("hub"))
-              .where("df > 1").select("token", "hub"))
-    live = cut_lineage(index.join(shared, "token"), "live")
-
-    # Classes against the least class of their shingles.
-    sizes = classes.select(F.col("class").alias("hub"), F.col("n").alias("n_hub"))
-    votes = (live.where(F.col("class") != F.col("hub")).groupBy("class", "hub")
-             .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("votes")).join(sizes, "hub"))
-    votes = votes.where(_may_link(F.col("n"), F.col("n_hub"), F.col("votes"), percent))
-    votes = cut_lineage(votes.select(F.col("class").alias("a"), F.col("hub").alias("b")), "hubs")
-    links = _verified(votes, classes, texts, key, text, size, percent)
-    found = cut_lineage(components(links), "components")
+    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    live = cut_lineage(index.join(shared, "token", "left_semi"), "live")
+
+    # Classes against the middle class of each of their shingles.
+    own = cut_lineage(live.groupBy("class").agg(
+        (_prefix_length_col(F.first("n"), percent) - F.count(F.lit(1))).alias("own")), "own")
+    placed = live.join(own, "class")
+    hubs = placed.groupBy("token").agg(F.min(F.struct("own", "class", "n")).alias("hub"))
+    votes = placed.join(hubs, "token").where(F.col("class") != F.col("hub.class"))
+    votes = votes.groupBy(F.col("class").alias("a"), F.col("hub.class").alias("b")).agg(
+        F.first("n").alias("n_a"), F.first("hub.n").alias("n_b"), F.count(F.lit(1)).alias("votes"))
+    votes = votes.where(_may_link(F.col("n_a"), F.col("n_b"), F.col("votes"), percent))
+    links = _verified(votes.select("a", "b"), classes, texts, key, text, size, percent)
+    found = cut_lineage(components(links).withColumnRenamed("vertex", "class"), "components")
 
     # Groups against groups of other components.
     group = F.xxhash64(F.first("n"), F.sort_array(F.collect_list(F.struct("pos", "token"))))
     second = F.hash(F.sort_array(F.collect_list(F.struct("token", "pos"))))
     groups = live.groupBy("class").agg(F.first("n").alias("n"), group.alias("g1"), second.alias("g2"))
-    members = groups.join(found.withColumnRenamed("vertex", "class"), "class", "left").select(
-        "class", "n", "g1", "g2", F.coalesce("component", "class").alias("component"))
-    cells = members.groupBy("g1", "g2", "n", "component").agg(F.min("class").alias("cell"))
+    members = groups.join(classes.select("class", "bits"), "class").join(found, "class", "left").withColumn(
+        "component", F.coalesce("component", "class"))
+    cells = members.groupBy("g1", "g2", "n", "component").agg(
+        F.min("class").alias("cell"), F.count(F.lit(1)).alias("n_members"))
     members = cut_lineage(members.join(cells, ["g1", "g2", "n", "component"]).select(
-        "class", "cell", "component"), "members")
+        "class", "n", "cell", "component", F.when(F.col("n_members") == 1, F.col("bits")).alias("bits")),
+        "members")
     rows = live.select("token", "pos", "n", F.col("class").alias("cell")).join(
-        members.where("class = cell").select("cell", "component"), "cell")
+        members.where("class = cell").select("cell", "component", "bits"), "cell")
     counts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n_cells"))
     top = (counts.groupBy("token")
            .agg(F.max(F.struct("n_cells", "component")).alias("top"), F.count(F.lit(1)).alias("n_components"))
@@ -257,6 +291,7 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     pairs = a.join(rows.alias("b"), "token").where(
         "a.component <> b.component and (b.component = b.top or a.component < b.component)"
         f" and 100 * least(a.n, b.n) >= {int(percent)} * greatest(a.n, b.n)")
+    pairs = pairs.where(_bits_allow("a.n", "a.bits", "b.n", "b.bits", percent))
     swap = F.expr("a.cell > b.cell")
     sides = [F.when(swap, F.struct("b.cell", "b.n", "b.pos")).otherwise(F.struct("a.cell", "a.n", "a.pos")),
              F.when(swap, F.struct("a.cell", "a.n", "a.pos")).otherwise(F.struct("b.cell", "b.n", "b.pos"))]
@@ -270,13 +305,13 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     pairs = (pairs.select("cell_a", "cell_b")
              .join(members.select(F.col("cell").alias("cell_a"), F.col("class").alias("a")), "cell_a")
              .join(members.select(F.col("cell").alias("cell_b"), F.col("class").alias("b")), "cell_b"))
-    pairs = cut_lineage(pairs.select("a", "b"), "pairs")
-    links = links.union(_verified(pairs, classes, texts, key, text, size, percent))
-    found = components(links)
+    links = links.union(
+        _verified(pairs.select("a", "b"), classes, texts, key, text, size, percent))
+    found = components(links).withColumnRenamed("vertex", "class")
 
     # Back to the texts.
     named = classes.select("class", "print").join(
-        found.withColumnRenamed("vertex", "class"), "class", "left").select(
+        found, "class", "left").select(
         "print", F.coalesce("component", "class").alias("component"))
     placed = cut_lineage(docs.select(key, "n", "print").join(named, "print", "left"), "placed")
     least = placed.where("n > 0").groupBy("component").agg(F.min(key).alias("least"))
