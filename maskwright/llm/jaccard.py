@@ -13,8 +13,8 @@ The plan, for sets of shingle hashes and the rule
    the fewest shingles of its own, the middle of a family.  What links is joined
    into components.
 4. Then groups are paired, only across components, filtered by size, number of
-   shared prefix shingles, positions and parity bits; pairs that pass are expanded
-   to their members and verified on whole sets.  The most frequent component of a
+   shared prefix shingles and positions; pairs that pass are expanded to their
+   members, filtered by parity bits and verified on whole sets.  The most frequent component of a
    shingle is not paired with itself, so a large family costs no square.
 
 Parity bits tell for each of BITS buckets whether a set has an odd number of
@@ -273,15 +273,14 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     group = F.xxhash64(F.first("n"), F.sort_array(F.collect_list(F.struct("pos", "token"))))
     second = F.hash(F.sort_array(F.collect_list(F.struct("token", "pos"))))
     groups = live.groupBy("class").agg(F.first("n").alias("n"), group.alias("g1"), second.alias("g2"))
-    members = groups.join(classes.select("class", "bits"), "class").join(found, "class", "left").withColumn(
+    members = groups.join(found, "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
     cells = members.groupBy("g1", "g2", "n", "component").agg(
-        F.min("class").alias("cell"), F.count(F.lit(1)).alias("n_members"))
+        F.min("class").alias("cell"))
     members = cut_lineage(members.join(cells, ["g1", "g2", "n", "component"]).select(
-        "class", "n", "cell", "component", F.when(F.col("n_members") == 1, F.col("bits")).alias("bits")),
-        "members")
+        "class", "cell", "component"), "members")
     rows = live.select("token", "pos", "n", F.col("class").alias("cell")).join(
-        members.where("class = cell").select("cell", "component", "bits"), "cell")
+        members.where("class = cell").select("cell", "component"), "cell")
     counts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n_cells"))
     top = (counts.groupBy("token")
            .agg(F.max(F.struct("n_cells", "component")).alias("top"), F.count(F.lit(1)).alias("n_components"))
@@ -291,7 +290,6 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     pairs = a.join(rows.alias("b"), "token").where(
         "a.component <> b.component and (b.component = b.top or a.component < b.component)"
         f" and 100 * least(a.n, b.n) >= {int(percent)} * greatest(a.n, b.n)")
-    pairs = pairs.where(_bits_allow("a.n", "a.bits", "b.n", "b.bits", percent))
     swap = F.expr("a.cell > b.cell")
     sides = [F.when(swap, F.struct("b.cell", "b.n", "b.pos")).otherwise(F.struct("a.cell", "a.n", "a.pos")),
              F.when(swap, F.struct("a.cell", "a.n", "a.pos")).otherwise(F.struct("b.cell", "b.n", "b.pos"))]
