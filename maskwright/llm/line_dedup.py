@@ -37,7 +37,7 @@ def _tokens(line: Column) -> Column:
 
 
 def _line(line: Column, counts: Column, percent: int) -> Column:
-    """``a, b, n, prefix`` of a line; null if it has fewer than five words.
+    """``bits, a, b, n, prefix`` of a line; null if it has fewer than five words.
 
     A token's rarity is the count of its first word, which bounds its own.  Count
     above and hash below give one number that sorts rare tokens first.
@@ -56,6 +56,7 @@ def _line(line: Column, counts: Column, percent: int) -> Column:
         n = F.size(s["set"])
         first = F.slice(s["keys"], F.lit(1), _prefix_length(n, percent))
         return F.struct(
+            _parity(s["set"]).alias("bits"),
             F.xxhash64(s["set"]).alias("a"), F.xxhash64(F.lit(1), s["set"]).alias("b"), n.alias("n"),
             F.transform(first, lambda x: F.shiftright(F.call_function("shiftleft", x, F.lit(32)), 32)
                         .cast("int")).alias("prefix"))
@@ -63,6 +64,12 @@ def _line(line: Column, counts: Column, percent: int) -> Column:
     return _bind(_words(line), of_words)
 
 
+def _parity(tokens: Column) -> Column:
+    """For each of 64 buckets, whether a set has an odd number of tokens in it."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
+
+
 def _bucket(hash_: Column) -> Column:
     return F.pmod(hash_, F.lit(BUCKETS)).cast("int")
 
@@ -117,7 +124,7 @@ def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
     stands.  Tokens, runs of five words, are ordered rare first by word counts over
     all texts (summed up in hash buckets; ties by hash).  Linked classes share one of the first ``n -
     ceil(t n) + 1`` tokens; pairs are filtered by length, shared prefix tokens and
-    positions, and verified on whole token sets.
+    positions and parity bits, and verified on whole token sets.
     """
     base = texts.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     rarity = cut_lineage(token_rarity(base, "text"), "rarity")
@@ -130,13 +137,14 @@ def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
 
     classes = lines.groupBy("a", "b").agg(
         F.min(F.struct("key", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"),
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()), "line-classes")
     index = classes.select("class", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     shared = cut_lineage(shared, "line-tokens")
     maybe = _maybe("token", cut_lineage(_bits(shared, "token"), "token-bits").scalar())
-    live = index.where(maybe).join(shared, "token", "left_semi").join(classes.select("class", "first"), "class")
+    live = index.where(maybe).join(shared, "token", "left_semi").join(
+        classes.select("class", "first", "bits"), "class")
     live = cut_lineage(live, "line-live")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -157,15 +165,26 @@ def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
         total = F.size("t_x") + F.size("t_y") - F.col("common")
         return both.where(100 * F.col("common") >= percent * total).select(F.col("x").alias("class")).distinct()
 
+    def bits_allow(n_x: str, bits_x: str, n_y: str, bits_y: str) -> Column:
+        """A token of one set only changes one bit: linked sets differ in few."""
+        most = F.col(n_x) + F.col(n_y) - 2 * _need(F.col(n_x), F.col(n_y), percent)
+        return F.bit_count(F.col(bits_x).bitwiseXOR(F.col(bits_y))) <= most
+
     def may_link(shared: Column) -> Column:
         n_x, n_y = F.col("n_x"), F.col("n_y")
         rest = F.greatest(n_x - _prefix_length(n_x, percent), n_y - _prefix_length(n_y, percent))
         close = 100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)
         return close & (shared + rest >= _need(n_x, n_y, percent))
 
-    # First against the earliest class of each token: most lines of a large family go here.
-    earliest = live.groupBy("token").agg(F.min(F.struct("first", "class", "n")).alias("hub"))
-    votes = live.join(earliest, "token").where(F.col("class") != F.col("hub.class"))
+    # First against the class of each token with the fewest tokens of its own, the
+    # earliest such: the middle of a family, which most of its later lines match.
+    own = live.groupBy("class").agg(
+        (_prefix_length(F.first("n"), percent) - F.count(F.lit(1))).alias("own"))
+    placed = live.join(own, "class")
+    middle = placed.groupBy("token").agg(F.min(F.struct("own", "first", "class", "n", "bits")).alias("hub"))
+    votes = placed.join(middle, "token").where(
+        (F.col("first") > F.col("hub.first")) & (F.col("class") != F.col("hub.class"))
+        & bits_allow("n", "bits", "hub.n", "hub.bits"))
     votes = votes.groupBy("class", F.col("hub.class").alias("y")).agg(
         F.first("n").alias("n_x"), F.first("hub.n").alias("n_y"), F.count(F.lit(1)).alias("shared"))
     gone_early = cut_lineage(verified(
@@ -175,7 +194,8 @@ def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
     x, y = live.join(gone_early, "class", "left_anti").alias("x"), live.alias("y")
     pairs = x.join(y, "token").where(
         "x.first > y.first and x.class <> y.class"
-        f" and 100 * least(x.n, y.n) >= {int(percent)} * greatest(x.n, y.n)")
+        f" and 100 * least(x.n, y.n) >= {int(percent)} * greatest(x.n, y.n)").where(
+        bits_allow("x.n", "x.bits", "y.n", "y.bits"))
     pairs = pairs.groupBy("x.class", "y.class").agg(
         F.first("x.n").alias("n_x"), F.first("y.n").alias("n_y"), F.count(F.lit(1)).alias("shared"),
         F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
