@@ -1,8 +1,8 @@
 """Which pairs of a scope's map occur in which text of the scope.
 
-A text needs only the pairs whose value it contains.  A scope with few pairs
-hands all of them to each of its texts; for a large one the pairs are found by
-equi-joins on token sequences, so no text ever meets the whole map.
+A text needs only the pairs whose value it contains.  They are found by
+equi-joins on token sequences, at every size of the map, so no text ever meets
+the whole map of its scope and no list of a scope's pairs is built.
 """
 
 from __future__ import annotations
@@ -14,28 +14,46 @@ from ..functions.hashing import let
 TOKEN = "[A-Za-z0-9]+"
 CORE = "(?s)[A-Za-z0-9](?:.*[A-Za-z0-9])?"
 INLINE_PAIRS = 1000
+SALTS = 16
 
 
 def attach_pairs(
     texts: DataFrame, pairs: DataFrame, keys: list[str], text: str = "text",
-    inline: int = INLINE_PAIRS, whole_token: bool = True,
 ) -> DataFrame:
     """Add ``pairs`` (array of find/put) to ``texts(scope, keys, text, ...)``.
 
-    ``pairs`` has ``(scope, find, put)`` with unique ``find`` per scope.  Scopes
-    with more than ``inline`` pairs take the join route; the result is the same.
+    ``pairs`` has ``(scope, find, put)`` with unique ``find`` per scope.  A text
+    gets those that may occur in it as whole tokens; null if there is none.
+    """
+    found = occurring_pairs(texts.select("scope", *keys, text), pairs, keys, text)
+    return texts.join(found, ["scope", *keys], "left")
+
+
+def attach_stand_ins(
+    texts: DataFrame, pairs: DataFrame, keys: list[str], text: str, inline: int = INLINE_PAIRS,
+) -> DataFrame:
+    """The same for restoring, where a stand-in may start inside a token.
+
+    Scopes with at most ``inline`` pairs hand their list, salted, to their texts;
+    larger ones are joined on substrings.  Restoring drops pairs that do not
+    occur, so texts come out the same either way.
     """
     counts = pairs.groupBy("scope").agg(F.count(F.lit(1)).alias("_n"))
     large = counts.where(F.col("_n") > inline).select("scope")
     small_pairs = pairs.join(large, "scope", "left_anti").groupBy("scope").agg(
         F.collect_list(F.struct("find", "put")).alias("pairs")
-    )
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = texts.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+
+    def handed(rows: DataFrame) -> DataFrame:
+        return rows.join(small_pairs, ["scope", "_salt"], "left").drop("_salt")
+
     if large.isEmpty():
-        return texts.join(small_pairs, "scope", "left")
-    few = texts.join(large, "scope", "left_anti").join(small_pairs, "scope", "left")
+        return handed(salted)
+    few = handed(salted.join(large, "scope", "left_anti"))
     many = texts.join(large, "scope", "left_semi")
     wanted = pairs.join(large, "scope", "left_semi")
-    found = occurring_pairs(many.select("scope", *keys, text), wanted, keys, text, whole_token)
+    found = occurring_pairs(many.select("scope", *keys, text), wanted, keys, text, False)
     return few.unionByName(many.join(found, ["scope", *keys], "left"))
 
 
@@ -153,5 +171,3 @@ def _by_substring(texts, pairs, id_cols, text) -> DataFrame:
     if not short.isEmpty():
         hits = hits.unionByName(_substring_hits(texts, short, id_cols, text))
     return hits.groupBy(*id_cols).agg(F.collect_list(F.struct("find", "put")).alias("pairs"))
-
-

@@ -80,11 +80,9 @@ def rewrite(text: Column, pairs: Column, whole_token: bool = True) -> Column:
     return F.when(F.coalesce(F.size(pairs), F.lit(0)) > 0, let(present, apply)).otherwise(text)
 
 
-def apply_mapping(
-    df: DataFrame, pairs: str = "pairs", text: str = "text", out: str = "scrubbed"
-) -> DataFrame:
-    """Rewrite a text column with the pairs held in the same row."""
-    return df.withColumn(out, rewrite(F.col(text), F.col(pairs)))
+def occurs(text: Column, find: Column) -> Column:
+    """Whether a text holds ``find`` as whole tokens."""
+    return text.rlike(F.concat(F.lit(f"(?<!{TOKEN})"), _literal(find), F.lit(f"(?!{TOKEN})")))
 
 
 def redact(text: Column, values: Column, kinds: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as fv
 from ..functions.hashing import let
 from ..functions.text import csv_fields, text_lines, trim_spaces
+from ..storage import cut_lineage
 from .bind import bind_values, first_seen
 
 CELL_TYPE = "array<struct<text:string,kind:string>>"
@@ -132,7 +133,8 @@ def scrub_table(
     """
     kinds = classify_columns(df, overrides)
     columns = [c for c in df.columns if kinds.get(c, "skip") != "skip"]
-    mapping = bind_values(table_values(df, kinds), existing)
+    # Every column joins the map: it is bound once and written.
+    mapping = cut_lineage(bind_values(table_values(df, kinds), existing), "mapping")
     out = df
     for name in columns:
         text = F.col(name).cast("string")

@@ -498,6 +498,17 @@ ORACLES: dict[str, str] = {
     "scrub_chat_ids_by_join": CHAT_IDS,
     "dataset_mapping": DOC_HITS + """SELECT kind, count(*) AS n_values, count(*) AS n_fakes
       FROM (SELECT v, arg_min(kind, (rule, doc_id, pos)) AS kind FROM hits GROUP BY v) GROUP BY kind""",
+    "adjacent_ids_roundtrip": """WITH ssn AS (SELECT c_custkey, list_transform(
+          [c_custkey, c_custkey * 13 + 5], lambda k: (100 + k % 500) || '-' || (10 + k % 80) || '-'
+            || (1000 + (k * 7) % 9000)) AS s FROM customer)
+      SELECT scope_kind, c_custkey, 'ids ' || s[1] || ' ' || s[2] || ' end' AS restored
+      FROM ssn, (VALUES ('text'), ('chat'), ('dataset')) v(scope_kind)""",
+    "scrub_dataset_mixed": f"""WITH tables AS (SELECT bucket FROM ({CSV_TEXTS}) GROUP BY bucket
+        HAVING count(*) >= 2 AND count(*) FILTER (n_fields = 4) * 100 >= count(*) * 80),
+      known AS (SELECT DISTINCT c_nationkey AS n FROM customer JOIN tables ON bucket = c_custkey // 20)
+      SELECT -1 - (c_custkey // 20) AS doc_id, bool_or(n IS NULL) AS cells_left
+      FROM customer LEFT JOIN known ON n = c_nationkey GROUP BY 1
+      UNION ALL SELECT doc_id, contains(text, ',city ') FROM documents""",
     "adopted_mapping": """SELECT (c_custkey % 50)::VARCHAR AS scope, count(*) AS n_values,
         count(*) AS n_fakes, (count(*) FILTER (c_custkey % 2 = 0))::BIGINT AS n_kept
       FROM customer GROUP BY 1""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.occur import INLINE_PAIRS, attach_pairs
+from ..operators.occur import INLINE_PAIRS, attach_stand_ins
 from ..operators.rewrite import rewrite
 
 
@@ -31,7 +31,7 @@ def restore(
         F.col("scope").cast("string").alias("scope"),
         F.col("fake").alias("find"), F.col("real").alias("put"),
     )
-    held = attach_pairs(rows, pairs, keys, text, inline, whole_token=False)
+    held = attach_stand_ins(rows, pairs, keys, text, inline)
     done = rewrite(F.col(text), F.col("pairs"), whole_token=False)
     if where is not None:
         done = F.when(where, done).otherwise(F.col(text))

@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.hashing import let
-from ..functions.text import csv_fields, looks_like_csv_lines, text_lines, trim_spaces
+from ..functions.text import (
+    csv_fields, looks_like_csv, looks_like_csv_lines, text_lines, trim_spaces,
+)
 from ..operators.bind import bind_values, first_seen
 from ..operators.candidates import rule_spans
 from ..operators.detect import detect_hits, explode_in_order
-from ..operators.occur import INLINE_PAIRS, attach_pairs
-from ..operators.rewrite import no_pairs, rewrite
-from ..operators.tabular import classify_header, csv_cells
+from ..operators.occur import attach_pairs
+from ..operators.rewrite import no_pairs, occurs, rewrite
+from ..operators.tabular import classify_header, csv_cells, csv_text_cells
 from ..storage import cut_lineage
+from .scrub import survivors
 
 
 class Scrubbed(NamedTuple):
@@ -80,6 +83,15 @@ def table_scopes(rows: DataFrame, order: list[str], text: str) -> DataFrame:
     )
 
 
+def _cell_values(cells: DataFrame, order: list[str], source: str) -> DataFrame:
+    """Values of ``(scope, order, _c)`` with an array of text and kind per row."""
+    found = explode_in_order(cells, "_c", "pos", "_e").select(
+        "scope", *order, F.col("_e.text").alias("real"), F.col("_e.kind").alias("kind"),
+        F.lit(0).alias("rule"), "pos",
+    )
+    return _values(found, order, 1, source)
+
+
 def _table_values(rows: DataFrame, tables: DataFrame, order: list[str], text: str) -> DataFrame:
     joined = rows.select("scope", *order, text).join(tables, "scope")
     lines = F.filter(
@@ -88,13 +100,11 @@ def _table_values(rows: DataFrame, tables: DataFrame, order: list[str], text: st
         & ~((F.struct(*order) == F.col("header_at")) & (e["ix"] == F.col("header_ix"))),
     )
     cells = csv_cells(F.transform(lines, lambda e: e["line"]), F.col("kinds"))
-    found = explode_in_order(
-        joined.select("scope", *order, cells.alias("_c")), "_c", "pos", "_e"
-    ).select(
-        "scope", *order, F.col("_e.text").alias("real"), F.col("_e.kind").alias("kind"),
-        F.lit(0).alias("rule"), "pos",
-    )
-    return _values(found, order, 1, "csv")
+    return _cell_values(joined.select("scope", *order, cells.alias("_c")), order, "csv")
+
+
+def _pairs(mapping: DataFrame) -> DataFrame:
+    return mapping.select("scope", F.col("real").alias("find"), F.col("fake").alias("put"))
 
 
 def scrub_scoped(
@@ -103,42 +113,42 @@ def scrub_scoped(
     order: list[str],
     text: str = "text",
     contextual: str | None = None,
-    csv: bool = True,
+    csv: bool | str = "scope",
     existing: DataFrame | None = None,
-    inline: int = INLINE_PAIRS,
 ) -> Scrubbed:
     """Scrub texts with one map per ``scope`` (``None``: one map for all).
 
-    ``order`` columns tell the texts of a scope apart and order them.
-    ``existing`` is an earlier map ``(scope, real, fake)`` to go on with.
+    ``order`` columns tell the texts of a scope apart and order them.  ``csv``
+    says what may be a table: the texts of a ``"scope"`` one after another (a
+    chat that pastes a table in parts), each ``"text"`` alone, or nothing
+    (``False``).  ``existing`` is an earlier map ``(scope, real, fake)`` to go on with.
     """
     if contextual not in (None, "rules"):
         raise ValueError("a shared map takes the finder 'rules' or none")
+    csv = "scope" if csv is True else csv
+    if csv not in ("scope", "text", False):
+        raise ValueError("csv is 'scope', 'text' or False")
     given = df.columns
     rows = df.withColumn(
         "scope", F.col(scope).cast("string") if scope else F.lit("all")
     ).withColumnRenamed(text, "_text")
-    look = rows.select("scope", *order, "_text").withColumn("_hits", detect_hits(F.col("_text")))
+    t = F.col("_text")
+    look = rows.select("scope", *order, "_text").withColumn("_hits", detect_hits(t))
     values = _hard_values(look, order, "_hits", 0, "regex")
-    tables = None
-    if csv:
+    prose, is_prose = rows.select("scope", *order, "_text"), F.lit(True)
+    if csv == "text":
+        is_prose = ~looks_like_csv(t)
+        cells = F.when(is_prose, None).otherwise(csv_text_cells(t))
+        values = values.unionByName(
+            _cell_values(prose.select("scope", *order, cells.alias("_c")), order, "csv"))
+    elif csv == "scope":
         tables = cut_lineage(table_scopes(rows, order, "_text"), "tables")
-        if tables.isEmpty():
-            tables = None
-        else:
+        if not tables.isEmpty():
             values = values.unionByName(_table_values(rows, tables, order, "_text"))
-    if contextual == "rules":
-        prose = rows.select("scope", *order, "_text")
-        if tables is not None:
             prose = prose.join(tables.select("scope"), "scope", "left_anti")
-        found = explode_in_order(
-            prose.select("scope", *order, rule_spans(F.col("_text")).alias("_s")),
-            "_s", "pos", "_e",
-        ).select(
-            "scope", *order, F.col("_e.text").alias("real"), F.col("_e.kind").alias("kind"),
-            F.lit(0).alias("rule"), "pos",
-        )
-        values = values.unionByName(_values(found, order, 1, "rules"))
+    if contextual == "rules":
+        found = prose.select("scope", *order, F.when(is_prose, rule_spans(t)).alias("_c"))
+        values = values.unionByName(_cell_values(found, order, "rules"))
 
     firsts = first_seen(values, "scope", "real", "kind", F.col("ord"))
     mapping = cut_lineage(bind_values(firsts, existing), "mapping")
@@ -150,41 +160,53 @@ def scrub_scoped(
             )
         )
 
-    def rewritten(with_map: DataFrame) -> DataFrame:
-        pairs = with_map.select("scope", F.col("real").alias("find"), F.col("fake").alias("put"))
-        held = attach_pairs(rows, pairs, order, "_text", inline)
-        return held.withColumn("scrubbed", rewrite(F.col("_text"), F.col("pairs")))
-
-    # Second look at the rewritten texts; what is no replacement gets bound too.
-    once = rewritten(applied).withColumn(
+    # Second look at the rewritten texts, with the stand-ins of each text itself.
+    once = attach_pairs(rows, _pairs(applied), order, "_text")
+    once = once.withColumn("scrubbed", rewrite(t, F.col("pairs")))
+    own = F.transform("pairs", lambda p: p["put"])
+    once = cut_lineage(once.withColumn(
         "_left",
-        F.when(
-            F.coalesce(F.size("pairs"), F.lit(0)) > 0,
-            let(
-                F.transform(F.coalesce("pairs", no_pairs()), lambda p: p["put"]),
-                lambda fakes: F.filter(
-                    detect_hits(F.col("scrubbed")),
-                    lambda h: ~F.exists(fakes, lambda f: f.contains(h["value"])),
-                ),
-            ),
-        ),
-    )
-    left = _hard_values(once, order, "_left", 2, "regex-backstop")
-    left = left.join(
+        F.when(F.size("pairs") > 0, let(own, lambda o: survivors(F.col("scrubbed"), o))),
+    ).withColumnRenamed("pairs", "_own"), "once")
+    left = _hard_values(once, order, "_left", 2, "regex-backstop").join(
         applied.select("scope", F.col("fake").alias("real")), ["scope", "real"], "left_anti"
-    ).join(applied.select("scope", "real"), ["scope", "real"], "left_anti")
-    extra = cut_lineage(first_seen(left, "scope", "real", "kind", F.col("ord")), "extra")
-    if extra.isEmpty():
-        final = rewritten(applied)
-    else:
-        more = bind_values(extra, applied)
-        mapping = cut_lineage(mapping.unionByName(more), "mapping")
-        final = rewritten(applied.unionByName(more.select("scope", "real", "fake")))
+    )
+    left = cut_lineage(left, "left")
+    final, replaced = once, None
+    if not left.isEmpty():
+        new = left.join(applied.select("scope", "real"), ["scope", "real"], "left_anti")
+        more = cut_lineage(
+            bind_values(first_seen(new, "scope", "real", "kind", F.col("ord")), applied), "more")
+        again = applied.join(left.select("scope", "real"), ["scope", "real"], "left_semi")
+        again = again.unionByName(more.select("scope", "real", "fake"))
+        seen = attach_pairs(once, _pairs(again), order, "scrubbed")
+        # Stand-ins of the first look are matched by themselves, so none is cut up.
+        held = F.filter(
+            F.transform(
+                F.coalesce("_own", no_pairs()),
+                lambda p: F.struct(p["put"].alias("find"), p["put"].alias("put")),
+            ),
+            lambda p: ~F.exists("pairs", lambda q: q["find"] == p["find"]),
+        )
+        final = seen.withColumn(
+            "scrubbed",
+            F.when(F.size("pairs") > 0, rewrite(F.col("scrubbed"), F.concat("pairs", held)))
+            .otherwise(F.col("scrubbed")),
+        )
+        hit = F.filter("pairs", lambda p: occurs(F.col("scrubbed"), p["find"]))
+        replaced = explode_in_order(
+            seen.select("scope", hit.alias("_h")), "_h", "_i", "_p"
+        ).select("scope", F.col("_p.find").alias("real")).distinct().withColumn("_put", F.lit(True))
+        mapping = mapping.unionByName(more)
     texts = final.withColumnRenamed("_text", text).select(*given, "scrubbed")
-    spans = mapping.select(
+    spans = mapping.withColumn("scrubbed", F.lit(True))
+    if replaced is not None:
+        second = F.col("ord.source") == "regex-backstop"
+        spans = mapping.join(replaced, ["scope", "real"], "left").withColumn(
+            "scrubbed", ~second | F.coalesce("_put", F.lit(False)))
+    spans = spans.select(
         "scope", F.col("real").alias("text"), "fake", F.col("kind").alias("category"),
-        F.col("ord.source").alias("source"), F.lit(False).alias("essential"),
-        F.lit(True).alias("scrubbed"),
+        F.col("ord.source").alias("source"), F.lit(False).alias("essential"), "scrubbed",
     )
     return Scrubbed(texts, mapping.select("scope", "real", "fake", "kind"), spans)
 
@@ -199,7 +221,7 @@ def scrub_conversations(
 
 def scrub_dataset(
     df: DataFrame, key: str = "doc_id", text: str = "text", contextual: str | None = None,
-    **options,
+    csv: bool = True, **options,
 ) -> Scrubbed:
-    """Scrub all texts of a dataset with one map."""
-    return scrub_scoped(df, None, [key], text, contextual, **options)
+    """Scrub all texts of a dataset with one map; each text may be a table of its own."""
+    return scrub_scoped(df, None, [key], text, contextual, "text" if csv else False, **options)

@@ -25,7 +25,7 @@ from .operators.finder import STRATEGIES, chunk_documents, find_spans, redacted_
 from .operators.detect import detect_hits
 from .operators.tabular import classify_columns, csv_text_cells, scrub_table, table_values
 from .plans.restore import restore, restore_text, split_payload
-from .plans.scoped import scrub_conversations, scrub_dataset
+from .plans.scoped import scrub_conversations, scrub_dataset, scrub_scoped
 from .plans.scrub import mapping_table, scrub, span_table
 from .sources.chat import chat_fields, request_fields
 from .sources.mappings import (
@@ -548,11 +548,47 @@ def scrub_chat_ids(spark, sf_dir):
 
 
 def scrub_chat_ids_by_join(spark, sf_dir):
-    """The same through the join route for large maps."""
-    done = scrub_conversations(_chats_with_ids(spark, sf_dir), contextual=None, inline=0)
+    """The same with one map of all conversations and every turn routed alone."""
+    turns = _chats_with_ids(spark, sf_dir)
+    done = scrub_scoped(turns, "conv_id", ["turn"], csv="text")
     return done.texts.select("conv_id", "turn", "scrubbed")
 
 
+def _adjacent_ids(spark, sf_dir) -> DataFrame:
+    """Two numbers side by side that may look like one identifier together."""
+    n = F.col("c_custkey")
+    ssn = lambda k: F.concat(
+        digits(100 + k % 500, 3), F.lit("-"), digits(10 + k % 80, 2), F.lit("-"),
+        digits(1000 + (k * 7) % 9000, 4))
+    text = F.concat(F.lit("ids "), ssn(n), F.lit(" "), ssn(n * 13 + 5), F.lit(" end"))
+    return table(spark, sf_dir, "customer", "c_custkey").select(
+        "c_custkey", (n % 20).alias("conv_id"), text.alias("text"))
+
+
+def adjacent_ids_roundtrip(spark, sf_dir):
+    """Identifiers side by side come back whole from a map per text, chat and dataset."""
+    rows = _adjacent_ids(spark, sf_dir)
+    alone = scrub(rows, contextual=None)
+    out = alone.select(
+        F.lit("text").alias("scope_kind"), "c_custkey",
+        restore_text(F.col("scrubbed"), F.col("mapping")).alias("restored"))
+    for name, done, scope in (
+        ("chat", scrub_conversations(rows, turn="c_custkey", contextual=None), "conv_id"),
+        ("dataset", scrub_dataset(rows, "c_custkey"), None),
+    ):
+        back = restore(done.texts, done.mapping, scope, ["c_custkey"])
+        out = out.unionByName(back.select(F.lit(name).alias("scope_kind"), "c_custkey", "restored"))
+    return out
+
+
+def scrub_dataset_mixed(spark, sf_dir):
+    """Tables and prose under one map: every text is routed by itself."""
+    prose = table(spark, sf_dir, "documents", "doc_id", "text")
+    done = scrub_dataset(prose.unionByName(csv_texts(spark, sf_dir).select(
+        (-1 - F.col("bucket")).alias("doc_id"), "text")))
+    return done.texts.select("doc_id", F.col("scrubbed").contains(",city ").alias("cells_left"))
+
+
 def dataset_mapping(spark, sf_dir):
     """One map for all documents."""
     done = scrub_dataset(table(spark, sf_dir, "documents", "doc_id", "text"), csv=False)
@@ -774,6 +810,8 @@ QUERIES = {
     "scrub_chat_ids": scrub_chat_ids,
     "scrub_chat_ids_by_join": scrub_chat_ids_by_join,
     "dataset_mapping": dataset_mapping,
+    "adjacent_ids_roundtrip": adjacent_ids_roundtrip,
+    "scrub_dataset_mixed": scrub_dataset_mixed,
     "adopted_mapping": adopted_mapping,
     "chat_turns": chat_turns,
     "chat_requests": chat_requests,

@@ -21,11 +21,11 @@ OUT = "strategy string, id string, scrubbed string, spans array<struct<text:stri
 
 def test_scores(spark):
     cases = spark.createDataFrame([
-        ("c1", "x", ["Dana", "Kestrel", "Dana", "Miami"], ["Miami", "Miami"]),
+        ("c1", "x", ["Jola", "Kestrel", "Jola", "Turku"], ["Turku", "Turku"]),
         ("c2", None, [], []),
     ], CASE)
     outputs = spark.createDataFrame([
-        ("s", "c1", "Dana at X in Y", [("Kestrel", True), ("Noise", True), ("Kept", False)], None),
+        ("s", "c1", "Jola at X in Y", [("Kestrel", True), ("Noise", True), ("Kept", False)], None),
         ("s", "c2", "text", [], None),
         ("t", "c1", None, None, "timeout"),
         ("t", "c2", "text", [], None),
@@ -34,14 +34,14 @@ def test_scores(spark):
     got = {(r.strategy, r.id): r for r in scores.collect()}
     r = got["s", "c1"]
     assert (r.recall, r.leaks, r.over_scrubbed, r.extra_scrubbed, r.n_pii) == (
-        0.333, ["Dana", "Dana"], ["Miami"], ["Noise"], 3)
+        0.333, ["Jola", "Jola"], ["Turku"], ["Noise"], 3)
     assert got["s", "c2"].recall == 1.0 and got["s", "c2"].task == "?"
     r = got["t", "c1"]
     assert (r.recall, r.leaks, r.over_scrubbed, r.n_pii) == (0.0, ["<error>"], [], 4)
     ranked = sc.rank_strategies(sc.score_strategies(scores)).orderBy("rank").collect()
     assert [(r.strategy, r.total_leaks, r.mean_recall) for r in ranked] == [("t", 1, 0.5), ("s", 2, 0.666)]
     notes = {r.id: r.notes for r in sc.case_report(scores).where("strategy = 's'").collect()}
-    assert notes == {"c1": "LEAK:Dana,Dana; over:Miami", "c2": ""}
+    assert notes == {"c1": "LEAK:Jola,Jola; over:Turku", "c2": ""}
 
 
 def test_cases_and_cache(spark, tmp_path):
@@ -60,7 +60,7 @@ def test_cases_and_cache(spark, tmp_path):
 def test_text_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.TXT").write_text("mail a@b.co")
-    (tmp_path / "in" / "noext").write_text("call 305-555-0142")
+    (tmp_path / "in" / "noext").write_text("call 718-555-0164")
     (tmp_path / "in" / "odd.xyz").write_text("fine")
     (tmp_path / "in" / "bin.xyz").write_bytes(b"ab\0cd")
     docs = read_text_docs(spark, str(tmp_path / "in"))
@@ -87,10 +87,10 @@ def test_result_json(spark):
 
 def test_mapping_store(spark, tmp_path):
     mapping = spark.createDataFrame(
-        [("s", "Dana", "Avery"), ("s", "Bob", "Quinn"), ("t", "Dana", "Sage")],
+        [("s", "Jola", "Avery"), ("s", "Bob", "Quinn"), ("t", "Jola", "Sage")],
         "scope string, real string, fake string")
     documents = mapping_documents(mapping)
-    assert {r.scope: r.value for r in documents.collect()}["s"] == '{"Avery":"Dana","Quinn":"Bob"}'
+    assert {r.scope: r.value for r in documents.collect()}["s"] == '{"Avery":"Jola","Quinn":"Bob"}'
     back = load_mapping(documents).select("scope", "real", "fake")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, mapping.collect()))
     broken = load_mapping(spark.createDataFrame([("x", "nope")], "scope string, value string"))
@@ -101,9 +101,9 @@ def test_mapping_store(spark, tmp_path):
     save_mapping(mapping, str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == 3
     (tmp_path / "f").mkdir()
-    (tmp_path / "f" / "1700000000-my_doc.map.json").write_text('{"Avery": "Dana"}')
+    (tmp_path / "f" / "1700000000-my_doc.map.json").write_text('{"Avery": "Jola"}')
     row = read_mapping_files(spark, str(tmp_path / "f")).first()
-    assert (row.source_name, row.fake, row.real) == ("my_doc", "Avery", "Dana")
+    assert (row.source_name, row.fake, row.real) == ("my_doc", "Avery", "Jola")
 
 
 def test_mapping_names(spark):
@@ -134,18 +134,18 @@ def test_requests(spark):
 
 @pytest.mark.parametrize("cuts", [(3, 9), (1, 2), (12, 20)])
 def test_runs(spark, cuts):
-    text = "Ask Dana Whitfield now."
+    text = "Ask Jola Whitfield now."
     i, j = cuts
     runs = spark.createDataFrame(
         [("p", "doc", 0, 1, text[i:j]), ("p", "doc", 0, 0, text[:i]), ("p", "doc", 0, 2, text[j:]),
-         ("p", "doc", 1, 0, "Dana"), ("q", "doc", 0, 0, "Dana")],
+         ("p", "doc", 1, 0, "Jola"), ("q", "doc", 0, 0, "Jola")],
         "path string, part string, para int, run int, text string")
     mapping = spark.createDataFrame(
-        [("p", "Dana Whitfield", "Avery Hartley"), ("p", "Dana", "Quinn")],
+        [("p", "Jola Whitfield", "Avery Hartley"), ("p", "Jola", "Quinn")],
         "scope string, real string, fake string")
     got = {(r.path, r.para, r.run): r.text for r in scrub_runs(runs, mapping).collect()}
     assert got == {("p", 0, 0): "Ask Avery Hartley now.", ("p", 0, 1): "", ("p", 0, 2): "",
-                   ("p", 1, 0): "Quinn", ("q", 0, 0): "Dana"}
+                   ("p", 1, 0): "Quinn", ("q", 0, 0): "Jola"}
 
 
 def test_file_that_is_no_utf8_gives_an_error_row(spark, tmp_path):

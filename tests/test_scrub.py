@@ -9,7 +9,7 @@ from maskwright.plans.restore import restore, restore_text, split_payload
 from maskwright.plans.scoped import scrub_conversations, scrub_dataset
 from maskwright.plans.scrub import mapping_table, scrub, span_table
 
-HARD = ["ann@x-corp.io", "305-555-0142", "123-45-6789", "4111 1111 1111 1111",
+HARD = ["ann@x-corp.io", "718-555-0164", "517-24-8306", "4539 1488 0343 6467",
         "sk_live_7hTq2LmX90bZ", "db1.internal.corp", "192.168.1.20"]
 
 
@@ -19,13 +19,13 @@ def by_id(df, *columns):
 
 
 @pytest.mark.parametrize("text,pairs,whole,expected", [
-    ("Dana at Danacorp, Dana.", [("Dana", "X")], True, "X at Danacorp, X."),
+    ("Jola at Jolacorp, Jola.", [("Jola", "X")], True, "X at Jolacorp, X."),
     ("a $1 \\E x", [("\\E", "$2\\"), ("$1", "q")], True, "a q $2\\ x"),
     ("Avery and Avery Mercer", [("Avery", "Avery Mercer"), ("Avery Mercer", "Quinn")], True,
      "Avery Mercer and Quinn"),
     ("aXa", [("X", "y")], True, "aXa"),
     ("aXa", [("X", "y")], False, "aya"),
-    ("éDana", [("Dana", "X")], True, "éX"),
+    ("éJola", [("Jola", "X")], True, "éX"),
     ("none", [], True, "none"),
     ("", [("a", "b")], True, ""),
 ])
@@ -106,43 +106,68 @@ def test_span_and_mapping_tables(spark):
 
 
 TURNS = [
-    ("a", 0, "system", "Be nice to my manager Dana. Mail dana@x.com or 10.1.2.3"),
-    ("a", 1, "user", "Dana said (305) 555-0142 is ok; Danacorp not, dana@x.com"),
+    ("a", 0, "system", "Be nice to my manager Jola. Mail jola@x.com or 10.1.2.3"),
+    ("a", 1, "user", "Jola said (718) 555-0164 is ok; Jolacorp not, jola@x.com"),
     ("a", 2, "user", "  "),
-    ("b", 0, "user", "Name,Phone,Org\nAnn Lee,305-555-0142,Kestrel Inc"),
-    ("b", 1, "user", "Bob Ray,305-555-0143,Kestrel Inc\n"),
+    ("b", 0, "user", "Name,Phone,Org\nAnn Lee,718-555-0164,Norvik Inc"),
+    ("b", 1, "user", "Bob Ray,718-555-0165,Norvik Inc\n"),
     ("c", 0, "user", "nothing here"),
 ]
 
 
 def test_conversations_share_a_map(spark):
     df = spark.createDataFrame(TURNS, "conv_id string, turn int, role string, text string")
-    results = []
+    done = scrub_conversations(df)
+    rows = sorted(map(tuple, done.texts.collect()))
     for inline in (200, 0):
-        done = scrub_conversations(df, inline=inline)
-        results.append(sorted(map(tuple, done.texts.collect())))
         back = restore(done.texts, done.mapping, "conv_id", ["turn"], inline=inline)
         assert back.where("restored <> text").count() == 0
-    assert results[0] == results[1]
-    text = {(r[0], r[1]): r[4] for r in results[0]}
+    text = {(r[0], r[1]): r[4] for r in rows}
     fake = {(r.scope, r.real): r.fake for r in done.mapping.collect()}
-    assert text["a", 1].startswith(fake["a", "Dana"] + " said")
-    assert text["b", 1] == f"{fake['b', 'Bob Ray']},{fake['b', '305-555-0143']},{fake['b', 'Kestrel Inc']}\n"
+    assert text["a", 1].startswith(fake["a", "Jola"] + " said")
+    assert text["b", 1] == f"{fake['b', 'Bob Ray']},{fake['b', '718-555-0165']},{fake['b', 'Norvik Inc']}\n"
     assert ("b", "Name") not in fake
     assert {r.source for r in done.spans.where("scope = 'b'").collect()} == {"regex", "csv"}
 
 
-def test_hot_scope_goes_through_joins(spark):
-    """One conversation holds most texts and values; both routes agree."""
+def test_hot_scope(spark):
+    """One conversation holds most texts and values; every text gets its own pairs only."""
     df = spark.range(600).select(
         F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(-1).alias("conv_id"),
         F.col("id").alias("turn"),
         F.concat(F.lit("mail u"), (F.col("id") % 300).cast("string"), F.lit("@x.org and u"),
                  ((F.col("id") + 7) % 300).cast("string"), F.lit("@x.org.")).alias("text"))
-    wide = scrub_conversations(df, contextual=None, csv=False, inline=10**6)
-    joined = scrub_conversations(df, contextual=None, csv=False, inline=20)
-    assert sorted(map(tuple, wide.texts.collect())) == sorted(map(tuple, joined.texts.collect()))
-    assert joined.texts.where("scrubbed like '%x.org%'").count() == 0
+    done = scrub_conversations(df, contextual=None, csv=False)
+    fake = {(r.scope, r.real): r.fake for r in done.mapping.collect()}
+    for r in done.texts.collect():
+        a, b = (fake[str(r.conv_id), f"u{n % 300}@x.org"] for n in (r.turn, r.turn + 7))
+        assert r.scrubbed == f"mail {a} and {b}."
+
+
+def test_adjacent_identifiers_restore_from_a_shared_map(spark):
+    ids = [f"{100 + i % 500}-{10 + i % 80}-{1000 + 7 * i}" for i in range(300)]
+    texts = [(i, i % 7, f"ids {a} {ids[-1 - i]} end") for i, a in enumerate(ids)]
+    df = spark.createDataFrame(texts, "turn long, conv_id long, text string")
+    for done, scope in ((scrub_conversations(df, contextual=None), "conv_id"),
+                        (scrub_dataset(df, "turn"), None)):
+        back = restore(done.texts, done.mapping, scope, ["turn"])
+        assert back.count() == 300 and back.where("restored <> text").count() == 0
+        by = (F.lit("all") if scope is None else F.col(scope).cast("string")).alias("scope")
+        claimed = done.spans.where("scrubbed").withColumnRenamed("text", "real")
+        left = done.texts.select(by, "scrubbed").alias("t").join(claimed.alias("s"), "scope").where(
+            F.col("t.scrubbed").contains(F.col("s.real")))
+        assert left.count() == 0
+
+
+def test_dataset_routes_every_text_alone(spark):
+    prose = "The quarterly report is fine, nothing private."
+    people = "Name,City,Role\nIngrid Solheim,Bergen,Cook\nPaavo Rinne,Oulu,Baker\nIda Moe,Voss,Cook"
+    for texts in ([prose, people], [people, prose]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+        got = {r.text: r.scrubbed for r in scrub_dataset(df).texts.collect()}
+        assert got[prose] == prose
+        assert not [n for n in ("Ingrid Solheim", "Paavo Rinne", "Ida Moe") if n in got[people]]
+        assert got[people].startswith("Name,City,Role\n")
 
 
 def test_dataset_scope_goes_on_with_a_map(spark):
@@ -155,11 +180,11 @@ def test_dataset_scope_goes_on_with_a_map(spark):
 
 
 def test_payload(spark):
-    mapping = {"Avery": "Priya", "Avery Hartley": "Dana Whitfield", "Avery 2": "Avery",
+    mapping = {"Avery": "Noora", "Avery Hartley": "Jola Whitfield", "Avery 2": "Avery",
                "Quinn": "Avery Hartley"}
     payload = json.dumps(mapping) + "\n---\nAsk Avery Hartley and Avery 2, then Quinn, Avery."
     df = spark.createDataFrame([(payload,), ("no separator",), ("[]\n---\nx",)], "p string")
     rows = df.select(split_payload(F.col("p")).alias("x")).select(
         "x.error", restore_text(F.col("x.text"), F.col("x.mapping")).alias("t")).collect()
-    assert rows[0].t == "Ask Dana Whitfield and Avery, then Avery Hartley, Priya."
+    assert rows[0].t == "Ask Jola Whitfield and Avery, then Avery Hartley, Noora."
     assert rows[1].error == "no separator" and rows[2].error is not None

@@ -10,15 +10,15 @@ def as_tuples(spans):
 
 
 def test_parse(spark):
-    source = "Dana Whitfield works at Kestrel in Miami. Really? one two three four five six seven eight nine"
-    raw = ("- Dana Whitfield | person | no\n2. Kestrel|Company|YES\n* Miami\nNONE\n\n"
-           "Dana Whitfield | org | yes\nNot there | city | no\nReally? | x | no\n"
+    source = "Jola Whitfield works at Kestrel in Turku. Really? one two three four five six seven eight nine"
+    raw = ("- Jola Whitfield | person | no\n2. Kestrel|Company|YES\n* Turku\nNONE\n\n"
+           "Jola Whitfield | org | yes\nNot there | city | no\nReally? | x | no\n"
            "one two three four five six seven eight nine | x | no\n | city | no")
     df = spark.createDataFrame([(raw, source)], "r string, s string")
     got = df.select(sp.parse_response(F.col("r"), F.col("s"))).first()[0]
-    assert as_tuples(got) == [("Dana Whitfield", "person_name", False),
+    assert as_tuples(got) == [("Jola Whitfield", "person_name", False),
                               ("Kestrel", "organization", True),
-                              ("Miami", "other_sensitive", False)]
+                              ("Turku", "other_sensitive", False)]
 
 
 def spans_of(*items):
@@ -26,13 +26,13 @@ def spans_of(*items):
 
 
 def test_dual_lens(spark):
-    a = spans_of(("Dana Whitfield", "person_name", True))
-    b = spans_of(("dana", "person_name", False), ("Dana", "person_name", False),
+    a = spans_of(("Jola Whitfield", "person_name", True))
+    b = spans_of(("jola", "person_name", False), ("Jola", "person_name", False),
                  ("Slack", "project_or_product", False), ("Anvil", "project_or_product", True),
                  ("anvil", "project_or_product", False))
     df = spark.createDataFrame([(a, b)], f"a {sp.SPAN_TYPE}, b {sp.SPAN_TYPE}")
     got = df.select(sp.dual_lens_merge(F.col("a"), F.col("b"))).first()[0]
-    assert as_tuples(got) == [("Dana Whitfield", "person_name", True),
+    assert as_tuples(got) == [("Jola Whitfield", "person_name", True),
                               ("Anvil", "project_or_product", False)]
 
 
@@ -60,13 +60,13 @@ def make_model():
 
 
 def test_strategies(spark):
-    texts = ["Ask my colleague Dana at Kestrel.", "nothing", "FAIL here"]
+    texts = ["Ask my colleague Jola at Kestrel.", "nothing", "FAIL here"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     for name in [*STRATEGIES, "unknown"]:
         got = {r.i: r for r in find_spans(
             df, make_model(), strategy=name, instructions={"enumerate": "list"}).collect()}
         found = [s.text for s in got[0].model_spans]
-        assert found == (["Kestrel", "Dana"] if name == "enumerate-classify" else ["Kestrel"]), name
+        assert found == (["Kestrel", "Jola"] if name == "enumerate-classify" else ["Kestrel"]), name
         assert got[1].model_spans == [] and got[1].warnings == []
         assert got[2].model_spans == [] and len(got[2].warnings) == 1, name
 

@@ -9,16 +9,16 @@ from maskwright.streaming.restore import (
 )
 from maskwright.streaming.scrub import scrub_conversation_stream
 
-MAPPING = [("s1", "Priya", "Avery"), ("s1", "Dana Whitfield", "Avery Hartley"),
+MAPPING = [("s1", "Noora", "Avery"), ("s1", "Jola Whitfield", "Avery Hartley"),
            ("s1", "Avery", "Avery 2"), ("s1", "Avery Hartley", "Quinn")]
 TEXT = "Ask Avery Hartley and Avery 2, then Quinn, Avery."
-WANT = "Ask Dana Whitfield and Avery, then Avery Hartley, Priya."
+WANT = "Ask Jola Whitfield and Avery, then Avery Hartley, Noora."
 EVENTS = "stream_id string, block int, seq long, delta string, is_stop boolean"
 
 
 def test_every_cut():
     mapping, pattern, longest = compile_mapping(
-        '{"Avery": "Priya", "Avery Hartley": "Dana Whitfield", "Avery 2": "Avery", "Quinn": "Avery Hartley"}')
+        '{"Avery": "Noora", "Avery Hartley": "Jola Whitfield", "Avery 2": "Avery", "Quinn": "Avery Hartley"}')
     for i, j in itertools.combinations_with_replacement(range(len(TEXT) + 1), 2):
         out, rest = "", ""
         for part in (TEXT[:i], TEXT[i:j], TEXT[j:]):
@@ -77,14 +77,14 @@ def test_events(spark):
 def test_streamed_scrub(spark, tmp_path):
     schema = "conv_id string, turn int, text string"
     source = str(tmp_path / "turns")
-    turns = [("a", 0, "my manager Dana wrote from dana@x.com"), ("a", 1, "dana@x.com again, Dana"),
-             ("b", 0, "dana@x.com")]
+    turns = [("a", 0, "my manager Jola wrote from jola@x.com"), ("a", 1, "jola@x.com again, Jola"),
+             ("b", 0, "jola@x.com")]
     for i, t in enumerate(turns):
         spark.createDataFrame([t], schema).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).parquet(source)
     texts = run(spark, scrub(stream, contextual=None).select("text", "scrubbed"), "texts", tmp_path)
-    assert texts.where("scrubbed like '%dana@x.com%'").count() == 0 and texts.count() == 3
+    assert texts.where("scrubbed like '%jola@x.com%'").count() == 0 and texts.count() == 3
     chats = run(spark, scrub_conversation_stream(stream, contextual=None), "chats", tmp_path)
     got = {(r.conv_id, r.turn): r.scrubbed for r in chats.collect()}
-    assert len(got) == 3 and not [t for t in got.values() if "dana@x.com" in t]
+    assert len(got) == 3 and not [t for t in got.values() if "jola@x.com" in t]
     assert got["a", 1].split(" ")[0] == got["a", 0].split(" ")[-1]
