@@ -548,7 +548,7 @@ def scrub_chat_ids(spark, sf_dir):
 
 
 def scrub_chat_ids_by_join(spark, sf_dir):
-    """The same with one map of all conversations and every turn routed alone."""
+    """The same through the general call, with each turn tested for a table alone."""
     turns = _chats_with_ids(spark, sf_dir)
     done = scrub_scoped(turns, "conv_id", ["turn"], csv="text")
     return done.texts.select("conv_id", "turn", "scrubbed")
