@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that match an earlier one."""
-    return _counted(remove_later_lines(docs), docs.columns)
+    """All documents, without lines whose words match those of an earlier one."""
+    return _counted(remove_later_lines(docs, run=1), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,26 +24,26 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _runs(words: Column) -> Column:
-    """All runs of five words, as hashes; none if there are fewer words."""
-    n = F.size(words) - SHINGLE + 1
-    runs = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, SHINGLE)]))
+def _runs(words: Column, run: int) -> Column:
+    """All runs of ``run`` words, as hashes; none if there are fewer words."""
+    n = F.size(words) - run + 1
+    runs = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, run)]))
     return F.when(n > 0, F.slice(runs, F.lit(1), n))
 
 
-def _tokens(line: Column) -> Column:
-    """The line's set: its distinct runs of five words."""
-    return _bind(_words(line), lambda w: F.sort_array(F.array_distinct(_runs(w))))
+def _tokens(line: Column, run: int) -> Column:
+    """The line's set: its distinct runs of ``run`` words."""
+    return _bind(_words(line), lambda w: F.sort_array(F.array_distinct(_runs(w, run))))
 
 
-def _line(line: Column, counts: Column, percent: int) -> Column:
-    """``bits, a, b, n, prefix`` of a line; null if it has fewer than five words.
+def _line(line: Column, counts: Column, percent: int, run: int) -> Column:
+    """``bits, a, b, n, prefix`` of a line; null if it has fewer than ``run`` words.
 
     A token's rarity is the count of its first word, which bounds its own.  Count
     above and hash below give one number that sorts rare tokens first.
     """
     def of_words(w: Column) -> Column:
-        return _bind(F.struct(w.alias("words"), _runs(w).alias("runs")), of_runs)
+        return _bind(F.struct(w.alias("words"), _runs(w, run).alias("runs")), of_runs)
 
     def of_runs(s: Column) -> Column:
         keys = F.transform(s["runs"], lambda x, i: F.call_function(
@@ -117,11 +117,11 @@ def _maybe(column: str, bits: Column) -> Column:
 
 
 def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
-                text: str = "text") -> DataFrame:
+                text: str = "text", run: int = SHINGLE) -> DataFrame:
     """``(key, line_no, a, b)`` of the lines to remove; ``a, b`` is the line's print.
 
     Lines with equal token sets are one class, which stands where its first line
-    stands.  Tokens, runs of five words, are ordered rare first by word counts over
+    stands.  Tokens, runs of ``run`` words, are ordered rare first by word counts over
     all texts (summed up in hash buckets; ties by hash).  Linked classes share one of the first ``n -
     ceil(t n) + 1`` tokens; pairs are filtered by length, shared prefix tokens and
     positions and parity bits, and verified on whole token sets.
@@ -130,16 +130,18 @@ def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
     rarity = cut_lineage(token_rarity(base, "text"), "rarity")
 
     lines = base.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.length("line") >= 2 * SHINGLE - 1).withColumn("counts", rarity.scalar())
+    lines = lines.where(F.length("line") >= 2 * run - 1).withColumn("counts", rarity.scalar())
     # Filtered after it is written: a filter here would compute every line twice.
-    lines = lines.select("key", "line_no", _line(F.col("line"), F.col("counts"), percent).alias("of"))
+    lines = lines.select("key", "line_no", _line(F.col("line"), F.col("counts"), percent, run).alias("of"))
     lines = cut_lineage(lines, "lines").select("key", "line_no", "of.*").where("n > 0")
 
     classes = lines.groupBy("a", "b").agg(
         F.min(F.struct("key", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"),
         F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()), "line-classes")
-    index = classes.select("class", "n", F.posexplode("prefix").alias("pos", "token"))
+    # Sets too small to match any but their equal need no tokens of their own.
+    index = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select(
+        "class", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     shared = cut_lineage(shared, "line-tokens")
     maybe = _maybe("token", cut_lineage(_bits(shared, "token"), "token-bits").scalar())
@@ -157,7 +159,7 @@ def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
         again = base.where(_maybe("key", bits)).select(
             "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         again = again.alias("l").join(wanted.alias("w"), F.expr(
-            "l.key <=> w.key and l.line_no = w.line_no")).select("class", _tokens(F.col("line")).alias("tokens"))
+            "l.key <=> w.key and l.line_no = w.line_no")).select("class", _tokens(F.col("line"), run).alias("tokens"))
         sets = cut_lineage(again.dropDuplicates(["class"]), "line-sets")
         both = (pairs.join(sets.select(F.col("class").alias("x"), F.col("tokens").alias("t_x")), "x")
                 .join(sets.select(F.col("class").alias("y"), F.col("tokens").alias("t_y")), "y")
@@ -212,11 +214,13 @@ def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
     return gone.select(F.col("key").alias(key), "line_no", "a", "b")
 
 
-def remove_later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text",
+                       run: int = SHINGLE) -> DataFrame:
     """Texts without the lines that an earlier line matches.
 
     ``texts`` are texts to scrub, or scrubbed ones, ``(doc_id, text)``.  A line's set
-    is its distinct runs of five lower-cased words; lines with fewer words stay.
+    is its distinct runs of ``run`` lower-cased words; lines with fewer words stay.
+    With ``run=1`` it is the line's distinct words, and every line with a word takes part.
     Lines are ordered by ``doc_id`` and number; one goes if any earlier one has
     ``100 * |intersection| >= percent * |union|``, whether or not that one goes too.
 
@@ -228,7 +232,7 @@ def remove_later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
     have lost a line.
     """
     names = [c for c in texts.columns if c != "n_removed"]
-    gone = cut_lineage(later_lines(texts, percent, key, text), "gone-lines")
+    gone = cut_lineage(later_lines(texts, percent, key, text, run), "gone-lines")
     per_text = cut_lineage(gone.distinct().groupBy(F.col(key).alias("_gone_key")).agg(
         F.collect_list(F.struct("line_no", "a", "b")).alias("_gone")), "gone")
     bits = cut_lineage(_bits(per_text, "_gone_key"), "gone-bits").scalar()
@@ -237,7 +241,7 @@ def remove_later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
     hit = texts.where(maybe).join(per_text, F.col(key).eqNullSafe(F.col("_gone_key")), "left")
 
     def stays(line: Column, no: Column) -> Column:
-        mark = _bind(_tokens(line), lambda t: F.struct(
+        mark = _bind(_tokens(line, run), lambda t: F.struct(
             no.alias("line_no"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b")))
         return ~F.array_contains("_gone", mark)
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -266,6 +267,27 @@ def test_line_dedup_against_brute_force(spark):
     assert got == {k: "\n".join(t for (key, t), s in zip(rows, stay) if key == k and s) for k in range(30)}
 
 
+def test_line_dedup_by_words_against_brute_force(spark):
+    rng = np.random.default_rng(10)
+    rows, base = [], [[f"t{x}" for x in rng.integers(0, 99, n)] for n in (1, 2, 4, 8, 12, 12, 20)]
+    for i in range(120):
+        words = list(base[i % 7])
+        if i % 3:
+            words[int(rng.integers(len(words)))] = f"n{rng.integers(0, 3)}"
+        rows.append((i // 4, " ".join(words) if i % 11 else " "))
+    texts = [(k, "\n".join(t for key, t in rows if key == k)) for k in range(30)]
+    got = {r.doc_id: r.text for r in remove_later_lines(
+        spark.createDataFrame(texts, "doc_id long, text string"), run=1).collect()}
+    sets = [set(t.split()) for _, t in rows]
+    stay = [not a or not any(10 * len(a & b) >= 8 * len(a | b) for b in sets[:i]) for i, a in enumerate(sets)]
+    assert got == {k: "\n".join(t for (key, t), s in zip(rows, stay) if key == k and s) for k in range(30)}
+    near = [(1, "one two three four five six seven eight nine ten eleven twelve\nok"),
+            (2, "one two three four five six seven eight nine ten eleven other\nok")]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(
+        [(k, t, 0) for k, t in near], "doc_id long, text string, n_chars long"), "").collect()
+    assert {r.doc_id: r.text for r in got} == {1: near[0][1], 2: ""}
+
+
 def test_secrets(docs, nothing):
     key = "AKIA" + "Z9" * 8
     text = f"API_KEY: '{'q' * 8}' tokEn=abc {key} " + "0f" * 16
