@@ -81,17 +81,16 @@ def frequent_lines(texts: DataFrame, text: str, host: str, least_documents: int,
                    share_percent: int) -> DataFrame:
     """``(host, lines)``: per host the hashes of lines in too many documents.
 
-    Documents are told apart by the least hash among their other lines, so that
-    exact and most near copies of one text count once.
+    Documents are told apart by a digest of the whole normalised text, so that exact
+    copies count once.
     """
-    found = texts.select(F.col(host).alias("host"),
-                         F.sort_array(F.array_distinct(line_prints(F.col(text)))).alias("all"))
+    found = texts.select(F.col(host).alias("host"), line_prints(F.col(text)).alias("all"))
+    found = found.select("host", F.md5(F.array_join("all", "")).alias("digest"),
+                         F.array_distinct("all").alias("all"))
     documents = found.groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    rows = found.select("host", F.explode("all").alias("line"), F.get("all", F.lit(0)).alias("one"),
-                        F.get("all", F.lit(1)).alias("two")).where(F.col("line") != F.substring(F.md5(F.lit("")), 1, 16))
-    rows = rows.select("host", "line", F.coalesce(
-        F.when(F.col("line") == F.col("one"), F.col("two")).otherwise(F.col("one")), F.lit("")).alias("by"))
-    counts = rows.groupBy("host", "line").agg(F.countDistinct("by").alias("n")).where(
+    rows = found.dropDuplicates(["host", "digest"]).select("host", F.explode("all").alias("line"))
+    rows = rows.where(F.col("line") != F.substring(F.md5(F.lit("")), 1, 16))
+    counts = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") > least_documents)
     often = counts.join(documents.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h")))
     often = often.where(100 * F.col("n") > share_percent * F.col("documents"))

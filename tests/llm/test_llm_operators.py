@@ -238,6 +238,15 @@ def test_repeated_windows_and_frequent_lines(spark):
     assert kept.columns == df.columns and kept.count() == 40
 
 
+def test_lines_shared_with_all_other_lines_are_frequent(spark):
+    shared = "\n".join(f"shared line {chr(97 + i)}" for i in range(20))
+    texts = [(i, f"{shared}\nown {chr(97 + i)} {chr(97 + i)}", "h") for i in range(20)]
+    texts += [(20 + i, texts[0][1], "g") for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = {r.doc_id: r.kept_text for r in quality_rules(df, least_documents=10, share_percent=50).collect()}
+    assert got == {k: t.split("\n")[-1] if h == "h" else t for k, t, h in texts}
+
+
 def test_line_dedup(spark, docs, nothing):
     line = " ".join(f"w{i}" for i in range(30))
     rows = [(1, line + "\nshort\nshort"), (2, line.upper() + "\nown words stand here alone now"),
