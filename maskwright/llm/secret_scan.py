@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,12 +111,13 @@ class Network:
         return 0.5 * (1 + np.tanh(0.5 * self.scale * self.logits(codes)))
 
 
-def train_network(codes: np.ndarray, labels: np.ndarray, recall: float = 0.98, epochs: int = 6,
-                  embed: int = 12, hidden: int = 24, seed: int = 7) -> Network | None:
+def train_network(codes: np.ndarray, labels: np.ndarray, judged: np.ndarray | None = None,
+                  recall: float = 0.98, epochs: int = 6, embed: int = 12, hidden: int = 24, seed: int = 7) -> Network | None:
     """A network from labelled findings; no network without both labels.
 
-    Every fifth finding is held out.  On these the logit is scaled to give
-    probabilities, and the threshold is the highest that keeps ``recall``.
+    Every fifth finding is held out.  On those ``judged`` (all, if not given or if no
+    held out negative is) the logit is scaled to give probabilities, and the
+    threshold is the highest that keeps ``recall``.
     """
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
@@ -157,6 +159,8 @@ def train_network(codes: np.ndarray, labels: np.ndarray, recall: float = 0.98, e
                 v[n] = 0.999 * v[n] + 0.001 * grad[n] ** 2
                 setattr(net, n, getattr(net, n) - 0.005 * (m[n] / (1 - 0.9 ** step))
                         / (np.sqrt(v[n] / (1 - 0.999 ** step)) + 1e-8))
+    if judged is not None and (labels[held[judged[held]]] == 0).any():
+        held = held[judged[held]]
     z, y = net.logits(codes[held]), labels[held]
     if y.min() != y.max():
         scales = np.geomspace(0.05, 5, 60)
@@ -172,45 +176,60 @@ def train_network(codes: np.ndarray, labels: np.ndarray, recall: float = 0.98, e
 
 
 def labelled_findings(texts: DataFrame, text: str = "text", positives: int = POSITIVES,
-                      negatives: int = NEGATIVES) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels from a bounded sample of texts: values that the patterns
-    find are secrets, long words and long numbers are none.
+                      negatives: int = NEGATIVES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, labels and whether to judge by them, from a bounded sample of texts:
+    values that the patterns find are secrets; candidate tokens outside them, long
+    words and long numbers are none.
 
     Secrets are also shown away from their own context, behind that of a word, and
     with their characters in other orders, so that shape and context both count.
-    At most ``positives`` and ``negatives`` findings, those of least hash, are used.
+    At most ``positives`` and ``negatives`` findings, those of least hash over all
+    matches, are used; words and numbers only fill what candidates leave.  They are
+    no candidates, so they are not judged by.
     """
-    word = re.compile(r"[A-Za-z][a-z]{11,}(?:[-_/.][A-Za-z]+)*|[0-9][0-9./-]{9,}|[A-Za-z]+(?:[-_/][A-Za-z]+)+")
+    word = re.compile(r"[A-Za-z][a-z]{11,}(?:[-_/.][A-Za-z]+)*|[0-9][0-9./-]{9,}"
+                      r"|(?<![A-Za-z])[A-Za-z]+(?:[-_/][A-Za-z]+)+")
+
+    def shown_in(t, a, b):
+        return t[max(0, a - BEFORE):a] + "\0" + t[a:b] + "\0" + t[b:b + AFTER]
 
     def run(batches):
         for batch in batches:
             column = as_text(batch.column(0))
             for _, part in slices(column):
-                lines, labels = [], []
+                lines, labels, clean = [], [], {0: set(), -1: set()}
                 rows = _maybe_rows(part)
-                for t, (assign, hexes, _) in zip(part.to_pylist(), rows):
+                for t, (assign, hexes, may) in zip(part.to_pylist(), rows):
                     found = base_spans(t, assign, hexes)
                     for start, kind, end in found:
                         if kind == 0:
                             start += re.search(r"[:=]\x20*[\"']?", t[start:end]).end()
-                        lines.append(t[max(0, start - BEFORE):start] + "\0" + t[start:end] + "\0" + t[end:end + AFTER])
+                        lines.append(shown_in(t, start, end))
                         labels.append(1)
-                    for n, m in enumerate(word.finditer(t)):
-                        if n == 2:
-                            break
+                    if may:
+                        clean[0].update(shown_in(t, a, b) for a, b in candidates(t, found))
+                    for m in word.finditer(t):
                         a, b = m.span()
                         if all(b <= s or a >= e for s, _, e in found):
-                            lines.append(t[max(0, a - BEFORE):a] + "\0" + t[a:b] + "\0" + t[b:b + AFTER])
-                            labels.append(0)
+                            clean[-1].add(shown_in(t, a, b))
+                # The least of all are among the least of each slice.
+                for label, some in clean.items():
+                    some = sorted(some, key=lambda f: (zlib.crc32(f.encode()), f))[:negatives]
+                    lines += some
+                    labels += [label] * len(some)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lines, pa.string()), pa.array(labels, pa.int32())], names=["finding", "secret"])
 
     found = cut_lineage(texts.select(text).mapInArrow(run, "finding string, secret int"), "findings")
-    order = [F.xxhash64("finding"), F.col("finding")]
-    rows = []
-    for label, most in ((1, positives), (0, negatives)):
-        rows.append([r[0] for r in found.where(F.col("secret") == label).select("finding").distinct()
-                     .orderBy(*order).limit(most).collect()])
+
+    def least(label, hash_, most):
+        return [r[0] for r in found.where(F.col("secret") == label).select("finding").distinct()
+                .orderBy(hash_("finding"), "finding").limit(most).collect()]
+
+    rows = [least(1, F.xxhash64, positives), least(0, F.crc32, negatives)]
+    n_candidates = len(rows[1])
+    seen = set(rows[1])
+    rows[1] += [f for f in least(-1, F.crc32, negatives) if f not in seen][:negatives - n_candidates]
     rng = np.random.default_rng(11)
     split = [[f.split("\0") for f in side] for side in rows]
     shown, labels = [], []
@@ -225,7 +244,8 @@ def labelled_findings(texts: DataFrame, text: str = "text", positives: int = POS
     for before, inside, after in split[1]:
         shown.append((before + inside + after, len(before), len(before) + len(inside)))
         labels.append(0)
-    return windows(shown), np.array(labels)
+    labels = np.array(labels)
+    return windows(shown), labels, (labels == 1) | (np.cumsum(labels == 0) <= n_candidates)
 
 
 def _maybe_rows(part: pa.Array):

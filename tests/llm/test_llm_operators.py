@@ -326,6 +326,25 @@ def test_network_learns_and_keeps_recall():
     assert train_network(codes[:1], np.array([1])) is None
 
 
+def test_negatives_are_candidates_of_whole_texts(spark):
+    rng = np.random.default_rng(2)
+    rows, values = [], 120
+    for i in range(values):
+        key = "".join(rng.choice(list("0123456789abcdefXYZ"), 24))
+        ids = " ".join(f"order-2024-{n:08d}-item" for n in rng.integers(0, 10**8, 4))
+        rows.append((i, f"extraordinarily straightforwardly token={key} then {ids} end"))
+    codes, labels, judged = labelled_findings(spark.createDataFrame(rows, "doc_id long, text string"))
+    inside = codes[:, 24:72]
+    digits = ((inside >= 54) & (inside <= 63)).any(axis=1)
+    letters = ((inside >= 2) & (inside <= 53)).any(axis=1)
+    assert (judged & (labels == 0)).sum() == 4 * values
+    assert (digits & letters)[judged & (labels == 0)].all()
+    assert ((labels == 0) & ~judged).sum() > 0 and judged[labels == 1].all()
+    net = train_network(codes, labels, judged)
+    hit = net.score(codes) >= net.threshold
+    assert hit[judged & (labels == 0)].mean() <= 0.05
+
+
 def test_maxscore(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (300, 12))
