@@ -5,19 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .alignment import align_tokenizers
 from .chat_format import format_chats, loss_text, read_back, text_part
+from .divergence import split_divergence
 from .jaccard import link_near_copies
 from .line_dedup import later_lines
 from .maxscore import nearest_vectors
 from .packing import pack_scrubbed
 from .quality import quality_rules
 from .secret_scan import find_secrets, labelled_findings, train_network
+from .superminhash import group_near_copies
 from .token_counts import count_tokens
 from .toxicity import fit_toxicity, score_texts
 from .transducer import transduce
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +102,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op12_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_near_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("task"), F.col("source").alias("split"), "text")
+    return split_divergence(docs).withColumnsRenamed({"task": "lang", "split": "source"})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_ngram_jaccard, op3_token_counts, op4_chat_formatting,
     op5_quality_rules, op6_secret_scans, op7_line_dedup, op8_bpe_transducer, op9_maxscore,
-    op10_toxicity)}
+    op10_toxicity, op11_cross_tokenizer_alignment, op12_superminhash_near_dedup,
+    op13_source_divergence)}
