@@ -10,82 +10,71 @@ BUCKETS = 1 << 18
 FILTER_WORDS = 1 << 18
 
 
-SHINGLE = 5
-
-
-def _words(line: Column) -> Column:
-    """Words of a line, lower case, as hashes."""
-    return F.transform(F.array_remove(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), ""),
-                       lambda w: F.xxhash64(w))
-
-
 def _bind(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _runs(words: Column, run: int) -> Column:
-    """All runs of ``run`` words, as hashes; none if there are fewer words."""
-    n = F.size(words) - run + 1
-    runs = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, run)]))
-    return F.when(n > 0, F.slice(runs, F.lit(1), n))
+def _clean(text: Column) -> Column:
+    """The text in lower case, with a space for each white space character but the line feed."""
+    return F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
 
 
-def _tokens(line: Column, run: int) -> Column:
-    """The line's set: its distinct runs of ``run`` words."""
-    return _bind(_words(line), lambda w: F.sort_array(F.array_distinct(_runs(w, run))))
+def _set(line: Column) -> Column:
+    """Distinct words of a cleaned line, as hashes."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
-def _line(line: Column, counts: Column, percent: int, run: int) -> Column:
-    """``bits, a, b, n, prefix`` of a line; null if it has fewer than ``run`` words.
+def _bucket(hash_: Column) -> Column:
+    return F.pmod(hash_, F.lit(BUCKETS)).cast("int")
 
-    A token's rarity is the count of its first word, which bounds its own.  Count
-    above and hash below give one number that sorts rare tokens first.
-    """
-    def of_words(w: Column) -> Column:
-        return _bind(F.struct(w.alias("words"), _runs(w, run).alias("runs")), of_runs)
 
-    def of_runs(s: Column) -> Column:
-        keys = F.transform(s["runs"], lambda x, i: F.call_function(
-            "shiftleft", F.least(F.get(counts, _bucket(F.get(s["words"], i))), F.lit((1 << 31) - 1)), F.lit(32))
-            .bitwiseOR(F.shiftrightunsigned(x, 32)))
-        whole = F.sort_array(F.array_distinct(s["runs"]))
-        return _bind(F.struct(whole.alias("set"), F.sort_array(F.array_distinct(keys)).alias("keys")), finish)
+def _keys(tokens: Column, ranks: Column) -> Column:
+    """Tokens as numbers that sort rare ones first: the rank of their count above 48 bits of hash."""
+    return F.sort_array(F.transform(tokens, lambda x: F.call_function(
+        "shiftleft", F.get(ranks, _bucket(x)), F.lit(48)).bitwiseOR(F.shiftrightunsigned(x, 16))))
 
-    def finish(s: Column) -> Column:
-        n = F.size(s["set"])
-        first = F.slice(s["keys"], F.lit(1), _prefix_length(n, percent))
-        return F.struct(
-            _parity(s["set"]).alias("bits"),
-            F.xxhash64(s["set"]).alias("a"), F.xxhash64(F.lit(1), s["set"]).alias("b"), n.alias("n"),
-            F.transform(first, lambda x: F.shiftright(F.call_function("shiftleft", x, F.lit(32)), 32)
-                        .cast("int")).alias("prefix"))
 
-    return _bind(_words(line), of_words)
+def _print(keys: Column) -> list[Column]:
+    return [F.xxhash64(keys).alias("a"), F.xxhash64(F.lit(1), keys).alias("b")]
 
 
-def _parity(tokens: Column) -> Column:
-    """For each of 64 buckets, whether a set has an odd number of tokens in it."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
+def _parity(keys: Column) -> Column:
+    """For each of 128 buckets, whether a set has an odd number of tokens in it, as two numbers."""
+    def flip(bits: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+        high = x.bitwiseAND(64) != 0
+        return F.struct(F.when(high, bits["low"]).otherwise(bits["low"].bitwiseXOR(bit)).alias("low"),
+                        F.when(high, bits["high"].bitwiseXOR(bit)).otherwise(bits["high"]).alias("high"))
 
+    zero = F.lit(0).cast("long")
+    return F.aggregate(keys, F.struct(zero.alias("low"), zero.alias("high")), flip)
 
-def _bucket(hash_: Column) -> Column:
-    return F.pmod(hash_, F.lit(BUCKETS)).cast("int")
 
+def _line(line: Column, ranks: Column, percent: int) -> Column:
+    """``a, b, n, prefix, bits`` of a cleaned line."""
+    def finish(keys: Column) -> Column:
+        n = F.size(keys)
+        return F.struct(*_print(keys), n.alias("n"), _parity(keys).alias("bits"),
+                        F.slice(keys, F.lit(1), _prefix_length(n, percent)).alias("prefix"))
+
+    return _bind(_keys(_set(line), ranks), finish)
 
-def token_rarity(texts: DataFrame, text: str) -> DataFrame:
-    """One row with an array: how often words of each hash bucket occur, all texts.
 
-    The array has ``BUCKETS`` entries however many words there are.
+def token_ranks(texts: DataFrame, text: str) -> DataFrame:
+    """One row with an array: the rank of the words of each hash bucket by their count.
+
+    A rank is 512 times the binary logarithm of the count.  The array has
+    ``BUCKETS`` entries however many words there are.
     """
     spark = texts.sparkSession
-    words = texts.select(F.explode(F.split(F.lower(F.col(text)), "[\\x20\\x09-\\x0D]+")).alias("w"))
+    words = texts.select(F.explode(F.split(F.translate(text, "\n", " "), " ")).alias("w"))
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count()
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    counts = every.join(counts, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("n"))
+    counts = every.join(counts, "bucket", "left").select(
+        "bucket", F.floor(512 * F.log2(F.coalesce("count", F.lit(0)) + 1)).cast("long").alias("n"))
     return counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "n"))),
-                                  lambda x: x["n"]).alias("counts"))
+                                  lambda x: x["n"]).alias("ranks"))
 
 
 def _need(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -116,140 +105,153 @@ def _maybe(column: str, bits: Column) -> Column:
     return word.bitwiseAND(bit) != 0
 
 
-def later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id",
-                text: str = "text", run: int = SHINGLE) -> DataFrame:
-    """``(key, line_no, a, b)`` of the lines to remove; ``a, b`` is the line's print.
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Length, position and parity filter of two classes that share a token.
 
-    Lines with equal token sets are one class, which stands where its first line
-    stands.  Tokens, runs of ``run`` words, are ordered rare first by word counts over
-    all texts (summed up in hash buckets; ties by hash).  Linked classes share one of the first ``n -
-    ceil(t n) + 1`` tokens; pairs are filtered by length, shared prefix tokens and
-    positions and parity bits, and verified on whole token sets.
+    ``at`` holds the number of tokens above 32 bits of the token's place.  What
+    precedes the token in one set and what follows it can only be shared with what
+    precedes and follows it in the other.  A token of one set only changes one
+    parity bit.
     """
-    base = texts.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    rarity = cut_lineage(token_rarity(base, "text"), "rarity")
+    n_x, n_y = (F.shiftrightunsigned(f"{s}.at", 32) for s in (x, y))
+    i, j = (F.col(f"{s}.at").bitwiseAND(0xFFFFFFFF) for s in (x, y))
+    need = _need(n_x, n_y, percent)
+    apart = (F.bit_count(F.col(f"{x}.low").bitwiseXOR(F.col(f"{y}.low")))
+             + F.bit_count(F.col(f"{x}.high").bitwiseXOR(F.col(f"{y}.high"))))
+    return ((100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y))
+            & (F.least(i, j) + F.least(n_x - i, n_y - j) >= need)
+            & (apart <= n_x + n_y - 2 * need))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    return texts.select("doc", "key", F.posexplode(F.split("clean", "\n")).alias("line_no", "line"))
 
-    lines = base.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.length("line") >= 2 * run - 1).withColumn("counts", rarity.scalar())
+
+def _prepared(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc, key, clean``; ``doc`` names a row by its id and text."""
+    return texts.select(F.xxhash64(key, text).alias("doc"), F.col(key).alias("key"),
+                        _clean(F.coalesce(text, F.lit(""))).alias("clean"))
+
+
+def _later(base: DataFrame, ranks: DataFrame, percent: int) -> DataFrame:
+    """``(doc, line_no, a, b)`` of the lines to remove; ``a, b`` is the line's print."""
+    lines = _lines(base).where("line <> ''").withColumn("ranks", ranks.scalar())
     # Filtered after it is written: a filter here would compute every line twice.
-    lines = lines.select("key", "line_no", _line(F.col("line"), F.col("counts"), percent, run).alias("of"))
-    lines = cut_lineage(lines, "lines").select("key", "line_no", "of.*").where("n > 0")
+    lines = lines.select("doc", "key", "line_no", _line(F.col("line"), F.col("ranks"), percent).alias("of"))
+    lines = cut_lineage(lines.select("doc", "key", "line_no", "of.*"), "lines").where("n > 0")
 
     classes = lines.groupBy("a", "b").agg(
-        F.min(F.struct("key", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"),
+        F.min(F.struct("key", "line_no", "doc")).alias("first"), F.count(F.lit(1)).alias("times"),
         F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    # Numbered in the order of their first lines.
+    classes = classes.orderBy("first.key", "first.line_no", "a")
     classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()), "line-classes")
     # Sets too small to match any but their equal need no tokens of their own.
     index = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select(
-        "class", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    shared = cut_lineage(shared, "line-tokens")
-    maybe = _maybe("token", cut_lineage(_bits(shared, "token"), "token-bits").scalar())
-    live = index.where(maybe).join(shared, "token", "left_semi").join(
-        classes.select("class", "first", "bits"), "class")
-    live = cut_lineage(live, "line-live")
+        "class", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+    index = index.select("token", "class", F.col("bits.low").alias("low"), F.col("bits.high").alias("high"),
+                         F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32))
+                         .bitwiseOR(F.col("pos").cast("long")).alias("at"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Later classes ``x`` of pairs ``(x, y)`` that link, by whole token sets."""
         pairs = cut_lineage(pairs, "line-pairs")
         ids = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct()
-        wanted = cut_lineage(ids.join(classes.select("class", "first"), "class").select(
-            "class", F.col("first.key").alias("key"), F.col("first.line_no").alias("line_no"),), "line-wanted")
-        bits = cut_lineage(_bits(wanted.select("key"), "key"), "line-bits").scalar()
-        again = base.where(_maybe("key", bits)).select(
-            "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        again = again.alias("l").join(wanted.alias("w"), F.expr(
-            "l.key <=> w.key and l.line_no = w.line_no")).select("class", _tokens(F.col("line"), run).alias("tokens"))
-        sets = cut_lineage(again.dropDuplicates(["class"]), "line-sets")
+        wanted = cut_lineage(ids.join(classes, "class").select(
+            "class", F.xxhash64("first.doc", "first.line_no").alias("place")), "line-wanted")
+        bits = cut_lineage(_bits(wanted, "place"), "line-bits").scalar()
+        again = _lines(base).select(F.xxhash64("doc", "line_no").alias("place"), "line")
+        again = again.where(_maybe("place", bits)).join(wanted, "place").dropDuplicates(["class"])
+        sets = cut_lineage(again.select("class", _set(F.col("line")).alias("tokens")), "line-sets")
         both = (pairs.join(sets.select(F.col("class").alias("x"), F.col("tokens").alias("t_x")), "x")
                 .join(sets.select(F.col("class").alias("y"), F.col("tokens").alias("t_y")), "y")
                 .withColumn("common", F.size(F.array_intersect("t_x", "t_y"))))
         total = F.size("t_x") + F.size("t_y") - F.col("common")
-        return both.where(100 * F.col("common") >= percent * total).select(F.col("x").alias("class")).distinct()
-
-    def bits_allow(n_x: str, bits_x: str, n_y: str, bits_y: str) -> Column:
-        """A token of one set only changes one bit: linked sets differ in few."""
-        most = F.col(n_x) + F.col(n_y) - 2 * _need(F.col(n_x), F.col(n_y), percent)
-        return F.bit_count(F.col(bits_x).bitwiseXOR(F.col(bits_y))) <= most
-
-    def may_link(shared: Column) -> Column:
-        n_x, n_y = F.col("n_x"), F.col("n_y")
-        rest = F.greatest(n_x - _prefix_length(n_x, percent), n_y - _prefix_length(n_y, percent))
-        close = 100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)
-        return close & (shared + rest >= _need(n_x, n_y, percent))
-
-    # First against the class of each token with the fewest tokens of its own, the
-    # earliest such: the middle of a family, which most of its later lines match.
-    own = live.groupBy("class").agg(
-        (_prefix_length(F.first("n"), percent) - F.count(F.lit(1))).alias("own"))
-    placed = live.join(own, "class")
-    middle = placed.groupBy("token").agg(F.min(F.struct("own", "first", "class", "n", "bits")).alias("hub"))
-    votes = placed.join(middle, "token").where(
-        (F.col("first") > F.col("hub.first")) & (F.col("class") != F.col("hub.class"))
-        & bits_allow("n", "bits", "hub.n", "hub.bits"))
-    votes = votes.groupBy("class", F.col("hub.class").alias("y")).agg(
-        F.first("n").alias("n_x"), F.first("hub.n").alias("n_y"), F.count(F.lit(1)).alias("shared"))
-    gone_early = cut_lineage(verified(
-        votes.where(may_link(F.col("shared"))).select(F.col("class").alias("x"), "y")), "line-early")
+        linked = both.where(100 * F.col("common") >= percent * total)
+        return cut_lineage(linked.select(F.col("x").alias("class")).distinct(), "line-later")
+
+    # First against the earliest class with the token, which most of a family match.
+    hubs = index.groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"), F.min(F.struct("class", "at", "low", "high")).alias("hub")).where("df > 1")
+    live = index.alias("x").join(hubs.select("token", "hub.*").alias("y"), "token")
+    near = F.when((F.col("x.class") > F.col("y.class")) & _may_link("x", "y", percent), F.col("y.class"))
+    live = cut_lineage(live.select("token", "x.class", "x.at", "x.low", "x.high", near.alias("near")), "line-live")
+    tried = live.where("near is not null").select(F.col("class").alias("x"), F.col("near").alias("y")).distinct()
+    early = verified(tried)
 
     # Then the lines still there against all earlier ones.
-    x, y = live.join(gone_early, "class", "left_anti").alias("x"), live.alias("y")
-    pairs = x.join(y, "token").where(
-        "x.first > y.first and x.class <> y.class"
-        f" and 100 * least(x.n, y.n) >= {int(percent)} * greatest(x.n, y.n)").where(
-        bits_allow("x.n", "x.bits", "y.n", "y.bits"))
-    pairs = pairs.groupBy("x.class", "y.class").agg(
-        F.first("x.n").alias("n_x"), F.first("y.n").alias("n_y"), F.count(F.lit(1)).alias("shared"),
-        F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
-    pairs = pairs.toDF("x", "y", "n_x", "n_y", "shared", "i", "j")
-    after = F.least(F.col("n_x") - F.col("i") - 1, F.col("n_y") - F.col("j") - 1)
-    pairs = pairs.where(may_link(F.col("shared"))
-                        & (F.col("shared") + after >= _need(F.col("n_x"), F.col("n_y"), percent)))
-    later = verified(pairs.select("x", "y")).union(gone_early).withColumn("matched", F.lit(True))
+    x, y = live.drop("near").join(early, "class", "left_anti").alias("x"), live.drop("near").alias("y")
+    pairs = x.join(y, F.expr("x.token = y.token and x.class > y.class") & _may_link("x", "y", percent))
+    pairs = pairs.select(F.col("x.class").alias("x"), F.col("y.class").alias("y")).distinct()
+    later = verified(pairs).union(early).withColumn("matched", F.lit(True))
     judged = (classes.join(later, "class", "left")
               .where("matched or times > 1").select("a", "b", "first", "matched"))
-    gone = lines.select("key", "line_no", "a", "b").join(cut_lineage(judged, "line-judged"), ["a", "b"])
-    gone = gone.where(F.col("matched").isNotNull()
-                      | (F.struct("key", "line_no") != F.col("first")))
-    return gone.select(F.col("key").alias(key), "line_no", "a", "b")
+    gone = lines.select("doc", "key", "line_no", "a", "b").join(cut_lineage(judged, "line-judged"), ["a", "b"])
+    return gone.where(F.col("matched").isNotNull()
+                      | (F.struct("key", "line_no") != F.col("first").dropFields("doc"))
+                      ).select("doc", "line_no", "a", "b")
 
 
-def remove_later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text",
-                       run: int = SHINGLE) -> DataFrame:
-    """Texts without the lines that an earlier line matches.
+def mark_later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts with the numbers of their lines that an earlier line matches.
 
     ``texts`` are texts to scrub, or scrubbed ones, ``(doc_id, text)``.  A line's set
-    is its distinct runs of ``run`` lower-cased words; lines with fewer words stay.
-    With ``run=1`` it is the line's distinct words, and every line with a word takes part.
-    Lines are ordered by ``doc_id`` and number; one goes if any earlier one has
-    ``100 * |intersection| >= percent * |union|``, whether or not that one goes too.
+    is its distinct lower-cased words; a line without words takes no part.  Lines are
+    ordered by ``doc_id`` and number; one is marked if any earlier one has ``100 *
+    |intersection| >= percent * |union|``, whether or not that one is marked, too.
+
+    Lines with equal sets are one class, which stands where its first line stands.
+    Tokens are ordered rare first by word counts over all texts (summed up in hash
+    buckets; ties by hash).  Linked classes share one of the first ``n - ceil(t n) +
+    1`` tokens; pairs are filtered by length, positions and parity bits, and
+    verified on whole sets.
+
+    Returns the rows of ``texts``, all columns, with ``n_lines`` and ``later_lines``,
+    line numbers from 0 (they replace columns of these names).  A null text is one
+    empty line; a null id comes first; rows with equal ids are one text for the order:
+    equal lines at equal numbers of them count as the same line, of different ones that
+    with the smaller print comes first.  An empty table gives no rows.  Native expressions only.
+    Texts are shuffled only if they may hold a marked line.
+    """
+    names = [c for c in texts.columns if c not in ("n_lines", "later_lines")]
+    base = _prepared(texts, key, text)
+    ranks = cut_lineage(token_ranks(base, "clean"), "ranks")
+    gone = cut_lineage(_later(base, ranks, percent), "gone-lines")
+    per_text = cut_lineage(gone.distinct().groupBy(F.col("doc").alias("_doc")).agg(
+        F.collect_list(F.struct("line_no", "a", "b")).alias("_gone")), "gone")
+    all_lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    texts = texts.select(*names, F.xxhash64(key, text).alias("_h"), F.size(all_lines).alias("n_lines"))
+    maybe = _maybe("_h", cut_lineage(_bits(per_text, "_doc"), "gone-bits").scalar())
+    none = F.array().cast("array<int>")
+    rest = texts.where(~maybe).select(*names, "n_lines", none.alias("later_lines"))
+    hit = texts.where(maybe).join(per_text, F.col("_h") == F.col("_doc"), "left").withColumn("_ranks", ranks.scalar())
+    clean = F.split(_clean(F.col(text)), "\n")
+
+    def same(g: Column) -> Column:
+        mark = _bind(_keys(_set(F.get("_clean", g["line_no"])), F.col("_ranks")), lambda k: F.struct(*_print(k)))
+        return mark == F.struct(g["a"], g["b"])
+
+    hit = hit.withColumn("_clean", clean)
+    later = F.sort_array(F.transform(F.filter("_gone", same), lambda g: g["line_no"]))
+    hit = hit.select(*names, "n_lines", F.coalesce(later, none).alias("later_lines"))
+    return rest.unionByName(hit)
+
+
+def remove_later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts without the lines that an earlier line matches (see :func:`mark_later_lines`).
 
     Returns the rows of ``texts``, all columns, with ``text`` rewritten where lines
     went, and ``n_removed`` (it replaces a column of that name).  A null text stays
-    null; a null id comes first; rows with equal ids are one text for the order:
-    equal lines at equal numbers of them count as the same line.  An empty table
-    gives no rows.  Native expressions only.  Texts are shuffled only if they may
-    have lost a line.
+    null.
     """
     names = [c for c in texts.columns if c != "n_removed"]
-    gone = cut_lineage(later_lines(texts, percent, key, text, run), "gone-lines")
-    per_text = cut_lineage(gone.distinct().groupBy(F.col(key).alias("_gone_key")).agg(
-        F.collect_list(F.struct("line_no", "a", "b")).alias("_gone")), "gone")
-    bits = cut_lineage(_bits(per_text, "_gone_key"), "gone-bits").scalar()
-    maybe = _maybe(key, bits)
-    rest = texts.where(~maybe).select(*names, F.lit(0).alias("n_removed"))
-    hit = texts.where(maybe).join(per_text, F.col(key).eqNullSafe(F.col("_gone_key")), "left")
-
-    def stays(line: Column, no: Column) -> Column:
-        mark = _bind(_tokens(line, run), lambda t: F.struct(
-            no.alias("line_no"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b")))
-        return ~F.array_contains("_gone", mark)
-
+    # Own columns of the marks' names are carried along under other ones.
+    held = {"n_lines": "_own_lines", "later_lines": "_own_later"}
+    marked = mark_later_lines(texts.select(*[F.col(c).alias(held.get(c, c)) for c in names]), percent, key, text)
+    stay = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), "later_lines")
     all_lines = F.split(text, "\n")
-    kept = F.filter(all_lines, stays)
-    hit = hit.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept).otherwise(all_lines))
-    lost = F.coalesce(F.size(all_lines) - F.size("_kept"), F.lit(0))
-    hit = hit.withColumn("n_removed", lost)
-    new = F.when(F.col("n_removed") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))
-    hit = hit.select(*[new.alias(c) if c == text else F.col(c) for c in names], "n_removed")
-    return rest.unionByName(hit)
+    left = F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")
+    n = F.size("later_lines")
+    return marked.select(
+        *[(F.when(n > 0, left).otherwise(F.col(text)) if c == text else F.col(held.get(c, c))).alias(c) for c in names],
+        n.alias("n_removed"))

@@ -93,8 +93,7 @@ w AS (
   SELECT *, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
 t AS (
   SELECT row_number() OVER (ORDER BY doc_id, no) AS u, doc_id, no,
-    list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)),
-      lambda i: array_to_string(w[i:i + 4], ' ')))) AS t FROM w),
+    list_sort(list_distinct(w)) AS t FROM w),
 long AS (SELECT * FROM t WHERE len(t) > 0),
 c AS (SELECT t, min(u) AS first, len(t) AS n FROM long GROUP BY t),
 tok AS (SELECT first, n, unnest(t) AS tok FROM c),

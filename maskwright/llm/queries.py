@@ -9,7 +9,7 @@ from .alignment import align_tokenizers
 from .chat_format import format_chats, loss_text, read_back, text_part
 from .divergence import split_divergence
 from .jaccard import link_near_copies
-from .line_dedup import later_lines
+from .line_dedup import mark_later_lines
 from .maxscore import nearest_vectors
 from .packing import pack_scrubbed
 from .quality import quality_rules
@@ -78,13 +78,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    gone = later_lines(docs).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set("line_no")).alias("gone"))
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
-    return docs.select("doc_id", n_lines.alias("n_lines")).join(gone, "doc_id", "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
+    marked = mark_later_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("later_lines").cast("long").alias("n_removed"),
+        F.array_join(F.col("later_lines").cast("array<string>"), ",").alias("removed"))
 
 
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,13 +253,26 @@ def test_line_dedup(spark, docs, nothing):
             (3, line + " tail"), (4, None), (5, "short\n"), (6, " ".join(f"v{i}" for i in range(30)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line_no", F.lit(1))
     got = {r.doc_id: (r.text, r.n_removed) for r in remove_later_lines(df).collect()}
-    assert got == {1: (rows[0][1], 0), 2: ("own words stand here alone now", 1), 3: ("", 1), 4: (None, 0),
-                   5: ("short\n", 0), 6: (rows[5][1], 0)}
+    assert got == {1: (line + "\nshort", 1), 2: ("own words stand here alone now", 1), 3: ("", 1), 4: (None, 0),
+                   5: ("", 1), 6: (rows[5][1], 0)}
     odd = {r.doc_id: r for r in remove_later_lines(docs).collect()}
     assert odd[2].text == "" and odd[1].text == BASE and odd[4].text is None
+    assert odd[None].text == "one two" and odd[1].n_removed == 0
+    assert remove_later_lines(docs).columns == ["doc_id", "text", "source", "n_removed"]
     assert remove_later_lines(nothing).count() == 0
 
 
+def test_later_lines_of_null_and_repeated_ids(spark, tmp_path):
+    from maskwright.llm.queries import op7_line_dedup
+
+    rows = [(None, "a b c d\nown line"), (3, "d c b a\nother"), (3, "d c b a\nother"), (3, "x y\nthird"),
+            (4, "other\n\nx y\n\tOTHER "), (5, None), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(str(tuple(r)) for r in op7_line_dedup(spark, str(tmp_path)).collect())
+    assert got == sorted(str(r) for r in [
+        (None, 2, 0, ""), (3, 2, 1, "0"), (3, 2, 1, "0"), (3, 2, 0, ""), (4, 4, 3, "0,2,3"), (5, 1, 0, ""), (6, 1, 0, "")])
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = np.random.default_rng(9)
     rows, base = [], [[f"t{x}" for x in rng.integers(0, 99, 25)] for _ in range(5)]
@@ -271,7 +284,7 @@ def test_line_dedup_against_brute_force(spark):
     texts = [(k, "\n".join(t for key, t in rows if key == k)) for k in range(30)]
     got = {r.doc_id: r.text for r in remove_later_lines(
         spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    sets = [{tuple(t.split()[i:i + 5]) for i in range(21)} for _, t in rows]
+    sets = [set(t.split()) for _, t in rows]
     stay = [not any(10 * len(a & b) >= 8 * len(a | b) for b in sets[:i]) for i, a in enumerate(sets)]
     assert got == {k: "\n".join(t for (key, t), s in zip(rows, stay) if key == k and s) for k in range(30)}
 
@@ -286,7 +299,7 @@ def test_line_dedup_by_words_against_brute_force(spark):
         rows.append((i // 4, " ".join(words) if i % 11 else " "))
     texts = [(k, "\n".join(t for key, t in rows if key == k)) for k in range(30)]
     got = {r.doc_id: r.text for r in remove_later_lines(
-        spark.createDataFrame(texts, "doc_id long, text string"), run=1).collect()}
+        spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     sets = [set(t.split()) for _, t in rows]
     stay = [not a or not any(10 * len(a & b) >= 8 * len(a | b) for b in sets[:i]) for i, a in enumerate(sets)]
     assert got == {k: "\n".join(t for (key, t), s in zip(rows, stay) if key == k and s) for k in range(30)}
