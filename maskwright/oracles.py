@@ -249,7 +249,7 @@ NAME_MAP = f"""v AS (SELECT real, row_number() OVER (ORDER BY real) AS r
 
 # --- contextual layer ---------------------------------------------------------------------
 
-STORIES = """SELECT doc_id, text AS body, w[1:12] AS words,
+STORIES = """SELECT doc_id, text AS body, w AS words,
     coalesce(w[1], 'Nobody') AS w0, coalesce(w[2], 'Nobody') AS w1,
     coalesce(w[3], 'Nobody') AS w2, coalesce(w[4], 'Nobody') AS w3,
     'I asked my colleague ' || coalesce(w[1], 'Nobody') || ' about the '
@@ -283,7 +283,10 @@ PARSED = f"""stories AS ({STORIES}),
     UNION ALL SELECT doc_id, body, text, 4, 'not in the text at all', 'location', false FROM stories
     UNION ALL SELECT doc_id, body, text, 5, w3, 'project_or_product', true FROM stories
     UNION ALL SELECT doc_id, body, text, 6, 'my colleague ' || w0, 'relationship', true FROM stories
-    UNION ALL SELECT doc_id, body, text, 7, 'what?', 'other_sensitive', false FROM stories),
+    UNION ALL SELECT doc_id, body, text, 7, 'what?', 'other_sensitive', false FROM stories
+    UNION ALL SELECT doc_id, body, text, 8 + i, words[5 + i],
+      (['person_name', 'location', 'organization'])[i % 3 + 1], i % 5 = 0
+      FROM (SELECT *, unnest(range(0, len(words) - 4)) AS i FROM stories)),
   a AS (SELECT doc_id, pos, t, kind, essential FROM (
       SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY pos) AS rn FROM lines
       WHERE contains(story, t) AND length(t) <= 64 AND NOT contains(t, '?')) WHERE rn = 1),
@@ -310,9 +313,10 @@ LABELS = [
 ]
 
 AUDIT = f"""WITH stories AS ({STORIES}),
-  raw AS (SELECT doc_id, story, unnest(ws) AS t, generate_subscripts(ws, 1) AS pos, least(n, 1) AS first
-    FROM (SELECT doc_id, text AS story, len(words) AS n, list_concat(words,
-      ['github', '[[email]]', 'rollout', 'my colleague']) AS ws FROM stories)),
+  cues AS (SELECT doc_id, count(*) AS n FROM ({CUES}) GROUP BY doc_id),
+  raw AS (SELECT doc_id, story, unnest(ws) AS t, generate_subscripts(ws, 1) AS pos, first
+    FROM (SELECT doc_id, text AS story, coalesce(n, 0) AS first, list_concat(words,
+      ['github', '[[email]]', 'rollout', 'my colleague']) AS ws FROM stories LEFT JOIN cues USING (doc_id))),
   kept AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, strpos(story, t) AS hit FROM raw
     WHERE NOT contains(t, '[[') AND NOT contains(t, ']]')
       AND lower(t) NOT IN {in_list(fv.PUBLIC_TECH)}
@@ -359,22 +363,47 @@ CHAT_IDS = f"""WITH ids AS (SELECT conv_id, mail, phone, {hard_fake("'email'", '
     || CASE WHEN turn = 0 THEN ' or ' || fp ELSE '' END || '.' AS scrubbed
   FROM conversations JOIN ids USING (conv_id)"""
 
+# Chunks of the stories, with the answers stored for them.
+STORY_CHUNKS = (CHUNKS.replace("FROM documents)", f"FROM ({STORIES}))")
+                .replace("md5(substr(text, i + 1, cut - i)) AS digest", "substr(text, i + 1, cut - i) AS chunk"))
+ANSWERED = f"""chunked AS ({STORY_CHUNKS}),
+  answered AS (SELECT doc_id, chunk_ix, length(chunk) % 97 = 0 AS refused,
+    list_concat(list_transform(regexp_extract_all(chunk, 'my colleague ([A-Z][a-z]+)', 1),
+        lambda x: x || ' | person_name | no'),
+      list_transform(regexp_extract_all(chunk, 'code-named ([A-Z][a-z]+)', 1),
+        lambda x: x || ' | project | ' || CASE WHEN length(x) % 2 = 0 THEN 'yes' ELSE 'no' END)) AS ls
+    FROM chunked)"""
+
+TURNS = f"""turns AS (SELECT conv_id, turn, text || ' Write to ' || {MAIL} || CASE WHEN turn = 0
+      THEN ' or ' || {PHONE} ELSE '' END || '.' AS text FROM conversations)"""
+
+MESSAGE = """'{"role": ' || to_json(coalesce(role, ''))::VARCHAR || ', "content": [{"type": "text", "text": '
+    || to_json(coalesce(text, '') || ' Write to ' || fm || '.')::VARCHAR
+    || '}, {"type": "tool_use", "input": {"to": "' || mail || '", "n": 1.50}}, {"type": "tool_result", '
+    || '"content": [{"text": "Sent to ' || fm || '", "type": "text"}, {"type": "tool_result", "content": "Again: '
+    || fm || '"}]}]}'"""
+REQUESTS = f"""WITH ids AS (SELECT conv_id, mail, {hard_fake("'email'", 'mail', 'hm')} AS fm
+    FROM (SELECT *, {fnv('mail')} AS hm FROM (SELECT DISTINCT conv_id, {MAIL} AS mail FROM conversations)))"""
+
 # --- scoring ------------------------------------------------------------------------------------
 
 GONE = "list_reduce(list_prepend(text, removed), lambda t, v: replace(t, v, '[x]'))"
 CASES = f"""{DOC_HITS}, base AS (SELECT doc_id AS id, d.lang AS task, d.text, d.n_chars,
-      list(v ORDER BY ord) AS vals,
+      coalesce(list(v ORDER BY ord) FILTER (v IS NOT NULL), []) AS vals,
       coalesce(list(v ORDER BY ord) FILTER (kind = 'ip_address'), []) AS essential,
       coalesce(list(v ORDER BY ord) FILTER (kind IN ('email', 'phone')), []) AS few
-    FROM hits JOIN documents d USING (doc_id) GROUP BY ALL),
+    FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY ALL),
   outputs AS (
     SELECT *, 'all' AS strategy, vals AS removed, false AS failed FROM base UNION ALL
     SELECT *, 'some', few, false FROM base UNION ALL
     SELECT *, 'none', [], false FROM base UNION ALL
-    SELECT *, 'noisy', list_append(vals, substr(text, 1, 5)), n_chars > 3000 FROM base),
+    SELECT *, 'noisy', list_concat(vals, (SELECT coalesce(list(w ORDER BY p), []) FROM (SELECT w, min(p) AS p
+        FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS p
+          FROM (SELECT regexp_extract_all(text, '[A-Z][a-z]{{2,}}') AS ws)) GROUP BY w))),
+      n_chars > 3000 FROM base),
   judged AS (SELECT strategy, id, task, failed, essential, removed, {GONE} AS scrubbed,
-      list_append(vals, vals[1]) AS pii,
-      list_filter(list_append(vals, vals[1]), lambda p: NOT list_contains(essential, p)) AS must
+      list_concat(vals, vals[1:1]) AS pii,
+      list_filter(list_concat(vals, vals[1:1]), lambda p: NOT list_contains(essential, p)) AS must
     FROM outputs),
   found AS (SELECT *, list_filter(must, lambda p: contains(scrubbed, p)) AS leaks,
       list_filter(essential, lambda e: NOT contains(scrubbed, e)) AS over_list,
@@ -496,6 +525,39 @@ ORACLES: dict[str, str] = {
     "stream_restore": NOTES,
     "scrub_chat_ids": CHAT_IDS,
     "scrub_chat_ids_by_join": CHAT_IDS,
+    "finder_answers": f"""WITH {ANSWERED} SELECT doc_id, chunk_ix,
+        CASE WHEN NOT refused THEN array_to_string(ls, chr(10)) END AS answer,
+        CASE WHEN refused THEN 'refused' END AS warning FROM answered""",
+    "stored_answer_spans": f"""WITH {ANSWERED}, lines AS (
+        SELECT doc_id, chunk_ix, generate_subscripts(ls, 1) AS pos, string_split(unnest(ls), ' | ') AS p
+        FROM answered WHERE NOT refused),
+      firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_ix, p[1] ORDER BY pos) AS rn FROM lines)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_ix, pos) - 1 AS ord, p[1] AS text,
+        CASE p[2] WHEN 'project' THEN 'project_or_product' ELSE p[2] END AS kind, p[3] = 'yes' AS essential
+      FROM firsts WHERE rn = 1
+      UNION ALL SELECT doc_id, -1, string_agg('a section was checked for fixed patterns only: refused', '; '),
+        'warning', false FROM answered WHERE refused GROUP BY doc_id""",
+    "scrub_chats_model": f"""WITH {TURNS}, words AS (
+        SELECT conv_id, turn, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w, n
+        FROM (SELECT *, length(text) AS n, regexp_extract_all(text, '[A-Z][a-z]{{2,}}') AS ws FROM turns)
+        WHERE n % 7 <> 0),
+      verdicts AS (SELECT conv_id, w, arg_min((length(w) + n) % 2 = 0, (turn, pos)) AS essential
+        FROM words GROUP BY ALL)
+      SELECT conv_id, w AS text, 'person_name' AS category, 'model' AS source, essential,
+        NOT essential AS scrubbed, essential AS same FROM verdicts
+      UNION ALL SELECT DISTINCT conv_id, {MAIL}, 'email', 'regex', false, true, false FROM conversations
+      UNION ALL SELECT DISTINCT conv_id, {PHONE}, 'phone', 'regex', false, true, false FROM conversations WHERE turn = 0""",
+    "scrub_chats_model_warnings": f"""WITH {TURNS} SELECT conv_id, turn, CASE WHEN length(text) % 7 = 0
+        THEN 'a section was checked for fixed patterns only: refused' ELSE '' END AS warnings FROM turns""",
+    "scrub_request_bodies": f"""{REQUESTS} SELECT conv_id AS request_id,
+        CASE WHEN conv_id % 50 <> 0 THEN md5('{{"model":"m-1", "temperature": 0.70, "system": "Account ' || any_value(fm)
+          || '", "messages": [' || string_agg({MESSAGE}, ', ' ORDER BY turn) || '], "max_tokens": 1e3}}') END AS digest,
+        CASE WHEN conv_id % 50 = 0 THEN 'body is not a JSON object' END AS error
+      FROM conversations JOIN ids USING (conv_id) GROUP BY conv_id""",
+    "restore_reply_bodies": f"""{REQUESTS} SELECT conv_id AS request_id, '{{"id":"r' || conv_id
+        || '", "content": [{{"type": "text", "text": "Sent to ' || v || ', ' || v || '"}}, {{"type": "tool_use", "input": {{"to": "'
+        || fm || '"}}}}, {{"type": "text", "text": "no one else"}}], "usage": {{"n": 1.50}}}}' AS restored
+      FROM (SELECT *, CASE WHEN conv_id % 10 = 0 THEN fm ELSE mail END AS v FROM ids) WHERE conv_id % 50 <> 0""",
     "dataset_mapping": DOC_HITS + """SELECT kind, count(*) AS n_values, count(*) AS n_fakes
       FROM (SELECT v, arg_min(kind, (rule, doc_id, pos)) AS kind FROM hits GROUP BY v) GROUP BY kind""",
     "adjacent_ids_roundtrip": """WITH ssn AS (SELECT c_custkey, list_transform(
@@ -509,9 +571,10 @@ ORACLES: dict[str, str] = {
       SELECT -1 - (c_custkey // 20) AS doc_id, bool_or(n IS NULL) AS cells_left
       FROM customer LEFT JOIN known ON n = c_nationkey GROUP BY 1
       UNION ALL SELECT doc_id, contains(text, ',city ') FROM documents""",
-    "adopted_mapping": """SELECT (c_custkey % 50)::VARCHAR AS scope, count(*) AS n_values,
-        count(*) AS n_fakes, (count(*) FILTER (c_custkey % 2 = 0))::BIGINT AS n_kept
-      FROM customer GROUP BY 1""",
+    "adopted_mapping": f"""{NOTE_HITS} SELECT scope, kind, count(*) AS n_values, count(*) AS n_fakes,
+        (count(*) FILTER (first % 2 = 0))::BIGINT AS n_kept
+      FROM (SELECT (c_custkey % 50)::VARCHAR AS scope, v, min(c_custkey) AS first,
+          arg_min(kind, c_custkey) AS kind FROM hits GROUP BY 1, 2) GROUP BY 1, 2""",
     "chat_turns": "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations "
         "WHERE regexp_matches(text, '\\S')",
     "chat_requests": """SELECT conv_id * 1000 + turn AS request_id, 0 AS ord, 'system' AS path,

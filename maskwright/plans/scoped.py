@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.hashing import let
@@ -18,6 +18,7 @@ from ..functions.text import (
 from ..operators.bind import bind_values, first_seen
 from ..operators.candidates import rule_spans
 from ..operators.detect import detect_hits, explode_in_order
+from ..operators.finder import DEFAULT_STRATEGY, Model, find_spans
 from ..operators.occur import attach_pairs
 from ..operators.rewrite import no_pairs, occurs, rewrite
 from ..operators.tabular import classify_header, csv_cells, csv_text_cells
@@ -33,13 +34,16 @@ class Scrubbed(NamedTuple):
     spans: DataFrame
 
 
-def _values(found: DataFrame, order: list[str], step: int, source: str) -> DataFrame:
-    """Found values with their place in the scope's order of sight."""
+def _values(
+    found: DataFrame, order: list[str], step: int, source: str, essential: Column | None = None
+) -> DataFrame:
+    """Found values with their place in the scope's order of sight and the verdict."""
     return found.select(
         "scope", "real", "kind",
         F.struct(
             F.lit(step).alias("step"), F.col("rule").alias("rule"), F.struct(*order).alias("at"),
             F.col("pos").alias("pos"), F.lit(source).alias("source"),
+            (F.lit(False) if essential is None else essential).alias("essential"),
         ).alias("ord"),
     )
 
@@ -103,6 +107,16 @@ def _table_values(rows: DataFrame, tables: DataFrame, order: list[str], text: st
     return _cell_values(joined.select("scope", *order, cells.alias("_c")), order, "csv")
 
 
+def _model_values(found: DataFrame, order: list[str]) -> DataFrame:
+    """Spans of a model, each with its own verdict."""
+    rows = explode_in_order(found.select("scope", *order, "model_spans"), "model_spans", "pos", "_e")
+    rows = rows.select(
+        "scope", *order, F.col("_e.text").alias("real"), F.col("_e.kind").alias("kind"),
+        F.lit(0).alias("rule"), "pos", F.col("_e.essential").alias("essential"),
+    )
+    return _values(rows, order, 1, "model", F.col("essential"))
+
+
 def _pairs(mapping: DataFrame) -> DataFrame:
     return mapping.select("scope", F.col("real").alias("find"), F.col("fake").alias("put"))
 
@@ -112,19 +126,30 @@ def scrub_scoped(
     scope: str | None,
     order: list[str],
     text: str = "text",
-    contextual: str | None = None,
+    contextual: str | Model | None = None,
     csv: bool | str = "scope",
     existing: DataFrame | None = None,
+    strategy: str = DEFAULT_STRATEGY,
+    instructions: dict | None = None,
 ) -> Scrubbed:
     """Scrub texts with one map per ``scope`` (``None``: one map for all).
 
+    ``contextual`` is the finder for prose: ``"rules"``, a model (a function or a table of
+    stored answers, see ``operators.finder``) or ``None``.  A model sees each text by itself; what it
+    says is gathered per scope, and the first verdict on a value, in the order of
+    ``order``, stands for all texts of the scope.  A value first called essential is kept
+    everywhere and listed in ``spans`` with ``scrubbed = false``; one that a pattern
+    or table column found before is not kept.  With a model the texts get ``warnings``
+    about chunks that were checked for fixed patterns only.
+
     ``order`` columns tell the texts of a scope apart and order them.  ``csv``
     says what may be a table: the texts of a ``"scope"`` one after another (a
     chat that pastes a table in parts), each ``"text"`` alone, or nothing
     (``False``).  ``existing`` is an earlier map ``(scope, real, fake)`` to go on with.
     """
-    if contextual not in (None, "rules"):
-        raise ValueError("a shared map takes the finder 'rules' or none")
+    by_model = callable(contextual) or isinstance(contextual, DataFrame)
+    if not by_model and contextual not in (None, "rules"):
+        raise ValueError("a finder is 'rules', a model or none")
     csv = "scope" if csv is True else csv
     if csv not in ("scope", "text", False):
         raise ValueError("csv is 'scope', 'text' or False")
@@ -146,12 +171,25 @@ def scrub_scoped(
         if not tables.isEmpty():
             values = values.unionByName(_table_values(rows, tables, order, "_text"))
             prose = prose.join(tables.select("scope"), "scope", "left_anti")
-    if contextual == "rules":
+    if by_model:
+        # Asked once and written: the answers are used for values and for warnings.
+        asked = rows.drop("warnings").withColumn("_prose", is_prose)
+        if csv == "scope" and not tables.isEmpty():
+            asked = asked.join(tables.select("scope", F.lit(False).alias("_table")), "scope", "left")
+            asked = asked.withColumn("_prose", F.coalesce("_table", F.lit(True))).drop("_table")
+        rows = cut_lineage(
+            find_spans(asked, contextual, "_text", strategy, instructions, F.col("_prose")), "asked")
+        values = values.unionByName(_model_values(rows, order))
+        rows = rows.drop("_prose", "model_spans")
+    elif contextual == "rules":
         found = prose.select("scope", *order, F.when(is_prose, rule_spans(t)).alias("_c"))
         values = values.unionByName(_cell_values(found, order, "rules"))
 
     firsts = first_seen(values, "scope", "real", "kind", F.col("ord"))
-    mapping = cut_lineage(bind_values(firsts, existing), "mapping")
+    if by_model:
+        firsts = cut_lineage(firsts, "verdicts")
+    bound = firsts.where(~F.col("ord.essential")) if by_model else firsts
+    mapping = cut_lineage(bind_values(bound, existing), "mapping")
     applied = mapping.select("scope", "real", "fake")
     if existing is not None:
         applied = applied.unionByName(
@@ -198,7 +236,9 @@ def scrub_scoped(
             seen.select("scope", hit.alias("_h")), "_h", "_i", "_p"
         ).select("scope", F.col("_p.find").alias("real")).distinct().withColumn("_put", F.lit(True))
         mapping = mapping.unionByName(more)
-    texts = final.withColumnRenamed("_text", text).select(*given, "scrubbed")
+    given = [c for c in given if not (by_model and c == "warnings")]
+    texts = final.withColumnRenamed("_text", text).select(
+        *given, "scrubbed", *["warnings"] * by_model)
     spans = mapping.withColumn("scrubbed", F.lit(True))
     if replaced is not None:
         second = F.col("ord.source") == "regex-backstop"
@@ -208,19 +248,24 @@ def scrub_scoped(
         "scope", F.col("real").alias("text"), "fake", F.col("kind").alias("category"),
         F.col("ord.source").alias("source"), F.lit(False).alias("essential"), "scrubbed",
     )
+    if by_model:
+        spans = spans.unionByName(firsts.where("ord.essential").select(
+            "scope", F.col("real").alias("text"), F.col("real").alias("fake"),
+            F.col("kind").alias("category"), F.col("ord.source").alias("source"),
+            F.lit(True).alias("essential"), F.lit(False).alias("scrubbed")))
     return Scrubbed(texts, mapping.select("scope", "real", "fake", "kind"), spans)
 
 
 def scrub_conversations(
     df: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text",
-    contextual: str | None = "rules", **options,
+    contextual: str | Model | None = "rules", **options,
 ) -> Scrubbed:
     """Scrub chat turns; all turns of a conversation share one map."""
     return scrub_scoped(df, conversation, [turn], text, contextual, **options)
 
 
 def scrub_dataset(
-    df: DataFrame, key: str = "doc_id", text: str = "text", contextual: str | None = None,
+    df: DataFrame, key: str = "doc_id", text: str = "text", contextual: str | Model | None = None,
     csv: bool = True, **options,
 ) -> Scrubbed:
     """Scrub all texts of a dataset with one map; each text may be a table of its own."""

@@ -79,7 +79,7 @@ def scrub(
     """Add ``scrubbed``, ``spans``, ``mapping`` and ``warnings`` to a table of texts.
 
     ``contextual`` is the finder for prose: ``"rules"`` (deterministic), a model
-    function, or ``None`` for hard identifiers and tables only.  ``mapping`` goes
+    function or table of stored answers, or ``None`` for hard identifiers and tables only.  ``mapping`` goes
     from replacement to real value.  Works on streaming tables unchanged.
     """
     keep = [c for c in df.columns]
@@ -87,7 +87,7 @@ def scrub(
     work = df.withColumn("_csv", looks_like_csv(t)) if csv else df.withColumn("_csv", F.lit(False))
     work = work.withColumn("warnings", F.array().cast(NO_TEXT))
     soft, source = None, "rules"
-    if callable(contextual):
+    if callable(contextual) or isinstance(contextual, DataFrame):
         found = find_spans(
             work.drop("warnings"), contextual, text, strategy, instructions, ~F.col("_csv")
         )

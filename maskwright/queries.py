@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import fixed_values as fv
@@ -21,9 +20,12 @@ from .operators import score as sc
 from .operators import spans as sp
 from .operators.bind import bind_values, first_seen
 from .operators.detect import detect_hard_ids, explode_in_order, span_summary
-from .operators.finder import STRATEGIES, chunk_documents, find_spans, redacted_view, run_finder
+from .operators.finder import (
+    STRATEGIES, answer_key, chunk_documents, find_spans, redacted_view,
+)
 from .operators.detect import detect_hits
 from .operators.tabular import classify_columns, csv_text_cells, scrub_table, table_values
+from .plans.chats import restore_replies, scrub_requests
 from .plans.restore import restore, restore_text, split_payload
 from .plans.scoped import scrub_conversations, scrub_dataset, scrub_scoped
 from .plans.scrub import mapping_table, scrub, span_table
@@ -106,12 +108,12 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(" rollout, code-named "), nth(2), F.lit(" by "), nth(3), F.lit(". "),
             F.col("text"),
         ).alias("text"),
-        F.slice("_w", 1, 12).alias("words"),
+        F.col("_w").alias("words"),
     )
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model-like answer about every story, with the usual faults."""
+    """A model-like answer about every story, with the usual faults, then its other words."""
 
     def word(i: int) -> Column:
         return F.coalesce(F.get("words", F.lit(i)), F.lit("Nobody"))
@@ -122,14 +124,18 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         word(3), F.lit(" | internal-project | TRUE\n"), F.lit("my colleague "), word(0),
         F.lit(" | colleague | 1\nwhat? | other | no\n | city | no"),
     )
+    kinds = F.array(F.lit("person"), F.lit("city"), F.lit("org"))
+    others = F.slice("words", F.lit(5), F.greatest(F.size("words") - 4, F.lit(0)))
+    raw = F.concat(raw, F.array_join(F.transform(others, lambda w, i: F.concat(
+        F.lit("\n"), w, F.lit(" | "), F.get(kinds, i % 3), F.lit(" | "),
+        F.when(i % 5 == 0, "yes").otherwise("no"))), ""))
     return stories(spark, sf_dir).select("doc_id", "text", "words", raw.alias("raw"))
 
 
 def cases_and_outputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with identifiers as labelled cases, and four strategies' outputs."""
+    """All documents as labelled cases, clean ones too, and four strategies' outputs."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars")
-    docs = docs.withColumn("hits", detect_hits(F.col("text")))
-    docs = cut_lineage(docs, "cases").where(F.size("hits") > 0)
+    docs = cut_lineage(docs.withColumn("hits", detect_hits(F.col("text"))), "cases")
     values = F.transform("hits", lambda h: h["value"])
     cases = docs.select(
         F.col("doc_id").alias("id"), F.col("lang").alias("task"), "text",
@@ -156,7 +162,8 @@ def cases_and_outputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     some = F.transform(
         F.filter("hits", lambda h: h["kind"].isin("email", "phone")), lambda h: h["value"]
     )
-    noisy = F.concat(values, F.array(F.substring("text", 1, 5)))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0)))
+    noisy = F.concat(values, words)
     outputs = strategy("all", values, no_error)
     outputs = outputs.unionByName(strategy("some", some, no_error))
     outputs = outputs.unionByName(strategy("none", F.slice(values, 1, 0), no_error))
@@ -401,9 +408,7 @@ def audit_gate(spark, sf_dir):
             F.lit("github"), F.lit("[[email]]"), F.lit("rollout"), F.lit("my colleague"))),
         lambda w: sp.span(w, F.lit("other_sensitive"), F.lit(False)),
     )
-    first = F.transform(
-        F.slice("words", 1, 1), lambda w: sp.span(w, F.lit("person_name"), F.lit(False)))
-    rows = rows.withColumn("audit", audit).withColumn("first", first)
+    rows = rows.withColumn("audit", audit).withColumn("first", cd.cue_candidates(F.col("text")))
     rows = rows.withColumn("kept", sp.audit_gate(F.col("audit"), F.col("first"), F.col("text")))
     return sp.span_rows(rows, "kept", ["doc_id"])
 
@@ -415,41 +420,66 @@ def redacted_views(spark, sf_dir):
     )
 
 
-def name_model(prompts: pd.Series, instructions: str, max_tokens: int) -> pd.Series:
-    """Stand-in for a model: reports what follows "colleague", "the" and "code-named"."""
-    import re
+PASSES = ["baseline", "names", "fewshot", "enumerate", "classify", "inject", "first", "audit"]
+
+
+def stored_answers(texts: DataFrame) -> DataFrame:
+    """Answers to every chunk of the texts in every pass, as a table of paid-for answers holds them.
 
-    def reply(prompt: str) -> str:
-        if len(prompt) % 97 == 0:
-            raise ValueError("refused")
-        found = re.findall(r"my colleague ([A-Z][a-z]+)", prompt)
-        lines = [f"{f} | person_name | no" for f in found]
-        lines += [f"{f} | project | no" for f in re.findall(r"code-named ([A-Z][a-z]+)", prompt)]
-        return "\n".join(lines) or "NONE"
+    General passes report what follows "colleague" and "code-named", the others the
+    capitalised words; some chunks were refused.
+    """
+    chunk = F.col("chunk")
+    cues = F.concat(
+        F.transform(F.regexp_extract_all(chunk, F.lit("my colleague ([A-Z][a-z]+)"), F.lit(1)),
+                    lambda x: F.concat(x, F.lit(" | person_name | no"))),
+        F.transform(F.regexp_extract_all(chunk, F.lit("code-named ([A-Z][a-z]+)"), F.lit(1)),
+                    lambda x: F.concat(x, F.lit(" | project | "), F.when(F.length(x) % 2 == 0, "yes").otherwise("no"))))
+    words = F.array_distinct(F.regexp_extract_all(chunk, F.lit("[A-Z][a-z]{2,}"), F.lit(0)))
+    named = F.transform(words, lambda w: F.concat(w, F.lit(" | person | no")))
+    lines = {"names": named, "audit": named, "inject": named, "enumerate": words}
+    pieces = chunk_documents(texts)
+    rows = F.array(*(F.struct(answer_key(p, chunk).alias("cache_key"),
+                              F.array_join(lines.get(p, cues), "\n").alias("raw")) for p in PASSES))
+    error = F.when(F.length(chunk) % 97 == 0, F.lit("refused"))
+    return pieces.select(F.explode(rows).alias("r"), error.alias("error")).select(
+        "r.cache_key", F.when(F.col("error").isNull(), F.col("r.raw")).alias("raw"), "error")
 
-    return prompts.map(reply)
+
+def _story_texts(spark, sf_dir) -> DataFrame:
+    return stories(spark, sf_dir).select("doc_id", "text")
 
 
 def finder_answers(spark, sf_dir):
-    pieces = chunk_documents(stories(spark, sf_dir).select("doc_id", "text"))
-    return run_finder(pieces, name_model).select(
-        "doc_id", "chunk_ix", F.col("raw").alias("answer"), "warning"
-    )
+    """Stored answers of the single pass, chunk by chunk."""
+    texts = _story_texts(spark, sf_dir)
+    pieces = chunk_documents(texts).withColumn("cache_key", answer_key("baseline", F.col("chunk")))
+    answers = stored_answers(texts).dropDuplicates(["cache_key"])
+    return pieces.join(answers, "cache_key", "left").select(
+        "doc_id", "chunk_ix", F.col("raw").alias("answer"), F.col("error").alias("warning"))
+
+
+def stored_answer_spans(spark, sf_dir):
+    """Spans of the single pass over stored answers, with the texts' warnings counted."""
+    texts = _story_texts(spark, sf_dir)
+    answers = cut_lineage(stored_answers(texts), "answers")
+    found = find_spans(texts, answers, strategy="baseline")
+    rows = sp.span_rows(found, "model_spans", ["doc_id"])
+    warned = found.where(F.size("warnings") > 0).select(
+        "doc_id", F.lit(-1).alias("ord"), F.concat_ws("; ", "warnings").alias("text"),
+        F.lit("warning").alias("kind"), F.lit(False).alias("essential"))
+    return rows.unionByName(warned)
 
 
 def strategy_spans(spark, sf_dir):
-    """All strategies over the same stories with the same stand-in model."""
+    """All strategies over the same stories with the same stored answers."""
+    texts = cut_lineage(_story_texts(spark, sf_dir), "stories")
+    answers = cut_lineage(stored_answers(texts), "answers")
     out = None
     for name in STRATEGIES:
-        found = find_spans(stories(spark, sf_dir).select("doc_id", "text"), name_model, strategy=name)
-        counted = found.select(
-            F.lit(name).alias("strategy"), F.size("model_spans").alias("s"),
-            F.size("warnings").alias("w"),
-        ).groupBy("strategy").agg(
-            F.count(F.lit(1)).alias("n_docs"), F.sum("s").alias("n_spans"),
-            F.sum("w").alias("n_warnings"),
-        )
-        out = counted if out is None else out.unionByName(counted)
+        found = find_spans(texts, answers, strategy=name)
+        rows = sp.span_rows(found, "model_spans", ["doc_id"]).select(F.lit(name).alias("strategy"), "*")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -471,8 +501,9 @@ def scrub_documents_rules(spark, sf_dir):
 
 
 def scrub_documents_model(spark, sf_dir):
-    """Texts with a finder: spans by source, and the number of warned texts."""
-    done = scrub(stories(spark, sf_dir).select("doc_id", "text"), contextual=name_model)
+    """Texts with the answers of a model: digests, spans and warnings."""
+    texts = cut_lineage(_story_texts(spark, sf_dir), "stories")
+    done = scrub(texts, contextual=cut_lineage(stored_answers(texts), "answers"))
     return done.select(
         "doc_id", F.md5("scrubbed").alias("digest"), F.size("spans").alias("n_spans"),
         F.size("warnings").alias("n_warnings"),
@@ -554,6 +585,83 @@ def scrub_chat_ids_by_join(spark, sf_dir):
     return done.texts.select("conv_id", "turn", "scrubbed")
 
 
+def _turns_with_answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Chat turns, and stored answers whose verdict on a word differs from turn to turn."""
+    turns = cut_lineage(_chats_with_ids(spark, sf_dir).select("conv_id", "turn", "text"), "turns")
+    chunk = F.col("chunk")
+    words = F.regexp_extract_all(chunk, F.lit("[A-Z][a-z]{2,}"), F.lit(0))
+    raw = F.array_join(F.transform(words, lambda w: F.concat(
+        w, F.lit(" | person | "), F.when((F.length(w) + F.length(chunk)) % 2 == 0, "yes").otherwise("no"))), "\n")
+    refused = F.length(chunk) % 7 == 0
+    answers = chunk_documents(turns).select(
+        answer_key("baseline", chunk).alias("cache_key"), F.when(~refused, raw).alias("raw"),
+        F.when(refused, F.lit("refused")).alias("error"))
+    return turns, cut_lineage(answers, "answers")
+
+
+def scrub_chats_model(spark, sf_dir):
+    """One verdict per value and conversation, from the answers to all of its turns."""
+    turns, answers = _turns_with_answers(spark, sf_dir)
+    done = scrub_conversations(turns, contextual=answers, strategy="baseline")
+    return done.spans.select(
+        F.col("scope").cast("bigint").alias("conv_id"), "text", "category", "source", "essential", "scrubbed",
+        (F.col("fake") == F.col("text")).alias("same"))
+
+
+def scrub_chats_model_warnings(spark, sf_dir):
+    """Turns that were checked for fixed patterns only."""
+    turns, answers = _turns_with_answers(spark, sf_dir)
+    done = scrub_conversations(turns, contextual=answers, strategy="baseline")
+    return done.texts.select("conv_id", "turn", F.array_join("warnings", "; ").alias("warnings"))
+
+
+def _json_string(text: Column) -> Column:
+    """A JSON string literal."""
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+def _request_bodies(spark, sf_dir) -> DataFrame:
+    """Every conversation as a JSON request with nested tool results; some are cut short."""
+    mail = F.concat(F.lit("user"), F.col("conv_id").cast("string"), F.lit("@chat.example.org"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" Write to "), mail, F.lit("."))
+    message = F.concat(
+        F.lit('{"role": '), _json_string(F.coalesce("role", F.lit(""))),
+        F.lit(', "content": [{"type": "text", "text": '), _json_string(said),
+        F.lit('}, {"type": "tool_use", "input": {"to": "'), mail, F.lit('", "n": 1.50}}, '
+              '{"type": "tool_result", "content": [{"text": "Sent to '), mail,
+        F.lit('", "type": "text"}, {"type": "tool_result", "content": "Again: '), mail, F.lit('"}]}]}'))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", mail.alias("mail"), message.alias("m"))
+    whole = turns.groupBy("conv_id", "mail").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("ms"))
+    body = F.concat(
+        F.lit('{"model":"m-1", "temperature": 0.70, "system": "Account '), F.col("mail"),
+        F.lit('", "messages": ['), F.array_join(F.transform("ms", lambda m: m["m"]), ", "),
+        F.lit('], "max_tokens": 1e3}'))
+    return whole.select(
+        F.col("conv_id").alias("request_id"),
+        F.when(F.col("conv_id") % 50 == 0, F.substring(body, F.lit(1), F.length(body) - 1))
+        .otherwise(body).alias("body"))
+
+
+def scrub_request_bodies(spark, sf_dir):
+    done = scrub_requests(_request_bodies(spark, sf_dir), contextual=None)
+    return done.texts.select("request_id", F.md5("scrubbed").alias("digest"), "error")
+
+
+def restore_reply_bodies(spark, sf_dir):
+    """Replies about the stand-ins of their requests; some failed."""
+    done = scrub_requests(_request_bodies(spark, sf_dir), contextual=None)
+    k, mapping = F.col("scope").cast("bigint"), cut_lineage(done.mapping, "request-maps")
+    body = F.concat(
+        F.lit('{"id":"r'), F.col("scope"), F.lit('", "content": [{"type": "text", "text": "Sent to '), F.col("fake"),
+        F.lit(', '), F.col("fake"), F.lit('"}, {"type": "tool_use", "input": {"to": "'), F.col("fake"),
+        F.lit('"}}, {"type": "text", "text": "no one else"}], "usage": {"n": 1.50}}'))
+    replies = mapping.where("kind = 'email'").select(
+        k.alias("request_id"), body.alias("body"), F.when(k % 10 == 0, 500).otherwise(200).alias("status"))
+    back = restore_replies(replies, mapping, where=F.col("status") == 200)
+    return back.select("request_id", "restored")
+
+
 def _adjacent_ids(spark, sf_dir) -> DataFrame:
     """Two numbers side by side that may look like one identifier together."""
     n = F.col("c_custkey")
@@ -599,13 +707,13 @@ def dataset_mapping(spark, sf_dir):
 
 def adopted_mapping(spark, sf_dir):
     """Going on with a stored map: known values keep their replacement."""
-    rows = detect_hard_ids(notes(spark, sf_dir)).where(F.col("kind") == "email").withColumn(
+    rows = detect_hard_ids(notes(spark, sf_dir)).withColumn(
         "scope", (F.col("c_custkey") % 50).cast("string"))
     values = first_seen(rows, "scope", "value", "kind", F.col("c_custkey"))
     old = values.where(F.col("ord") % 2 == 0).select(
         "scope", "real", F.concat(F.lit("old-"), "real").alias("fake"))
     bound = bind_values(values, old)
-    return bound.groupBy("scope").agg(
+    return bound.groupBy("scope", "kind").agg(
         F.count(F.lit(1)).alias("n_values"),
         F.countDistinct("fake").alias("n_fakes"),
         F.sum(F.col("fake").startswith("old-").cast("int")).alias("n_kept"),
@@ -797,6 +905,7 @@ QUERIES = {
     "redacted_views": redacted_views,
     "finder_answers": finder_answers,
     "strategy_spans": strategy_spans,
+    "stored_answer_spans": stored_answer_spans,
     "scrub_documents": scrub_documents,
     "scrub_documents_rules": scrub_documents_rules,
     "scrub_documents_model": scrub_documents_model,
@@ -809,6 +918,10 @@ QUERIES = {
     "scrub_chats": scrub_chats,
     "scrub_chat_ids": scrub_chat_ids,
     "scrub_chat_ids_by_join": scrub_chat_ids_by_join,
+    "scrub_chats_model": scrub_chats_model,
+    "scrub_chats_model_warnings": scrub_chats_model_warnings,
+    "scrub_request_bodies": scrub_request_bodies,
+    "restore_reply_bodies": restore_reply_bodies,
     "dataset_mapping": dataset_mapping,
     "adjacent_ids_roundtrip": adjacent_ids_roundtrip,
     "scrub_dataset_mixed": scrub_dataset_mixed,

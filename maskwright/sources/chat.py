@@ -9,6 +9,8 @@ from ..operators.detect import explode_in_order
 REQUEST = "struct<system:variant,messages:array<struct<role:string,content:variant>>>"
 BLOCKS = "array<struct<type:string,text:string,content:variant>>"
 INNER = "array<struct<type:string,text:string>>"
+# Tool results within tool results that are listed; deeper ones are refused when a body is rewritten.
+RESULT_DEPTH = 4
 FIELD = "array<struct<path:string,text:string>>"
 
 
@@ -68,7 +70,7 @@ def request_fields(requests: DataFrame, key: str, body: str = "body") -> DataFra
         lambda m, i: F.coalesce(
             _fields(
                 m["content"],
-                F.concat(F.lit("messages["), i.cast("string"), F.lit("].content")), True, 2,
+                F.concat(F.lit("messages["), i.cast("string"), F.lit("].content")), True, RESULT_DEPTH,
             ),
             none,
         ),
