@@ -8,14 +8,16 @@ The plan, for sets of shingle hashes and the rule
    Which shingles are frequent is found over all documents, with a bounded list:
    at most ``1 / SHARE`` shingles can hold more than ``SHARE`` of all entries.
 2. Prefix shingles of a single class are dropped; they join nothing.  Classes of
-   one size and with the same remaining prefix are one *group*.
-3. Classes are first compared with one class of each of their shingles: that with
-   the fewest shingles of its own, the middle of a family.  What links is joined
-   into components.
-4. Then groups are paired, only across components, filtered by size, number of
-   shared prefix shingles and positions; pairs that pass are expanded to their
-   members, filtered by parity bits and verified on whole sets.  The most frequent component of a
-   shingle is not paired with itself, so a large family costs no square.
+   one size and with the same remaining prefix, places included, are one *group*; its
+   least class stands for it in the join.
+3. Members are compared with the class that stands for their group, and that
+   class with one group of each of its shingles: that with the fewest shingles of its
+   own, the middle of a family.  What links is joined into components.
+4. Then all groups are paired by shared shingles, a group with itself, too, if its
+   members are in several components; pairs are filtered by size, places and parity
+   bits, expanded to members of different components and verified on whole
+   sets.  Groups of the most frequent component of a shingle are not paired with each
+   other, so a large family costs no square.
 
 Parity bits tell for each of BITS buckets whether a set has an odd number of
 shingles in it.  Each shingle that only one of two sets has changes one bit, so
@@ -30,15 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..storage import cut_lineage
+from ..storage import cut_lineage, sql_conf
 from .components import components
+from .line_dedup import _bits, _maybe
 from .stable_bpe import as_text, slices
 from .word_hash import SLICE_BYTES, WordHasher, shingles
 
 SHARE = 1 / 131_072
 LOCAL_SHINGLES = 4_000_000
 LOCAL_LEAST = 4
-FILTER_WORDS = 1 << 20
+PAIRS_PER_BATCH = 1_000
 BITS = 512
 
 
@@ -118,15 +121,21 @@ def _bits_allow(n_a: str, bits_a: str, n_b: str, bits_b: str, percent: int) -> C
     return F.coalesce(apart <= most, F.lit(True))
 
 
-def _prefixes(texts: DataFrame, key: str, text: str, size: int, percent: int, frequent) -> DataFrame:
-    kind = texts.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n long, print binary, prefix array<long>, bits array<long>"
+def _named_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, h1, h2, text``; the two hashes name a row by its id and text."""
+    return texts.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("h1"),
+                        F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("h2"), F.col(text).alias("text"))
+
+
+def _prefixes(texts: DataFrame, size: int, percent: int, frequent) -> DataFrame:
+    kind = texts.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, h1 long, h2 long, n long, print binary, prefix array<long>, bits array<long>"
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             n, prints, ends, prefix, bits = [], [], [0], [], []
-            for _, found in _sets(batch.column(1), hasher, size):
+            for _, found in _sets(batch.column(3), hasher, size):
                 n.append(len(found))
                 prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 keys = _in_order(found, *frequent)[:_prefix_length(len(found), percent) if len(found) else 0]
@@ -134,16 +143,16 @@ def _prefixes(texts: DataFrame, key: str, text: str, size: int, percent: int, fr
                 ends.append(ends[-1] + len(keys))
                 bits.append(_parity(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
                  pa.ListArray.from_arrays(
                      pa.array(ends, pa.int32()),
                      pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
                  pa.ListArray.from_arrays(
                      pa.array(np.arange(len(bits) + 1) * (BITS // 64), pa.int32()),
                      pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))],
-                names=[key, "n", "print", "prefix", "bits"])
+                names=["key", "h1", "h2", "n", "print", "prefix", "bits"])
 
-    return texts.select(key, text).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def _need(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -151,83 +160,63 @@ def _need(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.ceil(percent * (n_a + n_b) / (100 + percent))
 
 
-def _may_link(n_a: Column, n_b: Column, shared: Column, percent: int) -> Column:
-    """Sizes close enough, and enough shared prefix shingles.
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Sizes close enough, and enough shingles left to share before and after a shared one.
 
-    Of the set whose prefix ends first in the global order, what is not shared
-    within the prefixes can only be shared beyond its own.
+    What precedes a shared shingle in one set can only be shared with what precedes it
+    in the other; so with what follows it.
     """
-    rest = F.greatest(n_a - _prefix_length_col(n_a, percent), n_b - _prefix_length_col(n_b, percent))
+    n_a, n_b, i, j = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (a, b))
     close = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return close & (shared + rest >= _need(n_a, n_b, percent))
+    return close & (F.least(i, j) + F.least(n_a - i, n_b - j) >= _need(n_a, n_b, percent))
 
 
 def _prefix_length_col(n: Column, percent: int) -> Column:
     return n - F.ceil(percent * n / 100) + 1
 
 
-def _filter_words(ids: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of fixed size over the ids: at most FILTER_WORDS rows."""
-    rows = None
-    for seed in (1, 2):
-        h = F.xxhash64(F.lit(seed), column)
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
-        one = ids.select(F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS)).alias("word"),
-                         bit.alias("bit"))
-        rows = one if rows is None else rows.union(one)
-    got = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    words = np.zeros(FILTER_WORDS, np.int64)
-    for word, bits in got:
-        words[word] = bits
-    return words
-
-
-def _whole_sets(texts: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """``(class, set)`` of the wanted classes ``(class, key, print)``."""
-    words = _filter_words(wanted, key)
-    places = [F.xxhash64(F.lit(seed), key).alias(f"_h{seed}") for seed in (1, 2)]
-
-    def run(batches):
-        hasher = WordHasher()
-        for batch in batches:
-            hit = np.ones(batch.num_rows, bool)
-            for k in (1, 2):
-                h = batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64)
-                word = words[(h >> np.uint64(6)) % np.uint64(FILTER_WORDS)].view(np.uint64)
-                hit &= (word >> (h % np.uint64(64))) & np.uint64(1) == 1
-            if not hit.any():
-                continue
-            column = batch.column(0).filter(pa.array(hit))
-            prints, ends, values = [], [0], []
-            for _, found in _sets(column, hasher, size):
-                prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                values.append(found.view(np.int64))
-                ends.append(ends[-1] + len(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prints, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))],
-                names=["print", "set"])
-
-    found = texts.select(text, *places).mapInArrow(run, "print binary, set array<long>")
-    return found.join(wanted.select("class", "print"), "print").select("class", "set")
-
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of classes ``(a, b)`` that link, by their whole sets.
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, key: str, text: str,
-              size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link, by their whole sets."""
+    Only texts that may stand for a class of a pair are shuffled; each is cut into
+    shingles where it meets its partner.
+    """
     bits = classes.select("class", "n", "bits")
     pairs = (pairs.join(bits.toDF("a", "n_a", "bits_a"), "a").join(bits.toDF("b", "n_b", "bits_b"), "b")
-             .where(_bits_allow("n_a", "bits_a", "n_b", "bits_b", percent)).select("a", "b"))
-    pairs = cut_lineage(pairs, "pairs")
+             .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+                    & _bits_allow("n_a", "bits_a", "n_b", "bits_b", percent)).select("a", "b"))
+    pairs = cut_lineage(pairs, "copy-pairs")
     ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = cut_lineage(ids.join(classes.select("class", key, "print"), "class"), "wanted")
-    sets = cut_lineage(_whole_sets(texts, key, text, size, wanted).dropDuplicates(["class"]), "sets")
-    both = (pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.withColumn("common", common)
-    total = F.size("set_a") + F.size("set_b") - F.col("common")
-    return cut_lineage(both.where(100 * F.col("common") >= percent * total).select("a", "b"), "links")
+    wanted = cut_lineage(ids.join(classes.select("class", "h1", "h2"), "class"), "copy-wanted")
+    maybe = _maybe("h1", cut_lineage(_bits(wanted, "h1"), "copy-filter").scalar())
+    found = cut_lineage(texts.where(maybe).join(wanted, ["h1", "h2"]).select("class", "text")
+                        .dropDuplicates(["class"]), "copy-texts")
+    both = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b").select(
+        "a", "b", "text_a", "text_b")
+
+    def run(batches):
+        hasher, last, held = WordHasher(), None, None
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            new = np.flatnonzero(np.diff(b, prepend=b[0] - 1 if last is None or len(b) and b[0] != last else b[0]))
+            hubs = {int(b[new[i]]): s for i, s in _sets(batch.column(3).take(pa.array(new)), hasher, size)}
+            if last is not None:
+                hubs.setdefault(last, held)
+            keep = np.zeros(len(a), bool)
+            for i, mine in _sets(batch.column(2), hasher, size):
+                other = hubs[int(b[i])]
+                if len(mine) > len(other):
+                    mine, other = other, mine
+                at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
+                common = int((other[at] == mine).sum())
+                keep[i] = 100 * common >= percent * (len(mine) + len(other) - common)
+            last = int(b[-1]) if len(b) else last
+            held = hubs.get(last, held)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    spark = texts.sparkSession
+    with sql_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS_PER_BATCH)):
+        return cut_lineage(both.mapInArrow(run, "a long, b long"), "copy-links")
 
 
 def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: str = "id",
@@ -245,74 +234,83 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     component of null ids only has a null ``component_id``.  Other columns are
     ignored; an empty table gives no rows.
     """
-    texts = cases.select(key, text)
-    frequent = _frequent(texts, text, size)
-    docs = cut_lineage(_prefixes(texts, key, text, size, percent, frequent), "prefixes")
+    texts = _named_texts(cases, key, text)
+    frequent = _frequent(texts, "text", size)
+    docs = cut_lineage(_prefixes(texts, size, percent, frequent), "prefixes")
     one = docs.where("n > 0").groupBy("print").agg(
-        F.min(key).alias(key), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-        F.first("bits").alias("bits"))
+        F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "h1", "h2")).alias("of"),
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    one = one.select("print", "n", "prefix", "bits", "of.*")
     classes = cut_lineage(one.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     index = classes.select("class", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     live = cut_lineage(index.join(shared, "token", "left_semi"), "live")
 
-    # Classes against the middle class of each of their shingles.
-    own = cut_lineage(live.groupBy("class").agg(
-        (_prefix_length_col(F.first("n"), percent) - F.count(F.lit(1))).alias("own")), "own")
-    placed = live.join(own, "class")
-    hubs = placed.groupBy("token").agg(F.min(F.struct("own", "class", "n")).alias("hub"))
-    votes = placed.join(hubs, "token").where(F.col("class") != F.col("hub.class"))
-    votes = votes.groupBy(F.col("class").alias("a"), F.col("hub.class").alias("b")).agg(
-        F.first("n").alias("n_a"), F.first("hub.n").alias("n_b"), F.count(F.lit(1)).alias("votes"))
-    votes = votes.where(_may_link(F.col("n_a"), F.col("n_b"), F.col("votes"), percent))
-    links = _verified(votes.select("a", "b"), classes, texts, key, text, size, percent)
-    found = cut_lineage(components(links).withColumnRenamed("vertex", "class"), "components")
-
-    # Groups against groups of other components.
+    # Groups of one size and prefix; their rows of the index are those of the least class.
     group = F.xxhash64(F.first("n"), F.sort_array(F.collect_list(F.struct("pos", "token"))))
     second = F.hash(F.sort_array(F.collect_list(F.struct("token", "pos"))))
-    groups = live.groupBy("class").agg(F.first("n").alias("n"), group.alias("g1"), second.alias("g2"))
-    members = groups.join(found, "class", "left").withColumn(
-        "component", F.coalesce("component", "class"))
-    cells = members.groupBy("g1", "g2", "n", "component").agg(
-        F.min("class").alias("cell"))
-    members = cut_lineage(members.join(cells, ["g1", "g2", "n", "component"]).select(
-        "class", "cell", "component"), "members")
-    rows = live.select("token", "pos", "n", F.col("class").alias("cell")).join(
-        members.where("class = cell").select("cell", "component"), "cell")
+    placed = live.groupBy("class").agg(
+        F.first("n").alias("n"), group.alias("g1"), second.alias("g2"),
+        (_prefix_length_col(F.first("n"), percent) - F.count(F.lit(1))).alias("own"))
+    placed = cut_lineage(placed, "placed")
+    groups = placed.groupBy("g1", "g2", "n").agg(F.min("class").alias("cell"), F.first("own").alias("own"))
+    members = cut_lineage(placed.select("class", "g1", "g2", "n").join(groups, ["g1", "g2", "n"])
+                          .select("class", "cell", "own"), "members")
+    alone = members.where("class = cell").select("cell", "own")
+    rows = cut_lineage(live.withColumnRenamed("class", "cell").join(alone, "cell"), "rows")
+
+    # Members against their group's class, groups against the middle one of each shingle.
+    hubs = rows.groupBy("token").agg(F.min(F.struct("own", "cell", "n", "pos")).alias("hub"))
+    near = rows.alias("a").join(hubs.select("token", "hub.*").alias("b"), F.expr(
+        "a.token = b.token and a.cell <> b.cell") & _may_link("a", "b", percent))
+    near = near.select(F.col("a.cell").alias("a"), F.col("b.cell").alias("b"))
+    inside = members.where("class <> cell").select(F.col("class").alias("a"), F.col("cell").alias("b"))
+    first = cut_lineage(near.distinct().union(inside), "first-pairs")
+    links = _confirmed(first, classes, texts, size, percent)
+    found = cut_lineage(components(links).withColumnRenamed("vertex", "class"), "components")
+
+    # Groups against groups, but for members of one component.
+    members = cut_lineage(
+        members.join(found, "class", "left").join(classes.select("class", "n", "bits"), "class").select(
+            "class", "cell", "n", "bits", F.coalesce("component", "class").alias("component")), "placed-members")
+    cells = members.groupBy("cell").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.first("bits").alias("bits"))
+    rows = rows.drop("own").join(cells, "cell").withColumn("bits", F.when(F.col("size") == 1, F.col("bits")))
+    rows = rows.withColumn("component", F.when(F.col("low") == F.col("high"), F.col("low"))).select(
+        "token", "pos", "n", "cell", "component", "bits")
+    rows = cut_lineage(rows, "group-rows")
     counts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n_cells"))
-    top = (counts.groupBy("token")
-           .agg(F.max(F.struct("n_cells", "component")).alias("top"), F.count(F.lit(1)).alias("n_components"))
-           .where("n_components > 1").select("token", F.col("top.component").alias("top")))
-    rows = cut_lineage(rows.join(top, "token"), "rows")
-    a = rows.where("component <> top").alias("a")
-    pairs = a.join(rows.alias("b"), "token").where(
-        "a.component <> b.component and (b.component = b.top or a.component < b.component)"
-        f" and 100 * least(a.n, b.n) >= {int(percent)} * greatest(a.n, b.n)")
-    swap = F.expr("a.cell > b.cell")
-    sides = [F.when(swap, F.struct("b.cell", "b.n", "b.pos")).otherwise(F.struct("a.cell", "a.n", "a.pos")),
-             F.when(swap, F.struct("a.cell", "a.n", "a.pos")).otherwise(F.struct("b.cell", "b.n", "b.pos"))]
-    pairs = pairs.select(sides[0].alias("x"), sides[1].alias("y"))
-    pairs = pairs.groupBy("x.cell", "x.n", "y.cell", "y.n").agg(
-        F.count(F.lit(1)).alias("shared"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
-    pairs = pairs.toDF("cell_a", "n_a", "cell_b", "n_b", "shared", "i", "j")
-    after = F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
-    pairs = pairs.where(_may_link(F.col("n_a"), F.col("n_b"), F.col("shared"), percent)
-                        & (F.col("shared") + after >= _need(F.col("n_a"), F.col("n_b"), percent)))
-    pairs = (pairs.select("cell_a", "cell_b")
-             .join(members.select(F.col("cell").alias("cell_a"), F.col("class").alias("a")), "cell_a")
-             .join(members.select(F.col("cell").alias("cell_b"), F.col("class").alias("b")), "cell_b"))
-    links = links.union(
-        _verified(pairs.select("a", "b"), classes, texts, key, text, size, percent))
+    top = counts.groupBy("token").agg(
+        F.max(F.when(F.col("component").isNotNull(), F.struct("n_cells", "component"))).alias("top"),
+        F.count(F.lit(1)).alias("n_components")).where("n_components > 1").select(
+        "token", F.col("top.component").alias("top"))
+    open_ = cut_lineage(rows.join(top, "token").withColumn(
+        "in_top", F.coalesce(F.col("component") == F.col("top"), F.lit(False))).drop("top"), "open-rows")
+    pairs = open_.where("not in_top").alias("a").join(open_.alias("b"), F.expr(
+        "a.token = b.token and (b.in_top or a.cell < b.cell) and not (a.component <=> b.component "
+        "and a.component is not null)") & _may_link("a", "b", percent)
+        & _bits_allow("a.n", "a.bits", "b.n", "b.bits", percent))
+    pairs = pairs.select(F.col("a.cell").alias("a_cell"), F.col("b.cell").alias("b_cell")).distinct()
+    mixed = cells.where("low <> high").select(F.col("cell").alias("a_cell"), F.col("cell").alias("b_cell"))
+    pairs = cut_lineage(pairs.union(mixed), "group-pairs")
+    a = pairs.join(members.alias("m"), F.expr("a_cell = m.cell")).select(
+        "b_cell", "class", "n", "bits", "component", "a_cell")
+    pairs = a.alias("a").join(members.alias("b"), F.expr(
+        "a.b_cell = b.cell and a.component <> b.component and (a.a_cell <> a.b_cell or a.class < b.class)")
+        & _bits_allow("a.n", "a.bits", "b.n", "b.bits", percent))
+    pairs = pairs.select(F.greatest("a.class", "b.class").alias("a"), F.least("a.class", "b.class").alias("b"))
+    links = links.union(_confirmed(pairs.distinct(), classes, texts, size, percent))
     found = components(links).withColumnRenamed("vertex", "class")
 
-    # Back to the texts.
-    named = classes.select("class", "print").join(
-        found, "class", "left").select(
-        "print", F.coalesce("component", "class").alias("component"))
-    placed = cut_lineage(docs.select(key, "n", "print").join(named, "print", "left"), "placed")
-    least = placed.where("n > 0").groupBy("component").agg(F.min(key).alias("least"))
-    return placed.join(least, "component", "left").select(
-        key, F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(key)).alias("component_id"))
+    # The least id of a component is found over its classes, then handed to the texts.
+    named = classes.select("class", "print", "key", "no_key").join(found, "class", "left").select(
+        "print", "key", "no_key", F.coalesce("component", "class").alias("component"))
+    named = cut_lineage(named, "named")
+    least = named.groupBy("component").agg(F.min(F.struct("no_key", "key")).alias("least"))
+    least = cut_lineage(least.select("component", "least.key").withColumnRenamed("key", "least"), "least")
+    prints = cut_lineage(named.select("print", "component").join(least, "component").select("print", "least"), "prints")
+    return docs.select("key", "n", "print").join(prints, "print", "left").select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..storage import cut_lineage
 
 BUCKETS = 1 << 18
+WIDE = 96
+EARLY_SHARE = 3
 FILTER_WORDS = 1 << 18
 
 
@@ -40,23 +42,24 @@ def _print(keys: Column) -> list[Column]:
 
 
 def _parity(keys: Column) -> Column:
-    """For each of 128 buckets, whether a set has an odd number of tokens in it, as two numbers."""
-    def flip(bits: Column, x: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-        high = x.bitwiseAND(64) != 0
-        return F.struct(F.when(high, bits["low"]).otherwise(bits["low"].bitwiseXOR(bit)).alias("low"),
-                        F.when(high, bits["high"].bitwiseXOR(bit)).otherwise(bits["high"]).alias("high"))
-
-    zero = F.lit(0).cast("long")
-    return F.aggregate(keys, F.struct(zero.alias("low"), zero.alias("high")), flip)
+    """For each of 64 buckets, whether a set has an odd number of tokens in it."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
 
 
 def _line(line: Column, ranks: Column, percent: int) -> Column:
-    """``a, b, n, prefix, bits`` of a cleaned line."""
+    """``a, b, n, prefix, low, high`` of a cleaned line.
+
+    ``low`` are the parity bits of all tokens, ``high``, of long lines only, those
+    of the half of them with a further bit of the hash.  A prefix token keeps 32 bits.
+    """
     def finish(keys: Column) -> Column:
         n = F.size(keys)
-        return F.struct(*_print(keys), n.alias("n"), _parity(keys).alias("bits"),
-                        F.slice(keys, F.lit(1), _prefix_length(n, percent)).alias("prefix"))
+        high = F.when(n >= WIDE, _parity(F.filter(keys, lambda x: x.bitwiseAND(64) != 0))).otherwise(0)
+        return F.struct(
+            *_print(keys), n.alias("n"), _parity(keys).alias("low"), high.alias("high"),
+            F.transform(F.slice(keys, F.lit(1), _prefix_length(n, percent)), lambda x: F.shiftright(
+                F.call_function("shiftleft", x, F.lit(32)), 32).cast("int")).alias("prefix"))
 
     return _bind(_keys(_set(line), ranks), finish)
 
@@ -111,13 +114,15 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     ``at`` holds the number of tokens above 32 bits of the token's place.  What
     precedes the token in one set and what follows it can only be shared with what
     precedes and follows it in the other.  A token of one set only changes one
-    parity bit.
+    parity bit; two long lines are compared by twice as many bits.
     """
     n_x, n_y = (F.shiftrightunsigned(f"{s}.at", 32) for s in (x, y))
     i, j = (F.col(f"{s}.at").bitwiseAND(0xFFFFFFFF) for s in (x, y))
     need = _need(n_x, n_y, percent)
-    apart = (F.bit_count(F.col(f"{x}.low").bitwiseXOR(F.col(f"{y}.low")))
-             + F.bit_count(F.col(f"{x}.high").bitwiseXOR(F.col(f"{y}.high"))))
+    low = F.col(f"{x}.low").bitwiseXOR(F.col(f"{y}.low"))
+    high = F.col(f"{x}.high").bitwiseXOR(F.col(f"{y}.high"))
+    apart = F.when((n_x >= WIDE) & (n_y >= WIDE), F.bit_count(high) + F.bit_count(low.bitwiseXOR(high))).otherwise(
+        F.bit_count(low))
     return ((100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y))
             & (F.least(i, j) + F.least(n_x - i, n_y - j) >= need)
             & (apart <= n_x + n_y - 2 * need))
@@ -138,57 +143,63 @@ def _later(base: DataFrame, ranks: DataFrame, percent: int) -> DataFrame:
     lines = _lines(base).where("line <> ''").withColumn("ranks", ranks.scalar())
     # Filtered after it is written: a filter here would compute every line twice.
     lines = lines.select("doc", "key", "line_no", _line(F.col("line"), F.col("ranks"), percent).alias("of"))
-    lines = cut_lineage(lines.select("doc", "key", "line_no", "of.*"), "lines").where("n > 0")
-
-    classes = lines.groupBy("a", "b").agg(
-        F.min(F.struct("key", "line_no", "doc")).alias("first"), F.count(F.lit(1)).alias("times"),
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    # Numbered in the order of their first lines.
-    classes = classes.orderBy("first.key", "first.line_no", "a")
-    classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()), "line-classes")
+    lines = lines.select(F.monotonically_increasing_id().alias("id"), "doc", "key", "line_no", "of.*")
+    lines = cut_lineage(lines, "lines").where("n > 0")
+
+    # Lines with equal sets are one class, for which its first line stands.
+    place = F.struct("key", "line_no", "id")
+    repeated = lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+    repeated = cut_lineage(repeated.where("times > 1").select("a", "b", "first"), "line-repeats")
     # Sets too small to match any but their equal need no tokens of their own.
-    index = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select(
-        "class", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-    index = index.select("token", "class", F.col("bits.low").alias("low"), F.col("bits.high").alias("high"),
-                         F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32))
-                         .bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    stand = lines.where(100 * F.col("n") >= percent * (F.col("n") + 1)).join(repeated, ["a", "b"], "left")
+    stand = cut_lineage(stand.where("first is null or first.id = id").select(
+        "id", "key", "line_no", "n", "low", "high", "prefix"), "line-classes")
+    index = stand.select(
+        "id", "key", "line_no", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
+    at = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(F.col("pos").cast("long"))
+    index = index.select("token", "id", "key", "line_no", at.alias("at"), "low", "high")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Later classes ``x`` of pairs ``(x, y)`` that link, by whole token sets."""
+        """Later lines ``x`` of pairs ``(x, y)`` that link, by whole token sets."""
         pairs = cut_lineage(pairs, "line-pairs")
-        ids = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct()
-        wanted = cut_lineage(ids.join(classes, "class").select(
-            "class", F.xxhash64("first.doc", "first.line_no").alias("place")), "line-wanted")
+        ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+        wanted = cut_lineage(lines.select("id", "doc", "line_no").join(ids, "id").select(
+            "id", F.xxhash64("doc", "line_no").alias("place")), "line-wanted")
         bits = cut_lineage(_bits(wanted, "place"), "line-bits").scalar()
         again = _lines(base).select(F.xxhash64("doc", "line_no").alias("place"), "line")
-        again = again.where(_maybe("place", bits)).join(wanted, "place").dropDuplicates(["class"])
-        sets = cut_lineage(again.select("class", _set(F.col("line")).alias("tokens")), "line-sets")
-        both = (pairs.join(sets.select(F.col("class").alias("x"), F.col("tokens").alias("t_x")), "x")
-                .join(sets.select(F.col("class").alias("y"), F.col("tokens").alias("t_y")), "y")
+        again = again.where(_maybe("place", bits)).join(wanted, "place").dropDuplicates(["id"])
+        sets = cut_lineage(again.select("id", _set(F.col("line")).alias("tokens")), "line-sets")
+        both = (pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("t_x")), "x")
+                .join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("t_y")), "y")
                 .withColumn("common", F.size(F.array_intersect("t_x", "t_y"))))
         total = F.size("t_x") + F.size("t_y") - F.col("common")
         linked = both.where(100 * F.col("common") >= percent * total)
-        return cut_lineage(linked.select(F.col("x").alias("class")).distinct(), "line-later")
-
-    # First against the earliest class with the token, which most of a family match.
-    hubs = index.groupBy("token").agg(
-        F.count(F.lit(1)).alias("df"), F.min(F.struct("class", "at", "low", "high")).alias("hub")).where("df > 1")
-    live = index.alias("x").join(hubs.select("token", "hub.*").alias("y"), "token")
-    near = F.when((F.col("x.class") > F.col("y.class")) & _may_link("x", "y", percent), F.col("y.class"))
-    live = cut_lineage(live.select("token", "x.class", "x.at", "x.low", "x.high", near.alias("near")), "line-live")
-    tried = live.where("near is not null").select(F.col("class").alias("x"), F.col("near").alias("y")).distinct()
-    early = verified(tried)
+        return cut_lineage(linked.select(F.col("x").alias("id")).distinct(), "line-later")
+
+    later_than = F.expr(
+        "coalesce(x.key > y.key, x.key is not null and y.key is null) or (x.key <=> y.key and "
+        "(x.line_no > y.line_no or (x.line_no = y.line_no and x.id > y.id)))")
+
+    # First against the earliest line with a token, which most of a family match.  This
+    # only saves work, so a part of the tokens will do.
+    some = index.where(F.pmod("token", F.lit(EARLY_SHARE)) == 0)
+    hubs = some.groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"), F.min(F.struct("key", "line_no", "id", "at", "low", "high")).alias("hub"))
+    hubs = hubs.where("df > 1").select("token", "hub.*")
+    tried = some.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & later_than
+                                 & _may_link("x", "y", percent))
+    early = verified(tried.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct())
 
     # Then the lines still there against all earlier ones.
-    x, y = live.drop("near").join(early, "class", "left_anti").alias("x"), live.drop("near").alias("y")
-    pairs = x.join(y, F.expr("x.token = y.token and x.class > y.class") & _may_link("x", "y", percent))
-    pairs = pairs.select(F.col("x.class").alias("x"), F.col("y.class").alias("y")).distinct()
-    later = verified(pairs).union(early).withColumn("matched", F.lit(True))
-    judged = (classes.join(later, "class", "left")
-              .where("matched or times > 1").select("a", "b", "first", "matched"))
-    gone = lines.select("doc", "key", "line_no", "a", "b").join(cut_lineage(judged, "line-judged"), ["a", "b"])
+    pairs = index.join(early, "id", "left_anti").alias("x").join(
+        index.alias("y"), (F.col("x.token") == F.col("y.token")) & later_than
+        & _may_link("x", "y", percent))
+    later = verified(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()).union(early)
+    matched = cut_lineage(lines.select("id", "a", "b").join(later, "id").select("a", "b"), "line-matched")
+    judged = matched.withColumn("matched", F.lit(True)).join(repeated, ["a", "b"], "full")
+    gone = lines.select("doc", "key", "line_no", "a", "b").join(judged, ["a", "b"])
     return gone.where(F.col("matched").isNotNull()
-                      | (F.struct("key", "line_no") != F.col("first").dropFields("doc"))
+                      | (F.struct("key", "line_no") != F.col("first").dropFields("id"))
                       ).select("doc", "line_no", "a", "b")
 
 
@@ -209,8 +220,8 @@ def mark_later_lines(texts: DataFrame, percent: int = 80, key: str = "doc_id", t
     Returns the rows of ``texts``, all columns, with ``n_lines`` and ``later_lines``,
     line numbers from 0 (they replace columns of these names).  A null text is one
     empty line; a null id comes first; rows with equal ids are one text for the order:
-    equal lines at equal numbers of them count as the same line, of different ones that
-    with the smaller print comes first.  An empty table gives no rows.  Native expressions only.
+    equal lines at equal numbers of them count as the same line, of different ones either
+    may come first.  An empty table gives no rows.  Native expressions only.
     Texts are shuffled only if they may hold a marked line.
     """
     names = [c for c in texts.columns if c not in ("n_lines", "later_lines")]

@@ -22,15 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..storage import cut_lineage, sql_conf
+from ..storage import cut_lineage
 from .components import components
-from .jaccard import BITS, _bits_allow, _parity, _sets
-from .line_dedup import _bits, _maybe
+from .jaccard import BITS, _bits_allow, _confirmed, _named_texts, _parity, _sets
 from .word_hash import WordHasher, mix
 
 BANDS, ROWS = 32, 7
 PART_ELEMENTS = 100_000
-PAIRS_PER_BATCH = 1_000
 
 _LEVEL = 0xD6E8FEB86659FD93
 
@@ -123,50 +121,6 @@ def _described(texts: DataFrame, size: int, percent: int, bands: int, rows: int)
     return texts.mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of classes ``(a, b)`` that link, by their whole sets.
-
-    Only texts that may stand for a class of a pair are shuffled; each is cut into
-    shingles where it meets its partner.
-    """
-    bits = classes.select("class", "n", "bits")
-    pairs = (pairs.join(bits.toDF("a", "n_a", "bits_a"), "a").join(bits.toDF("b", "n_b", "bits_b"), "b")
-             .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                    & _bits_allow("n_a", "bits_a", "n_b", "bits_b", percent)).select("a", "b"))
-    pairs = cut_lineage(pairs, "copy-pairs")
-    ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = cut_lineage(ids.join(classes.select("class", "h1", "h2"), "class"), "copy-wanted")
-    maybe = _maybe("h1", cut_lineage(_bits(wanted, "h1"), "copy-filter").scalar())
-    found = cut_lineage(texts.where(maybe).join(wanted, ["h1", "h2"]).select("class", "text")
-                        .dropDuplicates(["class"]), "copy-texts")
-    both = pairs.join(found.toDF("b", "text_b"), "b").join(found.toDF("a", "text_a"), "a").select(
-        "a", "b", "text_a", "text_b")
-
-    def run(batches):
-        hasher, last, held = WordHasher(), None, None
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            new = np.flatnonzero(np.diff(b, prepend=b[0] - 1 if last is None or len(b) and b[0] != last else b[0]))
-            hubs = {int(b[new[i]]): s for i, s in _sets(batch.column(3).take(pa.array(new)), hasher, size)}
-            if last is not None:
-                hubs.setdefault(last, held)
-            keep = np.zeros(len(a), bool)
-            for i, mine in _sets(batch.column(2), hasher, size):
-                other = hubs[int(b[i])]
-                if len(mine) > len(other):
-                    mine, other = other, mine
-                at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
-                common = int((other[at] == mine).sum())
-                keep[i] = 100 * common >= percent * (len(mine) + len(other) - common)
-            last = int(b[-1]) if len(b) else last
-            held = hubs.get(last, held)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-    spark = texts.sparkSession
-    with sql_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS_PER_BATCH)):
-        return cut_lineage(both.mapInArrow(run, "a long, b long"), "copy-links")
-
-
 def _joined(links: DataFrame) -> DataFrame:
     """Links with those left out that a union-find over each task's links makes needless."""
     def run(batches):
@@ -209,8 +163,7 @@ def group_near_copies(texts: DataFrame, size: int = 5, percent: int = 85, key: s
     their id is the least; a null id is larger than any other and equal to
     itself.  Other columns are ignored; an empty table gives no rows.
     """
-    texts = texts.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("h1"),
-                         F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("h2"), F.col(text).alias("text"))
+    texts = _named_texts(texts, key, text)
     docs = cut_lineage(_described(texts, size, percent, bands, rows), "copy-signatures")
     one = docs.where("n > 0").groupBy("print").agg(
         F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "h1", "h2")).alias("of"),
