@@ -8,7 +8,8 @@ from ..storage import cut_lineage
 
 BUCKETS = 1 << 18
 WIDE = 96
-EARLY_SHARE = 3
+EARLY_SHARE = 4
+MOST = 65_535
 FILTER_WORDS = 1 << 18
 
 
@@ -109,23 +110,25 @@ def _maybe(column: str, bits: Column) -> Column:
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
-    """Length, position and parity filter of two classes that share a token.
+    """Length, position and parity filter of two lines that share a token.
 
-    ``at`` holds the number of tokens above 32 bits of the token's place.  What
-    precedes the token in one set and what follows it can only be shared with what
+    ``entry`` holds the token, the number of tokens and the token's place (see
+    ``_later``).  What precedes the token in one set and what follows it can only be shared with what
     precedes and follows it in the other.  A token of one set only changes one
-    parity bit; two long lines are compared by twice as many bits.
+    parity bit; two long lines are compared by twice as many bits.  Lines of ``MOST``
+    tokens or more pass.
     """
-    n_x, n_y = (F.shiftrightunsigned(f"{s}.at", 32) for s in (x, y))
-    i, j = (F.col(f"{s}.at").bitwiseAND(0xFFFFFFFF) for s in (x, y))
+    n_x, n_y = (F.shiftright(f"{s}.entry", 16).bitwiseAND(MOST) for s in (x, y))
+    i, j = (F.col(f"{s}.entry").bitwiseAND(MOST) for s in (x, y))
     need = _need(n_x, n_y, percent)
     low = F.col(f"{x}.low").bitwiseXOR(F.col(f"{y}.low"))
     high = F.col(f"{x}.high").bitwiseXOR(F.col(f"{y}.high"))
     apart = F.when((n_x >= WIDE) & (n_y >= WIDE), F.bit_count(high) + F.bit_count(low.bitwiseXOR(high))).otherwise(
         F.bit_count(low))
-    return ((100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y))
+    fits = ((100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y))
             & (F.least(i, j) + F.least(n_x - i, n_y - j) >= need)
             & (apart <= n_x + n_y - 2 * need))
+    return fits | (F.greatest(n_x, n_y) == MOST)
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -154,10 +157,27 @@ def _later(base: DataFrame, ranks: DataFrame, percent: int) -> DataFrame:
     stand = lines.where(100 * F.col("n") >= percent * (F.col("n") + 1)).join(repeated, ["a", "b"], "left")
     stand = cut_lineage(stand.where("first is null or first.id = id").select(
         "id", "key", "line_no", "n", "low", "high", "prefix"), "line-classes")
-    index = stand.select(
-        "id", "key", "line_no", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
-    at = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(F.col("pos").cast("long"))
-    index = index.select("token", "id", "key", "line_no", at.alias("at"), "low", "high")
+
+    def index(rows: DataFrame) -> DataFrame:
+        """``entry, id, low, high`` of every prefix token; an entry is the token above 16 bits
+        each of the number of tokens and the token's place."""
+        rows = rows.select("id", "low", "high", "n", F.posexplode("prefix").alias("pos", "token"))
+        entry = F.call_function("shiftleft", F.col("token").cast("long"), F.lit(32))
+        for value, bits in (("n", 16), ("pos", 0)):
+            part = F.least(F.col(value), F.lit(MOST)).cast("long")
+            entry = entry.bitwiseOR(F.call_function("shiftleft", part, F.lit(bits)))
+        return rows.select(entry.alias("entry"), "id", "low", "high")
+
+    def token(side: str) -> Column:
+        return F.shiftright(f"{side}.entry", 32)
+
+    def in_order(pairs: DataFrame) -> DataFrame:
+        """Pairs as ``(x, y)`` with ``x`` the later line."""
+        place = stand.select("id", F.struct("key", "line_no", "id").alias("place"))
+        both = pairs.join(place.toDF("a", "place_a"), "a").join(place.toDF("b", "place_b"), "b")
+        later = F.col("place_a") > F.col("place_b")
+        return both.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("x"),
+                           F.when(later, F.col("b")).otherwise(F.col("a")).alias("y")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Later lines ``x`` of pairs ``(x, y)`` that link, by whole token sets."""
@@ -176,25 +196,31 @@ def _later(base: DataFrame, ranks: DataFrame, percent: int) -> DataFrame:
         linked = both.where(100 * F.col("common") >= percent * total)
         return cut_lineage(linked.select(F.col("x").alias("id")).distinct(), "line-later")
 
-    later_than = F.expr(
-        "coalesce(x.key > y.key, x.key is not null and y.key is null) or (x.key <=> y.key and "
-        "(x.line_no > y.line_no or (x.line_no = y.line_no and x.id > y.id)))")
-
-    # First against the earliest line with a token, which most of a family match.  This
-    # only saves work, so a part of the tokens will do.
-    some = index.where(F.pmod("token", F.lit(EARLY_SHARE)) == 0)
-    hubs = some.groupBy("token").agg(
-        F.count(F.lit(1)).alias("df"), F.min(F.struct("key", "line_no", "id", "at", "low", "high")).alias("hub"))
-    hubs = hubs.where("df > 1").select("token", "hub.*")
-    tried = some.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & later_than
+    # First against one line of each token, which most of a family match.  This only
+    # saves work, so a part of the tokens will do.
+    some = index(stand).where(F.pmod(F.shiftright("entry", 32), F.lit(EARLY_SHARE)) == 0)
+    hubs = some.groupBy(F.shiftright("entry", 32).alias("token")).agg(
+        F.count(F.lit(1)).alias("df"), F.min(F.struct("id", "entry", "low", "high")).alias("hub"))
+    hubs = hubs.where("df > 1").select("hub.*")
+    tried = some.alias("x").join(hubs.alias("y"), (token("x") == token("y")) & (F.col("x.id") != F.col("y.id"))
                                  & _may_link("x", "y", percent))
-    early = verified(tried.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct())
-
-    # Then the lines still there against all earlier ones.
-    pairs = index.join(early, "id", "left_anti").alias("x").join(
-        index.alias("y"), (F.col("x.token") == F.col("y.token")) & later_than
-        & _may_link("x", "y", percent))
-    later = verified(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()).union(early)
+    early = verified(in_order(tried.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()))
+
+    # Then all others.  Of two linked lines the shorter one has a shared token among its
+    # first n - ceil(2 t n / (1 + t)) + 1, the longer one in its prefix.  Two lines that go
+    # already need no more: the sign of an id says so.
+    marked = stand.join(early.withColumn("early", F.lit(True)), "id", "left").withColumn(
+        "id", F.when(F.col("early"), -1 - F.col("id")).otherwise(F.col("id")))
+    n = F.shiftright("entry", 16).bitwiseAND(MOST)
+    short = index(marked).where(
+        (F.col("entry").bitwiseAND(MOST) <= n - F.ceil(2 * percent * n / (100 + percent))) | (n == MOST))
+    n_x, n_y = (F.shiftright(f"{s}.entry", 16).bitwiseAND(MOST) for s in ("x", "y"))
+    pairs = short.alias("x").join(index(marked).alias("y"), (token("x") == token("y")) & (
+        (n_x < n_y) | ((n_x == n_y) & (F.col("x.id") < F.col("y.id"))))
+        & ((F.col("x.id") >= 0) | (F.col("y.id") >= 0)) & _may_link("x", "y", percent))
+    plain = [F.when(F.col(c) < 0, -1 - F.col(c)).otherwise(F.col(c)).alias(new) for c, new in (("x.id", "a"), ("y.id", "b"))]
+    pairs = in_order(pairs.select(*plain).distinct()).join(early.withColumnRenamed("id", "x"), "x", "left_anti")
+    later = verified(pairs).union(early)
     matched = cut_lineage(lines.select("id", "a", "b").join(later, "id").select("a", "b"), "line-matched")
     judged = matched.withColumn("matched", F.lit(True)).join(repeated, ["a", "b"], "full")
     gone = lines.select("doc", "key", "line_no", "a", "b").join(judged, ["a", "b"])
