@@ -54,18 +54,17 @@ twice AS (
   SELECT u, i FROM (SELECT *, count(*) OVER (PARTITION BY u, x) AS c FROM win) WHERE c > 1),
 rep AS (SELECT u, count(DISTINCT i + k) AS n FROM twice, range(0, 8) AS g(k) GROUP BY 1),
 norm AS (
-  SELECT u, source, unnest(l) AS raw FROM w),
+  SELECT u, source, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM w),
 prints AS (
-  SELECT u, source, raw, trim(regexp_replace(regexp_replace(lower(raw), '[0-9]', '0', 'g'),
+  SELECT u, source, raw, pos, trim(regexp_replace(regexp_replace(lower(raw), '[0-9]', '0', 'g'),
     '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM norm),
-h AS (SELECT DISTINCT u, source, substr(md5(line), 1, 16) AS h FROM prints),
-other AS (
-  SELECT x.source, x.h, min(y.h) AS other, x.u FROM h x LEFT JOIN h y ON x.u = y.u AND x.h <> y.h GROUP BY ALL),
+digests AS (
+  SELECT u, source, string_agg(substr(md5(line), 1, 16), '' ORDER BY pos) AS digest FROM prints GROUP BY ALL),
+h AS (SELECT DISTINCT d.source, digest, substr(md5(line), 1, 16) AS h FROM prints JOIN digests d USING (u)),
 often AS (
   SELECT source, h FROM (
-    SELECT source, h, count(DISTINCT coalesce(other, '')) AS n FROM other
-    WHERE h <> substr(md5(''), 1, 16) GROUP BY ALL) o
-  JOIN (SELECT source, count(*) AS docs FROM d GROUP BY 1) s USING (source)
+    SELECT source, h, count(*) AS n FROM h WHERE h <> substr(md5(''), 1, 16) GROUP BY ALL) o
+  JOIN (SELECT source, count(DISTINCT digest) AS docs FROM digests GROUP BY 1) s USING (source)
   WHERE n > 50 AND 100 * n > 5 * docs),
 leftover AS (
   SELECT u, bool_or(o.h IS NOT NULL) AS changed,

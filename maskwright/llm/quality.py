@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..storage import cut_lineage
 
 BROADCAST_LINES = 500_000
+SALTS = 64
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 GAP = " \t\n\x0b\x0c\r"
@@ -82,13 +83,14 @@ def frequent_lines(texts: DataFrame, text: str, host: str, least_documents: int,
     """``(host, lines)``: per host the hashes of lines in too many documents.
 
     Documents are told apart by a digest of the whole normalised text, so that exact
-    copies count once.
+    copies count once, in the documents with a line as in all documents of a host.
     """
     found = texts.select(F.col(host).alias("host"), line_prints(F.col(text)).alias("all"))
     found = found.select("host", F.md5(F.array_join("all", "")).alias("digest"),
                          F.array_distinct("all").alias("all"))
+    found = cut_lineage(found.dropDuplicates(["host", "digest"]).select("host", "all"), "distinct-texts")
     documents = found.groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    rows = found.dropDuplicates(["host", "digest"]).select("host", F.explode("all").alias("line"))
+    rows = found.select("host", F.explode("all").alias("line"))
     rows = rows.where(F.col("line") != F.substring(F.md5(F.lit("")), 1, 16))
     counts = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") > least_documents)
@@ -107,12 +109,23 @@ def judged(texts: DataFrame, text: str = "text", host: str = "source", least_wor
     often = cut_lineage(frequent_lines(base.select("_host", "_text"), "_text", "_host",
                                        least_documents, share_percent), "often")
     entries = often.agg(F.sum(F.size("lines"))).first()[0] or 0
+    rows = text_features(base, "_text")
+    same_host = F.col("_host").eqNullSafe(F.col("host"))
     if entries <= BROADCAST_LINES:
-        often = F.broadcast(often)
-    rows = text_features(base, "_text").join(often, F.col("_host").eqNullSafe(F.col("host")), "left")
-    left = F.array_join(F.filter(
-        F.split("_text", "\n"),
-        lambda x: ~F.array_contains(F.col("lines"), line_print(x))), "\n")
+        rows = rows.join(F.broadcast(often), same_host, "left")
+    else:
+        # Texts of a host are dealt to SALTS tasks, each with a copy of the host's list.
+        copies = often.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")
+        rows = rows.withColumn("_salt", salt).join(copies, same_host & (F.col("_salt") == F.col("_copy")), "left")
+
+    def without(prints: Column) -> Column:
+        """The text without its lines of the list; only those it holds are searched per line."""
+        kept = lambda gone: F.when(F.size(gone) == 0, F.col("_text")).otherwise(F.array_join(F.filter(
+            F.split("_text", "\n"), lambda x, i: ~F.array_contains(gone, F.get(prints, i))), "\n"))
+        return _bind(F.array_intersect(prints, F.col("lines")), kept)
+
+    left = _bind(line_prints(F.col("_text")), without)
     rows = rows.withColumn("kept_text", F.when(F.col("lines").isNull(), F.col("_text")).otherwise(left))
     changed = F.col("kept_text") != F.col("_text")
     n_left = F.size(words(F.col("kept_text")))
@@ -146,7 +159,7 @@ def quality_rules(texts: DataFrame, key: str = "doc_id", text: str = "text", hos
     a host.  Repeated rows are judged alike; null keys stay; other columns are
     ignored; an empty table gives no rows.  Native expressions only; counts are
     summed up before they are shuffled.  The lists per host are broadcast if they
-    hold at most ``BROADCAST_LINES`` entries, otherwise joined by host.
+    hold at most ``BROADCAST_LINES`` entries, otherwise joined by host and salt.
     """
     return judged(texts.select(*{key: 0, text: 0, host: 0}), text, host, **limits).select(
         f"row.{key}", "quality.*")
