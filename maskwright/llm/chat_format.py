@@ -13,6 +13,9 @@ _BLOCK = ("struct<type:string,text:string,content:string,"
           "width:int,height:int,seconds:double,pages:int>")
 
 
+RESULT_DEPTH = 4
+
+
 def escape(text: Column) -> Column:
     """Text without any control string; :func:`unescape` gives it back."""
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;")):
@@ -32,22 +35,34 @@ def text_part(text: Column) -> Column:
                    .withField("text", F.coalesce(text, F.lit(""))))
 
 
-def content_parts(content: Column) -> Column:
+def content_parts(content: Column, depth: int = RESULT_DEPTH) -> Column:
     """Parts of a request's ``content``: a plain string, or a JSON list of blocks.
 
-    Blocks are ``text``, ``tool_result`` (its string content is text), ``image``,
-    ``audio`` and ``document`` with a ``source``.  What is no list of blocks is text.
+    Blocks are ``text``, ``image``, ``audio`` and ``document`` with a ``source``, and
+    ``tool_result``, whose content is again a string or a list of blocks; its parts come in
+    its place, up to ``depth`` results within each other.  What is no list of blocks
+    is text.
     """
-    blocks = F.from_json(content, f"array<{_BLOCK}>")
-    parts = F.transform(blocks, lambda b: F.struct(
-        F.when(b["type"] == "tool_result", "text").otherwise(b["type"]).alias("type"),
-        F.when(b["type"] == "tool_result", b["content"]).otherwise(b["text"]).alias("text"),
-        F.coalesce(b["source"]["url"], b["source"]["file_id"], b["source"]["media_type"]).alias("media"),
-        b["width"].alias("width"), b["height"].alias("height"), b["seconds"].alias("seconds"),
-        b["pages"].alias("pages")).cast(PART))
-    listed = F.coalesce(F.ltrim(content).startswith("["), F.lit(False)) & blocks.isNotNull() & F.forall(
-        blocks, lambda b: b.isNotNull() & b["type"].isNotNull())
-    return F.when(listed, parts).otherwise(text_part(content))
+    def one(b: Column) -> Column:
+        result = b["type"] == "tool_result"
+        part = F.array(F.struct(
+            F.when(result, "text").otherwise(b["type"]).alias("type"),
+            F.when(result, b["content"]).otherwise(b["text"]).alias("text"),
+            F.coalesce(b["source"]["url"], b["source"]["file_id"], b["source"]["media_type"]).alias("media"),
+            b["width"].alias("width"), b["height"].alias("height"), b["seconds"].alias("seconds"),
+            b["pages"].alias("pages")).cast(PART))
+        if depth:
+            part = F.when(result & F.ltrim(b["content"]).startswith("["),
+                          content_parts(b["content"], depth - 1)).otherwise(part)
+        return part
+
+    def listed(blocks: Column) -> Column:
+        whole = blocks.isNotNull() & F.forall(blocks, lambda b: b.isNotNull() & b["type"].isNotNull())
+        return F.when(whole, F.flatten(F.transform(blocks, one)))
+
+    is_list = F.coalesce(F.ltrim(content).startswith("["), F.lit(False))
+    blocks = F.when(is_list, F.from_json(content, f"array<{_BLOCK}>"))
+    return F.coalesce(F.get(F.transform(F.array(blocks), listed), F.lit(0)), text_part(content))
 
 
 def _tokens(part: Column, pixels: int, per_second: int, per_page: int) -> Column:
