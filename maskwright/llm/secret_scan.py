@@ -27,12 +27,14 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # Searches by automaton over whole columns, to leave alone texts without a hit.
 MAY_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
+MAY_ACCESS = r"AKIA[A-Z0-9]{12}"
 MAY_HEX = r"[0-9a-f]{32}"
 MAY_CANDIDATE = r"[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]"
 
-BEFORE, INSIDE, AFTER = 24, 48, 8
+# Characters shown before a token, of it, and after it; of a longer token its first and last ones.
+BEFORE, INSIDE, AFTER, TAIL = 24, 48, 8, 16
 WIDTH = BEFORE + INSIDE + AFTER
-POSITIVES, NEGATIVES = 2_000, 6_000
+POSITIVES, NEGATIVES, MADE = 2_000, 6_000, 2_000
 
 
 def base_spans(text: str, assign: bool = True, hexes: bool = True) -> list[tuple[int, int, int]]:
@@ -70,11 +72,18 @@ ALPHABET = int(_CLASS.max()) + 1
 
 
 def windows(texts: list[tuple[str, int, int]]) -> np.ndarray:
-    """Character codes before, in and after each candidate; 0 is no character."""
+    """Character codes before, in and after each candidate; 0 is no character.
+
+    A candidate of more than ``INSIDE`` characters is shown by its first ones and its
+    last ``TAIL``.
+    """
     out = np.zeros((len(texts), WIDTH), np.int8)
     for row, (text, start, end) in zip(out, texts):
+        token = text[start:end]
+        if len(token) > INSIDE:
+            token = token[:INSIDE - TAIL] + token[-TAIL:]
         for place, part in ((BEFORE - min(BEFORE, start), text[max(0, start - BEFORE):start]),
-                            (BEFORE, text[start:min(end, start + INSIDE)]),
+                            (BEFORE, token),
                             (BEFORE + INSIDE, text[end:end + AFTER])):
             codes = np.frombuffer(part.encode("ascii", "replace"), np.uint8)
             row[place:place + len(codes)] = _CLASS[codes & 127]
@@ -92,6 +101,7 @@ class Network:
     offset: float
     scale: float = 1.0  # calibration of the logit
     threshold: float = 0.5
+    report: dict | None = None  # recall and precision on what was held out
 
     ZONES = ((0, BEFORE), (BEFORE, BEFORE + INSIDE), (BEFORE + INSIDE, WIDTH))
 
@@ -112,19 +122,28 @@ class Network:
 
 
 def train_network(codes: np.ndarray, labels: np.ndarray, judged: np.ndarray | None = None,
+                  groups: np.ndarray | None = None,
                   recall: float = 0.98, epochs: int = 6, embed: int = 12, hidden: int = 24, seed: int = 7) -> Network | None:
     """A network from labelled findings; no network without both labels.
 
-    Every fifth finding is held out.  On those ``judged`` (all, if not given or if no
+    A fifth is held out, by ``groups``: findings made from one are of its group, and a
+    group is held out as a whole.  On those ``judged`` (all, if not given or if no
     held out negative is) the logit is scaled to give probabilities, and the
-    threshold is the highest that keeps ``recall``.
+    threshold is the highest that keeps ``recall``; ``report`` says what recall and precision it has there.
     """
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
+    groups = np.arange(len(labels)) if groups is None else np.asarray(groups)
+    out_of = np.zeros(len(labels), bool)
+    for side in (0, 1):  # some groups of either label
+        own = np.unique(groups[labels == side])
+        out_of |= np.isin(groups, rng.permutation(own)[::5]) if len(own) > 1 else False
     order = rng.permutation(len(labels))
-    held, used = order[::5], order[np.arange(len(order)) % 5 != 0]
+    held, used = order[out_of[order]], order[~out_of[order]]
+    if labels[used].min() == labels[used].max():
+        return None
     net = Network(rng.normal(0, 0.3, (ALPHABET, embed)), rng.normal(0, (5 * embed) ** -0.5, (5 * embed, hidden)),
                   np.zeros(hidden), rng.normal(0, 0.2, 3 * hidden), 0.0)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
@@ -172,20 +191,59 @@ def train_network(codes: np.ndarray, labels: np.ndarray, judged: np.ndarray | No
         rest = net.score(codes[held[y == 0]])
         under = rest[rest < low]
         net.threshold = (low + float(under.max())) / 2 if len(under) else low
+        marked = net.score(codes[held]) >= net.threshold
+        net.report = {"n_secret": int(y.sum()), "n_clean": int((1 - y).sum()),
+                      "recall": float(marked[y == 1].mean()), "precision": float(y[marked].mean()) if marked.any() else 1.0}
     return net
 
 
+def made_clean(words: list[str], n: int, seed: int = 13) -> list[str]:
+    """Clean candidate tokens made of clean words: build and branch names, numbered items,
+    time stamps, UUIDs and short commit names."""
+    rng = np.random.default_rng(seed)
+    words = [w for w in words if w.isascii() and w.isalpha()] or ["release", "candidate"]
+
+    def digits(k):
+        return "".join(rng.choice(list("0123456789"), k))
+
+    def hexes(k):
+        return "".join(rng.choice(list("0123456789abcdef"), k))
+
+    out = []
+    while len(out) < n:
+        one, two = (words[int(i)][:int(rng.integers(4, 12))] for i in rng.integers(0, len(words), 2))
+        join = "-_/"[int(rng.integers(3))]
+        token = (
+            f"{one}{join}{digits(int(rng.integers(1, 6)))}{join}{two}",
+            f"{one}{join}{two}{digits(int(rng.integers(1, 4)))}",
+            f"{hexes(8)}-{hexes(4)}-4{hexes(3)}-a{hexes(3)}-{hexes(12)}",
+            f"{one}{join}{hexes(int(rng.integers(7, 13)))}",
+            f"20{digits(2)}{digits(4)}T{digits(6)}Z{join}{one}",
+            f"{one.upper()}{join}{digits(int(rng.integers(4, 9)))}{join}{two}",
+            f"{one}{two.capitalize()}{digits(2)}{join}x64",
+        )[len(out) % 7]
+        while len(token) < 16:
+            token += join + two
+        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
+            out.append(token)
+    return out
+
+
 def labelled_findings(texts: DataFrame, text: str = "text", positives: int = POSITIVES,
-                      negatives: int = NEGATIVES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows, labels and whether to judge by them, from a bounded sample of texts:
-    values that the patterns find are secrets; candidate tokens outside them, long
+                      negatives: int = NEGATIVES, made: int = MADE,
+                      ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, labels, whether to judge by them, and groups, from a bounded sample of
+    texts: values that the patterns find are secrets; candidate tokens outside them, long
     words and long numbers are none.
 
     Secrets are also shown away from their own context, behind that of a word, and
-    with their characters in other orders, so that shape and context both count.
-    At most ``positives`` and ``negatives`` findings, those of least hash over all
-    matches, are used; words and numbers only fill what candidates leave.  They are
-    no candidates, so they are not judged by.
+    with their characters in other orders, so that shape and context both count; all
+    that is made from one is of its group.  At most ``positives`` and ``negatives``
+    findings, those of least hash over all matches, are used; words and numbers only
+    fill what candidates leave, and are not judged by.  ``made`` clean
+    candidates are put together from the words (see :func:`made_clean`) and shown in
+    their contexts, so that a table whose texts hold few is judged by some, too.  A
+    null text is empty; repeated texts add nothing; an empty table gives no findings.
     """
     word = re.compile(r"[A-Za-z][a-z]{11,}(?:[-_/.][A-Za-z]+)*|[0-9][0-9./-]{9,}"
                       r"|(?<![A-Za-z])[A-Za-z]+(?:[-_/][A-Za-z]+)+")
@@ -199,7 +257,7 @@ def labelled_findings(texts: DataFrame, text: str = "text", positives: int = POS
             for _, part in slices(column):
                 lines, labels, clean = [], [], {0: set(), -1: set()}
                 rows = _maybe_rows(part)
-                for t, (assign, hexes, may) in zip(part.to_pylist(), rows):
+                for t, (assign, hexes, may, _) in zip(part.to_pylist(), rows):
                     found = base_spans(t, assign, hexes)
                     for start, kind, end in found:
                         if kind == 0:
@@ -232,24 +290,36 @@ def labelled_findings(texts: DataFrame, text: str = "text", positives: int = POS
     rows[1] += [f for f in least(-1, F.crc32, negatives) if f not in seen][:negatives - n_candidates]
     rng = np.random.default_rng(11)
     split = [[f.split("\0") for f in side] for side in rows]
-    shown, labels = [], []
+    shown, labels, groups = [], [], []
+
+    def show(before, inside, after, label, group):
+        shown.append((before + inside + after, len(before), len(before) + len(inside)))
+        labels.append(label)
+        groups.append(group)
+
     for k in range(max(len(split[0]), min(600, 20 * len(split[0])))):
-        before, inside, after = split[0][k % len(split[0])]
+        source = k % len(split[0])
+        before, inside, after = split[0][source]
         if k >= len(split[0]) or k % 2:
             inside = "".join(rng.permutation(list(inside)))
         if k % 3 == 1 and split[1]:
             before, _, after = split[1][int(rng.integers(len(split[1])))]
-        shown.append((before + inside + after, len(before), len(before) + len(inside)))
-        labels.append(1)
-    for before, inside, after in split[1]:
-        shown.append((before + inside + after, len(before), len(before) + len(inside)))
-        labels.append(0)
+        show(before, inside, after, 1, source)
+    for k, finding in enumerate(split[1]):
+        show(*finding, 0, len(split[0]) + k)
+    spare = split[1][n_candidates:]
+    words = [w for _, inside, _ in spare for w in re.findall("[A-Za-z]{3,}", inside)]
+    for k, token in enumerate(made_clean(words, made) if spare and split[0] else []):
+        before, _, after = spare[int(rng.integers(len(spare)))]
+        show(before, token, after, 0, len(split[0]) + len(split[1]) + k)
     labels = np.array(labels)
-    return windows(shown), labels, (labels == 1) | (np.cumsum(labels == 0) <= n_candidates)
+    place = np.cumsum(labels == 0)
+    judged = (labels == 1) | (place <= n_candidates) | (place > len(split[1]))
+    return windows(shown), labels, judged, np.array(groups)
 
 
 def _maybe_rows(part: pa.Array):
-    masks = [pc.match_substring_regex(part, p).to_pylist() for p in (MAY_ASSIGN, MAY_HEX, MAY_CANDIDATE)]
+    masks = [pc.match_substring_regex(part, p).to_pylist() for p in (MAY_ASSIGN, MAY_HEX, MAY_CANDIDATE, MAY_ACCESS)]
     return zip(*masks)
 
 
@@ -257,9 +327,9 @@ def _scan(column: pa.Array, network: Network | None):
     """Sorted ``(start, kind, end)`` of every text of a column, in order."""
     for _, part in slices(as_text(column)):
         spans, shown, owners = [], [], []
-        for i, (value, (assign, hexes, may)) in enumerate(zip(part, _maybe_rows(part))):
+        for i, (value, (assign, hexes, may, access)) in enumerate(zip(part, _maybe_rows(part))):
             spans.append([])
-            if not (assign or hexes or may):
+            if not (assign or hexes or may or access):
                 continue
             t = value.as_py()
             spans[i] = base_spans(t, assign, hexes)
@@ -277,7 +347,8 @@ def _scan(column: pa.Array, network: Network | None):
 
 def find_secrets(texts: DataFrame, network: Network | None, key: str = "doc_id",
                  text: str = "text") -> DataFrame:
-    """Secrets of every whole text, as spans like those of a scrub.
+    """Secrets of every whole text, as places; :func:`secret_values` gives them as a
+    scrub's spans.
 
     ``texts`` are the texts to scrub, ``(doc_id, text)``.  The patterns' spans always
     stay; the network scores every candidate token with its context and adds those at
@@ -302,6 +373,22 @@ def find_secrets(texts: DataFrame, network: Network | None, key: str = "doc_id",
     return texts.select(key, text).mapInArrow(run, schema)
 
 
+def secret_values(found: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The secrets as values to bind: ``(scope, real, kind, ord)``, distinct per text.
+
+    ``found`` is the result of :func:`find_secrets` over ``texts``.  ``kind`` is
+    ``api_key``, as of a scrub's own findings, ``ord`` the place of first sight; so
+    ``bind_values`` and ``rewrite`` take them.  Null keys and texts without secrets
+    give no rows; texts with equal keys share a scope.
+    """
+    rows = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(
+        found.where(F.size("spans") > 0), F.col("_key") == F.col(key))
+    rows = rows.select(F.col("_key").cast("string").alias("scope"), "_text", F.explode("spans").alias("s"))
+    value = F.substring("_text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    return rows.select("scope", value.alias("real"), F.col("s.start").alias("at")).groupBy("scope", "real").agg(
+        F.lit("api_key").alias("kind"), F.min("at").alias("ord"))
+
+
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> str:
     """The text with every span, or run of overlapping spans, replaced by ``mark``."""
     out, done = [], 0
@@ -314,7 +401,10 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[secret]") -> s
 
 def redact_secrets(texts: DataFrame, network: Network | None, text: str = "text",
                    mark: str = "[secret]") -> DataFrame:
-    """The rows of ``texts``, all columns, with the secrets in ``text`` replaced."""
+    """The rows of ``texts``, all columns, with the secrets in ``text`` replaced.
+
+    A null text stays null; repeated rows are redacted alike; an empty table gives no rows.
+    """
     place = texts.columns.index(text)
 
     def run(batches):
