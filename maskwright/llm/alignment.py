@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import cut_lineage
-from .stable_bpe import MEMO_ENTRIES, StableEncoder, as_text, byte_letters, slices, stable_cuts
+from .stable_bpe import StableEncoder, as_text, byte_letters, slices, stable_cuts
 
 SLICE_BYTES = 2_000_000
 SHARE = 1 / 262_144
@@ -198,7 +198,7 @@ class Aligner:
 
     def _places(self, segments: pa.Array) -> np.ndarray:
         """Places of distinct segments, the same ones in both memos."""
-        if len(self.a.known) > MEMO_ENTRIES:
+        if self.a.full():
             self.a._forget()
             self.b._forget()
         before = len(self.a.known)

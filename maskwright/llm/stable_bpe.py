@@ -27,6 +27,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 6_000_000
 MEMO_ENTRIES = 600_000
+MEMO_CHARS = 24_000_000
 
 _SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
 
@@ -232,7 +233,7 @@ def shared_encoder(path: str) -> "StableEncoder":
 class StableEncoder:
     """Token ids of whole texts, as the tokenizers library gives them.
 
-    The memo is emptied when it holds ``MEMO_ENTRIES`` segments; memory is bounded by it, one slice of the input
+    The memo is emptied when it holds ``MEMO_ENTRIES`` segments or ``MEMO_CHARS`` characters; memory is bounded by it, one slice of the input
     and ``window`` characters of a run without spaces.
     """
 
@@ -268,8 +269,12 @@ class StableEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.first, self.size, self.store = array("q"), array("q"), array("i")
 
+    def full(self) -> bool:
+        return len(self.known) > MEMO_ENTRIES or self.chars > MEMO_CHARS
+
     def _learn(self, segments: list[str]) -> None:
         rest = segments
         if self.pieces is not None:
@@ -295,38 +300,39 @@ class StableEncoder:
         self.size.frombytes(np.array(sizes, np.int64).tobytes())
         self.store.extend(ids)
 
+    def inner_cut(self, part: str) -> tuple[int, list[int]]:
+        """The last proven boundary within a run whose end is not known yet, as a place in
+        ``part``, and the ids up to it; 0 if there is none."""
+        code = self.library.encode(part, add_special_tokens=False)
+        spans, ids = code.offsets, code.ids
+        for k in range(len(spans) - 1, 0, -1):
+            end = spans[k - 1][1]
+            if end > 0 and spans[k][0] == end and proven(part, end, len(part), self.lookahead):
+                return end, ids[:k]
+        return 0, []
+
     def _stream(self, text: str):
         """Ids of a long run without stable cuts, window by window."""
         at, size = 0, self.window
-        while at < len(text):
-            part = text[at:at + size]
-            code = self.library.encode(part, add_special_tokens=False)
-            if at + len(part) == len(text):
-                yield code.ids
-                return
-            spans, cut = code.offsets, 0
-            for k in range(len(spans) - 1, 0, -1):
-                end = spans[k - 1][1]
-                if (end <= len(part) - self.lookahead - 32 and spans[k][0] == end and end > 0
-                        and _starts_anew(part[end])
-                        and "<" not in part[max(0, end - 32):end + 32]):
-                    cut = k
-                    break
+        while at + size < len(text):
+            cut, ids = self.inner_cut(text[at:at + size])
             if cut:
-                yield code.ids[:cut]
-                at, size = at + spans[cut - 1][1], self.window
+                yield ids
+                at, size = at + cut, self.window
             else:
                 size *= 2
+        yield self.library.encode(text[at:], add_special_tokens=False).ids
 
     def _places(self, uniques: pa.Array) -> np.ndarray:
         words = uniques.to_pylist()
         if self.drops_space:
             words = [w.strip(" ") for w in words]
-        if len(self.known) > MEMO_ENTRIES:
+        if self.full():
             self._forget()
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
+            self.chars += sum(map(len, new))
             self._learn(new)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
@@ -353,6 +359,14 @@ class StableEncoder:
         return store[index], before[firsts]
 
 
+def proven(text: str, at: int, stop: int, lookahead: int) -> bool:
+    """Whether a token boundary at ``at``, found with the text up to ``stop``, is final: the
+    merge list's lookahead lies between, the character after it joins nothing to its left,
+    and no special token may lie across."""
+    return (at <= stop - lookahead - 32 and _starts_anew(text[at])
+            and "<" not in text[max(0, at - 32):at + 32])
+
+
 def _starts_anew(char: str) -> bool:
     """Whether a text may be cut before ``char``: it joins nothing to its left."""
     return (char != "'" and unicodedata.category(char)[0] in "LNPSZ"

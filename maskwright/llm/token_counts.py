@@ -6,25 +6,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .stable_bpe import as_text, shared_encoder, slices
+from .stable_bpe import as_text, proven, shared_encoder, slices
 
 CHUNK_CHARS = 32_768
-OVERLAP_CHARS = 1_024
+OVERLAP_CHARS = 2_048
 
 
 class ChunkCounter:
     """Tokens of one huge text without encoding it in one piece.
 
     Chunks overlap.  Two neighbours are spliced at a place where both have a
-    token boundary and which is a stable cut (a space after a non-space, see
-    ``stable_bpe``); without one the left chunk is widened, twice as far each
-    time, up to the end of the text if need be.
+    token boundary and which is stable: a space after a non-space (see
+    ``stable_bpe``) or, without one, a boundary with the merge list's sufficient
+    ``lookahead`` to its right in the left chunk.  That one is a boundary of the whole
+    text, and as no token of the right chunk crosses it, what follows it there does not
+    depend on what precedes it.  Where nothing fits the overlap is widened, twice as far each time.
     """
 
-    def __init__(self, library, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
+    def __init__(self, library, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS,
+                 lookahead: int | None = None):
         if not 0 < overlap < chunk:
             raise ValueError("the overlap must be shorter than the chunk")
-        self.library, self.chunk, self.overlap = library, chunk, overlap
+        self.library, self.chunk, self.overlap, self.lookahead = library, chunk, overlap, lookahead
 
     def _bounds(self, part: str) -> tuple[np.ndarray, np.ndarray]:
         code = self.library.encode(part, add_special_tokens=False)
@@ -70,6 +73,13 @@ class ChunkCounter:
                     and self._boundary(ahead, at - right) >= 0):
                 return at
             at = text.rfind(" ", low + 1, at)
+        if self.lookahead is None:
+            return None
+        both = np.intersect1d(spans[0] + left, ahead[0] + right)
+        for at in both[(both > low) & (both < high)][::-1].tolist():
+            if (proven(text, at, high, self.lookahead) and self._boundary(spans, at - left) >= 0
+                    and self._boundary(ahead, at - right) >= 0):
+                return at
         return None
 
 
@@ -92,7 +102,7 @@ def count_tokens(texts: DataFrame, tokenizer: str, limit: int = 512, key: str =
 
     def run(batches):
         encoder = shared_encoder(tokenizer)
-        counter = ChunkCounter(encoder.library, chunk, overlap)
+        counter = ChunkCounter(encoder.library, chunk, overlap, encoder.lookahead)
         for batch in batches:
             column, keys = as_text(batch.column(1)), batch.column(0)
             for row, part in slices(column):

@@ -18,32 +18,46 @@ BLOCK_CHARS = 65_536
 class Transducer:
     """Encodes texts that arrive in pieces; emits ids as soon as they are stable.
 
-    What is kept of a stream is the part after its last stable cut: a word.  A
-    run without spaces is kept to its end and then encoded window by window,
-    each a merge list's lookahead longer than what it decides.
+    What is kept of a stream is the part after its last stable cut: a word.  A run
+    without such a cut is emitted up to its last boundary that has the merge list's
+    sufficient lookahead behind it, as soon as a window of it has come in, so
+    what is kept does not grow with the run.
     """
 
     def __init__(self, encoder: StableEncoder):
         self.encoder = encoder
-        self.rest = ""
+        self.rest, self.hold = "", encoder.window
 
-    def feed(self, text: str) -> list[str]:
-        """Pieces whose ids are final now."""
+    def feed(self, text: str) -> list[str | list[int]]:
+        """Pieces whose ids are final now; of a part of a run, its ids."""
+        seen, done = len(self.rest), []
         self.rest += text
-        at = self.rest.rfind(" ")
+        at = self.rest.rfind(" ", max(seen - 1, 0))
         while at > 0 and self.rest[at - 1].isspace():
-            at = self.rest.rfind(" ", 0, at)
+            at = self.rest.rfind(" ", max(seen - 1, 0), at)
         if at > 0:
-            done, self.rest = self.rest[:at], self.rest[at:]
-            return [done]
-        return []
+            done, self.rest, self.hold = [self.rest[:at]], self.rest[at:], self.encoder.window
+        while len(self.rest) > self.hold:
+            cut, ids = self.encoder.inner_cut(self.rest[:self.hold])
+            if cut:
+                done.append(ids)
+                self.rest, self.hold = self.rest[cut:], self.encoder.window
+            else:
+                self.hold *= 2
+        return done
 
     def finish(self) -> list[str]:
-        done, self.rest = self.rest, ""
+        done, self.rest, self.hold = self.rest, "", self.encoder.window
         return [done] if done else []
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.encoder.encode(pa.array(pieces, pa.string()))
+    def encode(self, pieces: list[str | list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the first id of each piece (one more at the end)."""
+        ids, first = self.encoder.encode(pa.array([p if isinstance(p, str) else "" for p in pieces], pa.string()))
+        if all(isinstance(p, str) for p in pieces):
+            return ids, first
+        parts = [ids[first[k]:first[k + 1]] if isinstance(p, str) else np.array(p, np.int32)
+                 for k, p in enumerate(pieces)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def blocks(text: str, encoder: StableEncoder, size: int = BLOCK_CHARS):
