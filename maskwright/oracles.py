@@ -483,6 +483,12 @@ ORACLES: dict[str, str] = {
     "scrub_customer": f"""WITH RECURSIVE {NAME_MAP}
       SELECT c_custkey, fake AS c_name, c_nationkey, c_acctbal, c_mktsegment
       FROM customer JOIN mapped ON c_name = real""",
+    "scrub_contacts": f"""WITH RECURSIVE {NAME_MAP},
+      hosts AS (SELECT *, 'db' || c_custkey || '.internal.corp' AS v FROM customer),
+      hashed AS (SELECT *, {fnv('v')} AS h FROM hosts)
+      SELECT c_custkey, fake AS c_name, CASE WHEN c_custkey % 7 <> 0 THEN 'asked about '
+        || {hard_fake("'internal_host'", 'v', 'h')} || ', segment ' || c_mktsegment END AS remark, c_acctbal
+      FROM hashed JOIN mapped ON c_name = real""",
     "table_mapping": f"""WITH RECURSIVE {NAME_MAP}
       SELECT real, fake, 'person_name' AS kind FROM mapped""",
     "chunks": CHUNKS,
@@ -604,6 +610,10 @@ ORACLES: dict[str, str] = {
           CASE WHEN len(leaks) > 0 THEN 'LEAK:' || substr(array_to_string(leaks, ','), 1, 36) END,
           CASE WHEN len(over_list) > 0 THEN 'over:' || substr(array_to_string(over_list, ','), 1, 20)
           END) AS notes FROM scores""",
+    "stored_scopes": NOTE_FAKES + " SELECT c_custkey, fake, v AS real FROM fakes",
+    "cached_scores": DOC_HITS + """SELECT d.doc_id, coalesce(n, 0)::INT AS n_values,
+        CASE WHEN d.text IN (SELECT text FROM documents WHERE lang = 'en') THEN 1 ELSE 2 END AS run
+      FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM hits GROUP BY 1) USING (doc_id)""",
     "incremental_scores": """SELECT doc_id, cache_key FROM (SELECT doc_id,
         substr(sha256('v1' || chr(0) || 'regex' || chr(0) || text), 1, 16) AS cache_key FROM documents)
       WHERE cache_key NOT IN (SELECT substr(sha256('v1' || chr(0) || 'regex' || chr(0) || text), 1, 16)

@@ -31,9 +31,10 @@ from .plans.scoped import scrub_conversations, scrub_dataset, scrub_scoped
 from .plans.scrub import mapping_table, scrub, span_table
 from .sources.chat import chat_fields, request_fields
 from .sources.mappings import (
-    load_mapping, mapping_conflicts, mapping_documents, mapping_file_cols, mapping_file_name,
-    recent_mappings, sanitize_source,
+    load_mapping, load_scopes, mapping_conflicts, mapping_documents, mapping_file_cols, mapping_file_name,
+    recent_mappings, sanitize_source, save_mapping,
 )
+from .sources.results import cached_results
 from .sources.files import scrubbed_path
 from .sources.runs import scrub_runs
 from .storage import checkpoint_dir, cut_lineage, spread
@@ -319,6 +320,16 @@ def scrub_customer(spark, sf_dir):
     return done
 
 
+def scrub_contacts(spark, sf_dir):
+    """A table with personal data in a name column and inside a remark."""
+    k = F.col("c_custkey")
+    remark = F.concat(F.lit("asked about db"), k.cast("string"), F.lit(".internal.corp, segment "), F.col("c_mktsegment"))
+    contacts = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_acctbal").select(
+        "c_custkey", "c_name", F.when(k % 7 != 0, remark).alias("remark"), "c_acctbal")
+    done, _ = scrub_table(contacts)
+    return done
+
+
 def table_mapping(spark, sf_dir):
     """Map of a table with many values per candidate set, through the large-scope path."""
     df = table(spark, sf_dir, "customer", "c_custkey", "c_name")
@@ -869,6 +880,29 @@ def incremental_scores(spark, sf_dir):
     return sc.missing_results(keyed, stored)
 
 
+def cached_scores(spark, sf_dir):
+    """Two runs over stored results: English texts first, then all; each key is scored once."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    keyed = docs.withColumn("cache_key", sc.cache_key(F.lit("v1"), F.lit("regex"), F.col("text")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+
+    def produce(run: int):
+        return lambda rows: rows.select(
+            "cache_key", F.size(detect_hits(F.col("text"))).alias("n_values"), F.lit(run).alias("run"))
+
+    schema = "cache_key string, n_values int, run int"
+    cached_results(keyed.where("lang = 'en'"), path, schema, produce(1))
+    return cached_results(keyed, path, schema, produce(2)).select("doc_id", "n_values", "run")
+
+
+def stored_scopes(spark, sf_dir):
+    """Maps stored by scope hash and read back, with the folder that holds each."""
+    done = scrub(notes(spark, sf_dir), contextual=None)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/maps-{uuid.uuid4().hex}"
+    save_mapping(mapping_table(done, "c_custkey"), path)
+    return load_scopes(spark, path).select(F.col("scope").cast("bigint").alias("c_custkey"), "fake", "real")
+
+
 QUERIES = {
     "hard_id_counts": hard_id_counts,
     "hard_id_values": hard_id_values,
@@ -891,6 +925,7 @@ QUERIES = {
     "csv_cells_found": csv_cells_found,
     "scrub_csv_texts": scrub_csv_texts,
     "scrub_customer": scrub_customer,
+    "scrub_contacts": scrub_contacts,
     "table_mapping": table_mapping,
     "chunks": chunks,
     "cue_candidates": cue_candidates,
@@ -938,4 +973,6 @@ QUERIES = {
     "rank_strategies": rank_strategies,
     "case_report": case_report,
     "incremental_scores": incremental_scores,
+    "cached_scores": cached_scores,
+    "stored_scopes": stored_scopes,
 }

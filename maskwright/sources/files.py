@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv
-from ..operators.detect import span_summary
-from ..plans.scrub import scrub, span_table
+from ..plans.scrub import scrub
 
 SEP = "/"
 
@@ -24,26 +23,27 @@ def looks_binary(content: Column) -> Column:
 
 
 def read_text_docs(spark: SparkSession, path: str, reject_binary: bool = True) -> DataFrame:
-    """One row per text file: ``path, ext, kind, text, error``.
-
-    A file that is no UTF-8 has a null text and an error; the others go on.
+    """One row per file: ``path, ext, kind, text, error``.
 
     Files with a known text extension or none are taken as they are; a file with
-    another extension is taken unless it looks binary.  One file is one row, so
-    files are read whole, spread over the cluster.
+    another extension is taken unless it looks binary.  A file that is refused (binary, an office
+    or PDF file, no UTF-8) has a null kind and text and an error, so that every file is
+    accounted for.  One file is one row, so files are read whole, spread over the cluster.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     raw = raw.select("path", "content", file_ext(F.col("path")).alias("ext"))
-    text = F.try_validate_utf8(F.col("content").cast("string"))
     known = F.col("ext").isin([*fv.TEXT_EXTENSIONS, ""])
+    error = F.when(F.col("ext").isin("docx", "pdf"), F.lit("needs a text extractor"))
     if reject_binary:
-        raw = raw.where(known | ~looks_binary(F.col("content")))
-    return raw.where(~F.col("ext").isin("docx", "pdf")).select(
+        error = error.when(~known & looks_binary(F.col("content")), F.lit("binary"))
+    text = F.when(error.isNull(), F.try_validate_utf8(F.col("content").cast("string")))
+    error = F.coalesce(error, F.when(text.isNull(), F.lit("not UTF-8")))
+    return raw.select(
         "path",
         F.when(F.col("ext") == "", "txt").otherwise(F.col("ext")).alias("ext"),
-        F.lit("plainText").alias("kind"),
+        F.when(error.isNull(), F.lit("plainText")).alias("kind"),
         text.alias("text"),
-        F.when(text.isNull(), F.lit("not UTF-8")).alias("error"),
+        error.alias("error"),
     )
 
 
@@ -91,7 +91,3 @@ def scrub_path(spark: SparkSession, source: str, out: str, **options) -> DataFra
         F.size(F.filter("spans", lambda s: s["scrubbed"])).alias("n_scrubbed"),
         F.size(F.filter("spans", lambda s: ~s["scrubbed"])).alias("n_kept"),
     )
-
-
-def path_summary(scrubbed: DataFrame, keys: list[str]) -> DataFrame:
-    return span_summary(span_table(scrubbed, keys))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed_values as fv
 
 SUFFIX = ".map.json"
+SCOPE_BUCKETS = 256
 
 
 def sanitize_source(name: Column) -> Column:
@@ -53,9 +54,32 @@ def mapping_documents(mapping: DataFrame) -> DataFrame:
     )
 
 
-def save_mapping(mapping: DataFrame, path: str) -> None:
-    """Store a map as rows, whatever its size, partitioned for reading by scope hash."""
-    mapping.select("scope", "fake", "real").write.mode("overwrite").parquet(path)
+def scope_bucket(scope: Column, buckets: int = SCOPE_BUCKETS) -> Column:
+    """Folder number of a scope in a stored map."""
+    return F.pmod(F.xxhash64(scope.cast("string")), F.lit(buckets)).cast("int")
+
+
+def save_mapping(mapping: DataFrame, path: str, buckets: int = SCOPE_BUCKETS) -> None:
+    """Store a map as rows, whatever its size, in one folder per bucket of scopes.
+
+    Rows are dealt out by scope and replacement, so a huge scope is written by many tasks.
+    """
+    rows = mapping.select(F.col("scope").cast("string").alias("scope"), "fake", "real")
+    rows.withColumn("bucket", scope_bucket(F.col("scope"), buckets)).write.mode("overwrite").partitionBy(
+        "bucket").parquet(path)
+
+
+def load_scope(spark: SparkSession, path: str, scope: str, buckets: int = SCOPE_BUCKETS) -> DataFrame:
+    """The stored map of one scope; only the files of its bucket are read."""
+    number = spark.range(1).select(scope_bucket(F.lit(str(scope)), buckets)).first()[0]
+    schema = "scope string, fake string, real string, bucket int"
+    return spark.read.schema(schema).parquet(path).where(
+        (F.col("bucket") == number) & (F.col("scope") == str(scope))).drop("bucket")
+
+
+def load_scopes(spark: SparkSession, path: str) -> DataFrame:
+    """The stored map of all scopes."""
+    return spark.read.schema("scope string, fake string, real string, bucket int").parquet(path).drop("bucket")
 
 
 def load_mapping(documents: DataFrame, scope: str = "scope", value: str = "value") -> DataFrame:
