@@ -15,7 +15,7 @@ The plan, for sets of shingle hashes and the rule
    own, the middle of a family.  What links is joined into components.
 4. Then all groups are paired by shared shingles, a group with itself, too, if its
    members are in several components; pairs are filtered by size, places and parity
-   bits, expanded to members of different components and verified on whole
+   bits and number of shared prefix shingles, expanded to members of different components and verified on whole
    sets.  Groups of the most frequent component of a shingle are not paired with each
    other, so a large family costs no square.
 
@@ -171,6 +171,13 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return close & (F.least(i, j) + F.least(n_a - i, n_b - j) >= _need(n_a, n_b, percent))
 
 
+def _enough(n_a: Column, n_b: Column, shared: Column, percent: int) -> Column:
+    """Enough shared prefix shingles: of the set whose prefix ends first in the global
+    order, what is not shared within the prefixes can only be shared beyond its own."""
+    rest = F.greatest(n_a - _prefix_length_col(n_a, percent), n_b - _prefix_length_col(n_b, percent))
+    return shared + rest >= _need(n_a, n_b, percent)
+
+
 def _prefix_length_col(n: Column, percent: int) -> Column:
     return n - F.ceil(percent * n / 100) + 1
 
@@ -264,9 +271,11 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     hubs = rows.groupBy("token").agg(F.min(F.struct("own", "cell", "n", "pos")).alias("hub"))
     near = rows.alias("a").join(hubs.select("token", "hub.*").alias("b"), F.expr(
         "a.token = b.token and a.cell <> b.cell") & _may_link("a", "b", percent))
-    near = near.select(F.col("a.cell").alias("a"), F.col("b.cell").alias("b"))
+    near = near.groupBy(F.col("a.cell").alias("a"), F.col("b.cell").alias("b")).agg(
+        F.first("a.n").alias("n_a"), F.first("b.n").alias("n_b"), F.count(F.lit(1)).alias("shared"))
+    near = near.where(_enough(F.col("n_a"), F.col("n_b"), F.col("shared"), percent)).select("a", "b")
     inside = members.where("class <> cell").select(F.col("class").alias("a"), F.col("cell").alias("b"))
-    first = cut_lineage(near.distinct().union(inside), "first-pairs")
+    first = cut_lineage(near.union(inside), "first-pairs")
     links = _confirmed(first, classes, texts, size, percent)
     found = cut_lineage(components(links).withColumnRenamed("vertex", "class"), "components")
 
@@ -284,15 +293,19 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     counts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n_cells"))
     top = counts.groupBy("token").agg(
         F.max(F.when(F.col("component").isNotNull(), F.struct("n_cells", "component"))).alias("top"),
-        F.count(F.lit(1)).alias("n_components")).where("n_components > 1").select(
-        "token", F.col("top.component").alias("top"))
+        F.sum(F.when(F.col("component").isNull(), F.col("n_cells")).otherwise(1)).alias("n_open")).where(
+        "n_open > 1").select("token", F.col("top.component").alias("top"))
     open_ = cut_lineage(rows.join(top, "token").withColumn(
         "in_top", F.coalesce(F.col("component") == F.col("top"), F.lit(False))).drop("top"), "open-rows")
     pairs = open_.where("not in_top").alias("a").join(open_.alias("b"), F.expr(
         "a.token = b.token and (b.in_top or a.cell < b.cell) and not (a.component <=> b.component "
         "and a.component is not null)") & _may_link("a", "b", percent)
         & _bits_allow("a.n", "a.bits", "b.n", "b.bits", percent))
-    pairs = pairs.select(F.col("a.cell").alias("a_cell"), F.col("b.cell").alias("b_cell")).distinct()
+    swap = F.col("a.cell") > F.col("b.cell")
+    sides = [F.when(swap, F.col(y)).otherwise(F.col(x)) for x, y in (("a.cell", "b.cell"), ("b.cell", "a.cell"))]
+    pairs = pairs.groupBy(sides[0].alias("a_cell"), sides[1].alias("b_cell")).agg(
+        F.first("a.n").alias("n_a"), F.first("b.n").alias("n_b"), F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.where(_enough(F.col("n_a"), F.col("n_b"), F.col("shared"), percent)).select("a_cell", "b_cell")
     mixed = cells.where("low <> high").select(F.col("cell").alias("a_cell"), F.col("cell").alias("b_cell"))
     pairs = cut_lineage(pairs.union(mixed), "group-pairs")
     a = pairs.join(members.alias("m"), F.expr("a_cell = m.cell")).select(
