@@ -286,10 +286,9 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
     cells = members.groupBy("cell").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
         F.first("bits").alias("bits"))
-    rows = rows.drop("own").join(cells, "cell").withColumn("bits", F.when(F.col("size") == 1, F.col("bits")))
-    rows = rows.withColumn("component", F.when(F.col("low") == F.col("high"), F.col("low"))).select(
-        "token", "pos", "n", "cell", "component", "bits")
-    rows = cut_lineage(rows, "group-rows")
+    rows = rows.drop("own").join(cells.drop("bits"), "cell").withColumn(
+        "component", F.when(F.col("low") == F.col("high"), F.col("low")))
+    rows = cut_lineage(rows.select("token", "pos", "n", "cell", "component"), "group-rows")
     counts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n_cells"))
     top = counts.groupBy("token").agg(
         F.max(F.when(F.col("component").isNotNull(), F.struct("n_cells", "component"))).alias("top"),
@@ -297,7 +296,11 @@ def link_near_copies(cases: DataFrame, size: int = 5, percent: int = 80, key: st
         "n_open > 1").select("token", F.col("top.component").alias("top"))
     open_ = cut_lineage(rows.join(top, "token").withColumn(
         "in_top", F.coalesce(F.col("component") == F.col("top"), F.lit(False))).drop("top"), "open-rows")
-    pairs = open_.where("not in_top").alias("a").join(open_.alias("b"), F.expr(
+    # Parity bits, of groups of one class, join the rows for the comparison only.
+    alone = cut_lineage(cells.where("size = 1").select("cell", "bits").join(
+        open_.select("cell").distinct(), "cell", "left_semi"), "group-bits")
+    with_bits = open_.join(alone, "cell", "left")
+    pairs = with_bits.where("not in_top").alias("a").join(with_bits.alias("b"), F.expr(
         "a.token = b.token and (b.in_top or a.cell < b.cell) and not (a.component <=> b.component "
         "and a.component is not null)") & _may_link("a", "b", percent)
         & _bits_allow("a.n", "a.bits", "b.n", "b.bits", percent))
