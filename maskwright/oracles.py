@@ -529,6 +529,8 @@ ORACLES: dict[str, str] = {
         "THEN text ELSE scrubbed END) AS digest FROM done",
     "payload_restore": NOTES,
     "stream_restore": NOTES,
+    "restore_event_stream": f"""SELECT *, 'other,other,stop,end' AS passed,
+        (c_custkey % 3 = 0)::BIGINT AS n_late, 0::BIGINT AS n_lost FROM ({NOTES})""",
     "scrub_chat_ids": CHAT_IDS,
     "scrub_chat_ids_by_join": CHAT_IDS,
     "finder_answers": f"""WITH {ANSWERED} SELECT doc_id, chunk_ix,

@@ -38,7 +38,7 @@ from .sources.results import cached_results
 from .sources.files import scrubbed_path
 from .sources.runs import scrub_runs
 from .storage import checkpoint_dir, cut_lineage, spread
-from .streaming.restore import restore_stream, use_rocksdb
+from .streaming.restore import restore_events, restore_stream, use_rocksdb
 
 
 # Tables with much work per row, and what to spread small copies of them by.
@@ -848,6 +848,48 @@ def stream_restore(spark, sf_dir):
     )
 
 
+def restore_event_stream(spark, sf_dir):
+    """Scrubbed notes as reply events with other ones between them, some sent twice.
+
+    ``passed`` is what went on unchanged, in order; ``n_lost`` numbers did not come out.
+    """
+    use_rocksdb(spark, bounded_run=True)
+    done = cut_lineage(scrub(notes(spark, sf_dir), contextual=None), "events")
+    n, seq = F.ceil(F.length("scrubbed") / 17).cast("long"), F.col("seq")
+    event = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    named = lambda name: event(type=F.lit(name))
+    piece = F.expr("substring(scrubbed, int(if(seq = 1, 0, seq - 2) * 17 + 1), 17)")
+    delta = event(type=F.lit("content_block_delta"), index=F.lit(0),
+                  delta=F.struct(F.lit("text_delta").alias("type"), piece.alias("text")))
+    tool = event(type=F.lit("content_block_delta"), index=F.lit(1),
+                 delta=F.struct(F.lit("input_json_delta").alias("type")))
+    events = done.select("c_custkey", "scrubbed", n.alias("n"), F.explode(
+        F.sequence(F.lit(0).cast("long"), n + 3)).alias("seq")).select(
+        F.col("c_custkey").cast("string").alias("stream_id"), "seq",
+        F.when(seq == 0, named("message_start")).when(seq == 2, tool)
+        .when(seq == F.col("n") + 2, event(type=F.lit("content_block_stop"), index=F.lit(0)))
+        .when(seq == F.col("n") + 3, named("message_stop")).otherwise(delta).alias("payload"),
+        F.explode(F.sequence(F.lit(1), F.when((seq == 1) & (F.col("c_custkey") % 3 == 0), 2).otherwise(1))).alias("copy"))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    events.drop("copy").write.parquet(f"{root}/in")
+    source = spark.readStream.schema(events.drop("copy").schema).parquet(f"{root}/in")
+    query = restore_events(source, mapping_table(done, "c_custkey")).writeStream.format(
+        "parquet"
+    ).option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(
+        availableNow=True
+    ).start()
+    query.awaitTermination()
+    sent = F.array_sort(F.collect_list(F.when(F.col("kind") != "late", F.struct(
+        "seq", "part", "kind", F.get_json_object("payload", "$.delta.text").alias("text")))))
+    other = F.filter("sent", lambda e: e["kind"] != "text")
+    return spark.read.parquet(f"{root}/out").groupBy("stream_id").agg(
+        sent.alias("sent"), F.count_if(F.col("kind") == "late").alias("n_late")).select(
+        F.col("stream_id").cast("bigint").alias("c_custkey"),
+        F.array_join(F.transform("sent", lambda e: e["text"]), "").alias("text"),
+        F.array_join(F.transform(other, lambda e: e["kind"]), ",").alias("passed"), "n_late",
+        (F.array_max("sent.seq") + 1 - F.size(F.array_distinct("sent.seq"))).alias("n_lost"))
+
+
 # --- scoring ------------------------------------------------------------------------------------
 
 
@@ -968,6 +1010,7 @@ QUERIES = {
     "mapping_names": mapping_names,
     "stored_mappings": stored_mappings,
     "stream_restore": stream_restore,
+    "restore_event_stream": restore_event_stream,
     "score_cases": score_cases,
     "score_strategies": score_strategies,
     "rank_strategies": rank_strategies,

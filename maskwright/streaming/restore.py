@@ -1,20 +1,23 @@
 """Restoring a stream of text deltas in which a replacement may be cut in two.
 
-State per (stream, block): the text that cannot be decided yet (less than the
-longest replacement), the next expected sequence number, and deltas that came
-early.  Order of arrival does not matter; sequence numbers do.
+State per scope: its map, sent once; per block the text that cannot be decided yet
+(less than the longest replacement); per block or stream the next expected sequence
+number and what came early.  Order of arrival does not matter; sequence numbers do.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.bodies import delta_place, one_text, patched_body
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT = "struct<type:string,index:int,delta:struct<type:string,text:string>>"
 OUTPUT = T.StructType([
@@ -25,6 +28,15 @@ OUTPUT = T.StructType([
     T.StructField("is_stop", T.BooleanType()),
     T.StructField("complete", T.BooleanType()),
 ])
+EVENTS_OUT = T.StructType([
+    T.StructField("stream_id", T.StringType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("part", T.IntegerType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("block", T.IntegerType()),
+    T.StructField("payload", T.StringType()),
+    T.StructField("complete", T.BooleanType()),
+])
 
 
 def use_rocksdb(spark: SparkSession, bounded_run: bool = False) -> None:
@@ -91,76 +103,181 @@ def compile_mapping(text: str | None) -> tuple[dict, object, int]:
     return mapping, pattern, len(fakes[0]) if fakes else 0
 
 
+def delta_event(block: int, text: str) -> str:
+    return json.dumps({"type": "content_block_delta", "index": block,
+                       "delta": {"type": "text_delta", "text": text}}, ensure_ascii=False)
+
+
 class _Restorer(StatefulProcessor):
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+    """Restores the streams of one scope; the scope's map lies in its state.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "buffer string, next long, mapping string")
-        self.early = handle.getMapState("early", "seq long", "delta string, is_stop boolean")
-        self.closed = handle.getValueState("closed", "at long", self.idle_ms)
+    Items of a lane (a block, or with ``per_event`` a whole stream) are taken in the
+    order of their numbers.  With ``per_event`` every event gives rows of its own.
+    """
 
-    def _emit(self, key, seq, text, is_stop, complete=True) -> pd.DataFrame:
-        return pd.DataFrame(
-            [[key[0], key[1], seq, text, is_stop, complete]], columns=OUTPUT.fieldNames()
-        )
+    def __init__(self, idle_ms: int, per_event: bool):
+        self.idle_ms, self.per_event = idle_ms, per_event
 
-    def _close(self, at: int) -> None:
-        self.open.clear()
-        self.early.clear()
-        self.closed.update((at,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        lane = "stream_id string, lane int"
+        self.map = handle.getValueState("map", "pairs string")
+        self.next = handle.getMapState("next", lane, "seq long")
+        self.early = handle.getMapState(
+            "early", f"{lane}, seq long", "block int, kind string, delta string, payload string")
+        self.tails = handle.getMapState("tails", f"{lane}, block int", "raw string")
+        self.closed = handle.getMapState("closed", lane, "at long", self.idle_ms)
+        self.cache: dict = {}
+
+    def _compiled(self) -> tuple:
+        pairs = self.map.get()[0] if self.map.exists() else None
+        if pairs not in self.cache:
+            if len(self.cache) >= 256:
+                self.cache.clear()
+            self.cache[pairs] = compile_mapping(pairs)
+        return self.cache[pairs]
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.map.update((initialState["mapping"].iloc[0],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        if self.closed.exists():
-            return
-        buffer, nxt, text = self.open.get() if self.open.exists() else ("", 0, None)
-        fresh = {}
+        fresh, late, learned = defaultdict(dict), [], {}
         for pdf in rows:
             for row in pdf.itertuples(index=False):
-                text = row.mapping if text is None else text
-                if row.seq >= nxt:
-                    fresh[int(row.seq)] = (row.delta, bool(row.is_stop))
-        mapping, pattern, longest = compile_mapping(text)
-        out, stopped, last = [], False, nxt
-        while not stopped:
-            if nxt in fresh:
-                delta, stopped = fresh.pop(nxt)
-            elif self.early.containsKey((nxt,)):
-                delta, stopped = self.early.getValue((nxt,))
-                self.early.removeKey((nxt,))
+                if row.kind == "map":
+                    learned[row.payload] = row.delta
+                    continue
+                lane = row.stream_id, int(row.lane)
+                item = int(row.block), row.kind, row.delta, row.payload
+                if pd.isna(row.seq) or int(row.seq) in fresh[lane]:
+                    late.append((lane, None if pd.isna(row.seq) else int(row.seq), item))
+                else:
+                    fresh[lane][int(row.seq)] = item
+        if learned:
+            known = json.loads(self.map.get()[0]) if self.map.exists() else {}
+            self.map.update((json.dumps(known | learned, sort_keys=True),))
+        now, out = timerValues.getCurrentProcessingTimeInMs(), []
+        compiled, waiting = self._compiled(), set(self.early.keys())
+        for lane, items in fresh.items():
+            out += self._advance(lane, items, late, waiting, compiled, now)
+        if self.per_event:
+            out += [(lane[0], seq, 0, "late", item[0], item[3], False) for lane, seq, item in late]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if any(True for _ in self.next.keys()):
+            self.handle.registerTimer(now + self.idle_ms)
+        if out:
+            yield self._frame(out)
+
+    def _advance(self, lane, items, late, waiting, compiled, now) -> list[tuple]:
+        """Rows of what has come in without a hole; the rest waits."""
+        if self.closed.containsKey(lane):
+            late += [(lane, seq, item) for seq, item in items.items()]
+            return []
+        begin = at = self.next.getValue(lane)[0] if self.next.containsKey(lane) else 0
+        for seq in [seq for seq in items if seq < begin]:
+            late.append((lane, seq, items.pop(seq)))
+        done = []
+        while True:
+            if (*lane, at) in waiting:
+                if at in items:
+                    late.append((lane, at, items.pop(at)))
+                done.append((at, *self.early.getValue((*lane, at))))
+                self.early.removeKey((*lane, at))
+            elif at in items:
+                done.append((at, *items.pop(at)))
             else:
                 break
-            buffer += delta or ""
-            last, nxt = nxt, nxt + 1
-        emitted, buffer = decide(buffer, mapping, pattern, longest, stopped)
-        if emitted or stopped:
-            out.append(self._emit(key, last, emitted, stopped))
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if stopped:
-            self._close(now)
+            at += 1
+            if not self.per_event and done[-1][2] == "stop":
+                break
+        for seq, item in items.items():
+            if (*lane, seq) in waiting:
+                late.append((lane, seq, item))
+            else:
+                self.early.updateValue((*lane, seq), item)
+        out = self._restored(lane, done, compiled)
+        if not self.per_event and done and done[-1][2] == "stop":
+            self._forget(lane, now)
         else:
-            for seq, value in fresh.items():
-                self.early.updateValue((seq,), value)
-            self.open.update((buffer, nxt, text))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(now + self.idle_ms)
-        yield from out
+            self.next.updateValue(lane, (at,))
+        return out
+
+    def _restored(self, lane, done, compiled) -> list[tuple]:
+        out, raw = [], {}
+
+        def tail(block: int) -> str:
+            if block not in raw:
+                held = (*lane, block)
+                raw[block] = self.tails.getValue(held)[0] if self.tails.containsKey(held) else ""
+            return raw[block]
+
+        for seq, block, kind, delta, payload in done:
+            if kind == "text" and self.per_event and not one_text(payload):
+                kind = "other"
+            if kind == "text":
+                text, raw[block] = decide(tail(block) + (delta or ""), *compiled, False)
+                if self.per_event:
+                    text = patched_body(payload, {"delta.text": text}, delta_place, False)
+                out.append((lane[0], seq, 0, kind, block, text, True))
+                continue
+            ends = [block] if kind == "stop" else []
+            if kind == "end":
+                ends = sorted({k[2] for k in self.tails.keys() if tuple(k[:2]) == lane} | set(raw))
+            part = 0
+            for ended in ends:
+                text, raw[ended] = decide(tail(ended) + (delta or ""), *compiled, True)[0], ""
+                if not self.per_event:
+                    out.append((lane[0], seq, 0, kind, ended, text, True))
+                elif text:
+                    out.append((lane[0], seq, part, "text", ended, delta_event(ended, text), True))
+                    part += 1
+            if self.per_event and payload is not None:
+                out.append((lane[0], seq, part, kind, block, payload, True))
+        for block, text in raw.items():
+            if text:
+                self.tails.updateValue((*lane, block), (text,))
+            elif self.tails.containsKey((*lane, block)):
+                self.tails.removeKey((*lane, block))
+        return out
+
+    def _forget(self, lane, now: int) -> None:
+        for state in (self.early, self.tails):
+            for key in [k for k in state.keys() if tuple(k[:2]) == lane]:
+                state.removeKey(key)
+        if self.next.containsKey(lane):
+            self.next.removeKey(lane)
+        self.closed.updateValue(lane, (now,))
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        if self.per_event:
+            return pd.DataFrame(out, columns=EVENTS_OUT.fieldNames())
+        rows: dict[tuple, list] = {}
+        for stream, seq, _, kind, block, text, complete in out:
+            row = rows.setdefault((stream, block), [seq, [], False, True])
+            row[0] = seq
+            row[1].append(text)
+            row[2] |= kind != "text"
+            row[3] &= complete
+        return pd.DataFrame(
+            [(stream, block, seq, "".join(texts), stop, complete)
+             for (stream, block), (seq, texts, stop, complete) in rows.items() if stop or any(texts)],
+            columns=OUTPUT.fieldNames())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """A block that stays silent is flushed with what has arrived."""
-        if not self.open.exists():
-            return
-        buffer, nxt, text = self.open.get()
-        early = sorted((k[0], v) for k, v in self.early.iterator())
-        buffer += "".join(v[0] or "" for _, v in early)
-        mapping, pattern, longest = compile_mapping(text)
-        emitted, _ = decide(buffer, mapping, pattern, longest, True)
-        self._close(timerValues.getCurrentProcessingTimeInMs())
-        yield self._emit(key, nxt, emitted, True, not early)
+        """A scope that stays silent is flushed with what has arrived, and closed."""
+        waiting = defaultdict(list)
+        for k, item in list(self.early.iterator()):
+            waiting[tuple(k[:2])].append((k[2], *item))
+        out = []
+        for lane, (seq,) in [(tuple(k), v) for k, v in self.next.iterator()]:
+            held = sorted(waiting[lane], key=lambda item: item[0])
+            flush = held[-1][0] + 1 if held else seq
+            end = (flush, 0, "end", None, None) if self.per_event else (flush, lane[1], "stop", None, None)
+            out += [(*row[:6], not held) for row in self._restored(lane, [*held, end], self._compiled())]
+            self._forget(lane, timerValues.getCurrentProcessingTimeInMs())
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -172,33 +289,90 @@ def mapping_json(mapping: DataFrame) -> DataFrame:
     For scopes the size of a conversation: a stream needs its whole map at hand
     because its text is not known in advance.
     """
-    return mapping.groupBy(F.col("scope").cast("string").alias("scope")).agg(
+    held = mapping.where("fake is not null")
+    return held.groupBy(F.coalesce(F.col("scope").cast("string"), F.lit("")).alias("scope")).agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fake", "real"))))).alias(
             "mapping"
         )
     )
 
 
+def _restored_by_scope(rows: DataFrame, mapping: DataFrame, idle_seconds: int, per_event: bool) -> DataFrame:
+    """Rows of every scope through one processor, which is given the scope's map once.
+
+    A stored map is the processor's initial state; a map that is a stream itself adds
+    its pairs as they arrive, before the events of the same batch.
+    """
+    initial = None
+    if mapping.isStreaming:
+        none = {n: F.lit(None).cast(t) for n, t in rows.dtypes}
+        rows = rows.unionByName(mapping.where("fake is not null").select(*[c.alias(n) for n, c in (none | {
+            "scope": F.col("scope").cast("string"), "kind": F.lit("map"),
+            "payload": F.col("fake"), "delta": F.col("real")}).items()]))
+    else:
+        initial = mapping_json(mapping).groupBy("scope")
+    return rows.groupBy("scope").transformWithStateInPandas(
+        _Restorer(idle_seconds * 1000, per_event), EVENTS_OUT if per_event else OUTPUT,
+        "append", "ProcessingTime", initial)
+
+
 def restore_stream(
     events: DataFrame, mapping: DataFrame, idle_seconds: int = 600, scope: str = "stream_id"
 ) -> DataFrame:
     """Restore a streaming ``(stream_id, block, seq, delta, is_stop)`` table.
 
-    ``mapping`` is a static ``(scope, real, fake)``; ``scope`` names the event
-    column it joins on.  Emits ``(stream_id, block, seq, text, is_stop,
+    ``mapping`` is ``(scope, real, fake)``, stored or itself a stream; ``scope`` names
+    the event column it belongs to.  Emits ``(stream_id, block, seq, text, is_stop,
     complete)``; the texts of a block in order give exactly the batch result.
-    Rows after the end of a block are dropped.
+    Rows without a number, repeated ones and those after the end of a block are
+    dropped; a null block is block 0.  A scope that stays silent for
+    ``idle_seconds`` is flushed, with ``complete`` false where deltas are missing.
     """
-    joined = events.withColumn("scope", F.col(scope).cast("string")).join(
-        mapping_json(mapping), "scope", "left"
-    ).select(
-        F.col("stream_id").cast("string").alias("stream_id"),
-        F.col("block").cast("int").alias("block"),
-        F.col("seq").cast("long").alias("seq"), "delta", "is_stop", "mapping",
-    )
-    return joined.groupBy("stream_id", "block").transformWithStateInPandas(
-        _Restorer(idle_seconds * 1000), OUTPUT, "append", "ProcessingTime"
-    )
+    return _restored_by_scope(events.select(
+        F.coalesce(F.col(scope).cast("string"), F.lit("")).alias("scope"),
+        F.coalesce(F.col("stream_id").cast("string"), F.lit("")).alias("stream_id"),
+        F.coalesce(F.col("block").cast("int"), F.lit(0)).alias("lane"),
+        F.coalesce(F.col("block").cast("int"), F.lit(0)).alias("block"),
+        F.col("seq").cast("long").alias("seq"),
+        F.when(F.col("is_stop"), "stop").otherwise("text").alias("kind"),
+        "delta", F.lit(None).cast("string").alias("payload"),
+    ), mapping, idle_seconds, False)
+
+
+def restore_events(
+    events: DataFrame, mapping: DataFrame, idle_seconds: int = 600, scope: str = "stream_id",
+    payload: str = "payload",
+) -> DataFrame:
+    """Restore the text deltas of a streaming ``(stream_id, seq, payload)`` and pass on the rest.
+
+    ``seq`` numbers all events of a stream from 0 without holes.  Emits ``(stream_id,
+    seq, part, kind, block, payload, complete)``; by ``seq`` and ``part`` the
+    payloads are the events to send.  ``kind`` is
+
+    - ``text``: a delta with the text that is certain by now (only that literal
+      changes), or one put before a stop for the rest of a block's text;
+    - ``stop``, ``end`` (the message's end, before which all blocks are flushed) and
+      ``other`` (all other events, broken JSON and deltas that name a field twice
+      included): unchanged; a null payload only takes its number;
+    - ``late``: events whose number is null, came before or lies behind the idle
+      flush; unchanged, not to be sent, there to be counted.
+
+    An event waits for the ones before it.  A scope that stays silent for
+    ``idle_seconds`` is flushed in order of the numbers, with ``complete`` false where
+    some are missing.  A null ``stream_id`` counts as the empty one.
+    """
+    e = F.from_json(F.col(payload), EVENT)
+    rows = events.withColumn("_e", e).withColumn("_text", _is_text_event("_e"))
+    kind = F.when(F.col("_e.type") == "content_block_stop", "stop").when(
+        F.col("_e.type") == "message_stop", "end").when(
+        F.col("_text"), "text").otherwise("other")
+    return _restored_by_scope(rows.select(
+        F.coalesce(F.col(scope).cast("string"), F.lit("")).alias("scope"),
+        F.coalesce(F.col("stream_id").cast("string"), F.lit("")).alias("stream_id"),
+        F.lit(0).alias("lane"), F.coalesce("_e.index", F.lit(0)).alias("block"),
+        F.col("seq").cast("long").alias("seq"), kind.alias("kind"),
+        F.col("_e.delta.text").alias("delta"), F.col(payload).alias("payload"),
+    ), mapping, idle_seconds, True)
 
 
 def restore_deltas(events: DataFrame, mapping: DataFrame) -> DataFrame:

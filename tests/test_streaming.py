@@ -1,11 +1,14 @@
 import itertools
+import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from maskwright.plans.scrub import scrub
 from maskwright.streaming.restore import (
-    compile_mapping, decide, delta_events, other_events, restore_deltas, restore_stream, use_rocksdb,
+    compile_mapping, decide, delta_events, other_events, restore_deltas, restore_events, restore_stream,
+    use_rocksdb,
 )
 from maskwright.streaming.scrub import scrub_conversation_stream
 
@@ -88,3 +91,81 @@ def test_streamed_scrub(spark, tmp_path):
     got = {(r.conv_id, r.turn): r.scrubbed for r in chats.collect()}
     assert len(got) == 3 and not [t for t in got.values() if "jola@x.com" in t]
     assert got["a", 1].split(" ")[0] == got["a", 0].split(" ")[-1]
+
+
+def delta(text, block=0, spaced=False):
+    event = {"type": "content_block_delta", "index": block, "delta": {"type": "text_delta", "text": text}}
+    return json.dumps(event, indent=1 if spaced else None)
+
+
+def event_rows():
+    """Two blocks that alternate, other events between them, and a stream that ends without a stop."""
+    stop = json.dumps({"type": "content_block_stop", "index": 0})
+    twice = '{"type":"content_block_delta","delta":{"type":"text_delta","text":"Avery","text":"Quinn"}}'
+    s1 = ['{"type":"message_start"}', delta(TEXT[:5]), delta(TEXT[:9], 1), "not json", delta(TEXT[5:30], 0, True),
+          None, delta(TEXT[9:], 1), twice, delta(TEXT[30:]), stop, delta("Quinn", 0), '{"type":"message_stop"}', "last"]
+    s2 = [delta("Avery Hart"), delta("ley"), '{"type":"message_stop"}']
+    return [("s1", k, p) for k, p in enumerate(s1)] + [("s2", k, p) for k, p in enumerate(s2)], s1
+
+
+def test_event_stream_keeps_order(spark, tmp_path):
+    rows, s1 = event_rows()
+    rows += [("s1", 1, "again"), ("s1", None, "no number"), (None, 0, delta("Avery"))]
+    late = {("s1", 1), ("s1", None)}
+    first, rest = rows[:4], rows[4:]
+    random.Random(5).shuffle(rest)
+    schema, source = "stream_id string, seq long, payload string", str(tmp_path / "in")
+    for part in [first] + [rest[i:i + 3] for i in range(0, len(rest), 3)]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.01)
+    pairs = spark.createDataFrame(MAPPING + [("s2", *p[1:]) for p in MAPPING], "scope string, real string, fake string")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    out = run(spark, restore_events(stream, pairs), "events", tmp_path).collect()
+    assert {(r.stream_id, r.seq) for r in out if r.kind == "late"} == late
+    sent = sorted((r for r in out if r.kind != "late"), key=lambda r: (r.stream_id, r.seq, r.part))
+    assert len({(r.stream_id, r.seq, r.part) for r in sent}) == len(sent)
+    texts = {}
+    for r in sent:
+        if r.kind == "text":
+            event = json.loads(r.payload)
+            key = r.stream_id, event["index"]
+            texts[key] = texts.get(key, "") + event["delta"]["text"]
+    assert texts == {("s1", 0): WANT + "Avery Hartley", ("s1", 1): WANT, ("s2", 0): "Jola Whitfield", ("", 0): "Avery"}
+    assert [r.payload for r in sent if r.stream_id == "s1" and r.kind != "text"] == [
+        s1[k] for k in (0, 3, 7, 9, 11, 12)]
+    assert [r.seq for r in sent if r.stream_id == "s1" and r.part == 0] == [k for k in range(13) if k != 5]
+    spaced = next(r for r in sent if r.stream_id == "s1" and r.seq == 4)
+    assert "\n" in spaced.payload  # only the literal changes
+
+
+def test_map_is_sent_once(spark, tmp_path):
+    pairs = spark.createDataFrame(MAPPING, "scope string, real string, fake string")
+    frame = spark.createDataFrame([], EVENTS)
+    frame.write.parquet(str(tmp_path / "none"))
+    stream = restore_stream(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "none")), pairs)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan
+
+
+def test_maps_that_arrive_and_silence(spark, tmp_path):
+    """A streamed map; a scope that falls silent is flushed, holes and all."""
+    use_rocksdb(spark)
+    maps, source = str(tmp_path / "maps"), str(tmp_path / "in")
+    schema = "stream_id string, seq long, payload string"
+    spark.createDataFrame(MAPPING, "scope string, real string, fake string").coalesce(1).write.parquet(maps)
+    rows = [("s1", 0, delta("Ask Ave")), ("s1", 1, delta("ry")), ("s1", 3, "behind a hole"), ("x", 0, delta("Avery"))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    pairs = spark.readStream.schema("scope string, real string, fake string").parquet(maps)
+    stream = spark.readStream.schema(schema).parquet(source)
+    query = (restore_events(stream, pairs, idle_seconds=2).writeStream.format("memory").queryName("silent")
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start())
+    try:
+        until = time.time() + 120
+        while time.time() < until and spark.table("silent").where("not complete").isEmpty():
+            time.sleep(1)
+        got = sorted((r for r in spark.table("silent").collect()), key=lambda r: (r.stream_id, r.seq, r.part))
+    finally:
+        query.stop()
+    text = "".join(json.loads(r.payload)["delta"]["text"] for r in got if r.kind == "text" and r.stream_id == "s1")
+    assert text == "Ask Noora"
+    assert [(r.payload, r.complete) for r in got if r.kind == "other"] == [("behind a hole", False)]
