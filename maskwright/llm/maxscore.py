@@ -10,7 +10,8 @@ from ..storage import cut_lineage
 
 BLOCK = 8_192
 QUERY_BLOCK = 2_048
-SAMPLE = 256
+STEP = 8
+SEED = 256
 
 
 class Shard:
@@ -22,32 +23,58 @@ class Shard:
         self.low = values.min(axis=0) if len(values) else None
         self.high = values.max(axis=0) if len(values) else None
 
-    def top(self, row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of at least the ``k`` best other vectors.
-
-        A term adds at most ``bound[t]``.  Terms are taken by falling bound; what
-        the terms from some point on can add stays below the threshold for the
-        non-essential ones.  A vector is probed on while its score so far and the
-        bounds ahead reach the threshold, the ``k``-th best score known.
+    def _kth(self, query: np.ndarray, some: np.ndarray, k: int, floor):
+        """``floor``, raised to the ``k``-th best whole score of ``some`` vectors."""
+        if len(some) < k:
+            return floor
+        known = np.partition(query @ self.terms[:, some], len(some) - k)[len(some) - k]
+        return known if floor is None else max(floor, known)
+
+    def top(self, row: int, query: np.ndarray, k: int, floor=None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the other vectors that are among the ``k`` best here.
+
+        ``floor`` is a score that ``k`` vectors are known to reach; lower ones may be
+        left out.  A term gives a vector between ``least[t]`` and ``most[t]``.  Terms
+        are taken by falling spread.  The last ones are non-essential: a vector with
+        no more than the least from all others cannot reach the floor by them.  The
+        postings of the essential terms are traversed for all vectors, then the floor
+        is raised by the whole scores of the best so far, and the other terms are
+        probed for vectors that can still reach it, a few terms at a time.
         """
-        bound = np.maximum(query * self.low, query * self.high)
-        order = np.argsort(-bound, kind="stable")
-        ahead = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])
+        ends = query * self.low, query * self.high
+        least, most = np.minimum(*ends), np.maximum(*ends)
+        order = np.argsort(least - most, kind="stable")
+        ahead = np.concatenate([np.cumsum(most[order][::-1])[::-1], [0]])
         own = self.rows == row
-        some = np.flatnonzero(~own)[:SAMPLE]
-        threshold = None
-        if len(some) >= k:
-            known = query @ self.terms[:, some]
-            threshold = np.partition(known, len(known) - k)[len(known) - k]
         alive = np.flatnonzero(~own)
-        score = np.zeros(len(alive), self.terms.dtype)
-        block = self.terms[:, alive] if own.any() else self.terms
-        for step, t in enumerate(order):
-            score += query[t] * block[t]
-            if threshold is not None and step % 8 == 7:
-                keep = score + ahead[step + 1] >= threshold
-                if keep.sum() < 0.7 * len(alive):
-                    alive, score, block = alive[keep], score[keep], block[:, keep]
+        first = order[:STEP]
+        score = query[first] @ self.terms[first]
+        done = len(first)
+        if len(alive) >= k:
+            floor = self._kth(query, self._best(score, alive, SEED), k, floor)
+        if floor is not None:
+            below = np.concatenate([[0], np.cumsum(least[order])])
+            essential = int(np.argmax(below + ahead < floor)) if (below + ahead < floor).any() else len(order)
+        else:
+            essential = len(order)
+        if essential > done:
+            more = order[done:essential]
+            score = score + query[more] @ self.terms[more]
+            done = essential
+            if floor is not None and done < len(order):
+                floor = self._kth(query, self._best(score, alive, max(k, SEED // 4)), k, floor)
+        score = score[alive] if len(alive) < len(score) else score
+        while True:
+            if floor is not None:
+                keep = score + ahead[done] >= floor
+                if done == len(order) or keep.sum() < 0.7 * len(alive):
+                    alive, score = alive[keep], score[keep]
+            if done == len(order):
+                break
+            more = order[done:done + STEP]
+            postings = self.terms[more] if len(alive) == len(own) else self.terms[more[:, None], alive]
+            score = score + query[more] @ postings
+            done += len(more)
         if len(score) > k:
             last = np.partition(score, len(score) - k)[len(score) - k]
             keep = score >= last
@@ -56,6 +83,12 @@ class Shard:
             alive, score = alive[best], score[best]
         return alive, score
 
+    @staticmethod
+    def _best(score: np.ndarray, alive: np.ndarray, n: int) -> np.ndarray:
+        if len(alive) <= n:
+            return alive
+        return alive[np.argpartition(score[alive], len(alive) - n)[len(alive) - n:]]
+
 
 def _matrix(ids: pa.Array, values: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     flat = values.flatten().flatten().to_numpy(zero_copy_only=False)
@@ -81,7 +114,9 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 10, scale: in
 
     Rows are dealt into blocks by number.  Every block of queries meets every block
     of candidates once, as one row of packed arrays, so a task's memory is one pair
-    of blocks; each pair keeps ``k`` rows per query, merged by rank at the end.
+    of blocks.  The first block of candidates comes first: the ``k``-th score that a
+    query finds there is its floor in all others.  Each pair keeps at most ``k`` rows
+    per query, merged by rank at the end.
     """
     x = F.col(vector).cast("array<double>")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -91,20 +126,15 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 10, scale: in
         "id", "asks", F.transform("x", lambda v: F.floor(scale * v).cast("long")).alias("v"),
         F.size("x").alias("dim"), F.monotonically_increasing_id().alias("row"))
     rows = cut_lineage(rows, "vectors")
-    counts = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).orderBy(F.desc("n")).limit(1000).collect()}
-    most, asked = max((n for n, _ in counts.values()), default=0), max((q for _, q in counts.values()), default=0)
-    shards, parts = max(1, -(-most // block)), max(1, -(-asked // query_block))
+    counts = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"))
+    most, asked = counts.agg(F.max("n"), F.max("q")).first()
+    shards, parts = max(1, -(-(most or 0) // block)), max(1, -(-(asked or 0) // query_block))
 
-    def packed(some: DataFrame, pieces: int, name: str) -> DataFrame:
+    def packed(some: DataFrame, pieces: int, name: str, *more: str) -> DataFrame:
         dealt = some.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(pieces)).cast("int"))
-        return dealt.groupBy("dim", name).agg(F.collect_list(F.struct("row", "id", "v")).alias(f"{name}s"))
+        return dealt.groupBy("dim", name).agg(F.collect_list(F.struct("row", "id", "v", *more)).alias(f"{name}s"))
 
-    asks = packed(rows.where("asks"), parts, "part").withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = asks.join(packed(rows, shards, "shard"), ["dim", "shard"])
-    pairs = pairs.select("dim", *[F.col(f"{side}.{f}").alias(f"{side}_{f}")
-                                  for side in ("parts", "shards") for f in ("row", "id", "v")])
+    candidates = packed(rows, shards, "shard")
     kind = vectors.schema[key].dataType.simpleString()
     schema = f"query_row long, query_id {kind}, `{key}` {kind}, score long"
 
@@ -114,8 +144,9 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 10, scale: in
                 batch = whole.slice(i, 1)
                 dim = batch.column(0)[0].as_py()
                 rows_q, q = _matrix(batch.column(1), batch.column(3), dim)
-                rows_c, c = _matrix(batch.column(4), batch.column(6), dim)
-                ids_q, ids_c = batch.column(2).flatten(), batch.column(5).flatten()
+                floors = batch.column(4).flatten().to_pylist()
+                rows_c, c = _matrix(batch.column(5), batch.column(7), dim)
+                ids_q, ids_c = batch.column(2).flatten(), batch.column(6).flatten()
                 order = ids_c.to_numpy(zero_copy_only=False) if not ids_c.null_count else \
                     np.array([(v is None, v if v is not None else 0) for v in ids_c.to_pylist()],
                              [("null", "?"), ("id", object if ids_c.type == pa.string() else "i8")])
@@ -126,14 +157,29 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 10, scale: in
                     q, c = q.astype(float), c.astype(float)
                 shard = Shard(rows_c, order, c)
                 for j in range(len(q)):
-                    places, score = shard.top(int(rows_q[j]), q[j], k)
+                    places, score = shard.top(int(rows_q[j]), q[j], k, floors[j])
                     n = len(places)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, rows_q[j])), ids_q.take(pa.array(np.full(n, j))),
                          ids_c.take(pa.array(places)), pa.array(score.astype(np.int64))],
                         names=["query_row", "query_id", key, "score"])
 
-    best = pairs.mapInArrow(run, schema)
+    def met(asks: DataFrame, first: int, last: int) -> DataFrame:
+        """What the queries find in the blocks ``first`` to ``last``."""
+        asks = packed(asks, parts, "part", "floor").withColumn(
+            "shard", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        pairs = asks.join(candidates, ["dim", "shard"]).select(
+            "dim", *[F.col(f"parts.{f}").alias(f"parts_{f}") for f in ("row", "id", "v", "floor")],
+            *[F.col(f"shards.{f}").alias(f"shards_{f}") for f in ("row", "id", "v")])
+        return pairs.mapInArrow(run, schema)
+
+    asks = rows.where("asks")
+    best = met(asks.withColumn("floor", F.lit(None).cast("long")), 0, 0)
+    if shards > 1:
+        best = cut_lineage(best, "first-block")
+        floors = best.groupBy(F.col("query_row").alias("row")).agg(
+            F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        best = best.unionByName(met(asks.join(floors, "row", "left"), 1, shards - 1))
     in_order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last(key))
     best = best.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", key, "score")

@@ -18,7 +18,7 @@ from maskwright.llm.chat_format import content_parts, format_chats, loss_text, r
 from maskwright.llm.components import components
 from maskwright.llm.jaccard import link_near_copies
 from maskwright.llm.line_dedup import remove_later_lines
-from maskwright.llm.maxscore import nearest_vectors
+from maskwright.llm.maxscore import Shard, nearest_vectors
 from maskwright.llm.packing import BestFit, pack_scrubbed
 from maskwright.llm.quality import good_texts, quality_rules
 from maskwright.llm.secret_scan import (
@@ -507,6 +507,24 @@ def test_maxscore(spark):
     assert nearest_vectors(df.limit(0), F.col("vec_id") > 0).count() == 0
 
 
+@pytest.mark.parametrize("dtype", [float, np.int64])
+def test_shard_finds_the_best_above_any_floor(dtype):
+    """Floors that are null, low, between the ranks and at the last rank; ties by id."""
+    rng = np.random.default_rng(6)
+    for trial in range(60):
+        n, dim, k = (int(rng.integers(1, m)) for m in (400, 40, 12))
+        width = 5 if trial % 2 else 900
+        x = rng.integers(-width, width, (n, dim)).astype(dtype)
+        shard, q = Shard(np.arange(n), rng.permutation(n), x), int(rng.integers(0, n))
+        full = x @ x[q]
+        best = [c for c in np.lexsort((shard.ids, -full)) if c != q][:k]
+        for floor in {None, -10**7, *(int(full[c]) for c in (best[-1:] + best[len(best) // 2:][:1]))}:
+            places, score = shard.top(q, x[q], k, floor)
+            got = [c for _, _, c in sorted(zip(-score, shard.ids[places], places))]
+            want = [c for c in best if floor is None or full[c] >= floor]
+            assert got[:len(want)] == want and (score == full[places]).all()
+
+
 def test_toxicity(spark, docs, nothing):
     rng = np.random.default_rng(4)
     rows = []
