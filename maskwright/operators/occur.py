@@ -7,9 +7,12 @@ the whole map of its scope and no list of a scope's pairs is built.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import let
+from ..storage import cut_lineage
 
 TOKEN = "[A-Za-z0-9]+"
 CORE = "(?s)[A-Za-z0-9](?:.*[A-Za-z0-9])?"
@@ -34,9 +37,9 @@ def attach_stand_ins(
 ) -> DataFrame:
     """The same for restoring, where a stand-in may start inside a token.
 
-    Scopes with at most ``inline`` pairs hand their list, salted, to their texts;
-    larger ones are joined on substrings.  Restoring drops pairs that do not
-    occur, so texts come out the same either way.
+    Scopes with at most ``inline`` pairs hand their list, salted, to their texts; for
+    larger ones the texts are probed for hashes of stand-ins.  Restoring drops pairs
+    that do not occur, so texts come out the same either way.
     """
     counts = pairs.groupBy("scope").agg(F.count(F.lit(1)).alias("_n"))
     large = counts.where(F.col("_n") > inline).select("scope")
@@ -53,13 +56,11 @@ def attach_stand_ins(
     few = handed(salted.join(large, "scope", "left_anti"))
     many = texts.join(large, "scope", "left_semi")
     wanted = pairs.join(large, "scope", "left_semi")
-    found = occurring_pairs(many.select("scope", *keys, text), wanted, keys, text, False)
-    return few.unionByName(many.join(found, ["scope", *keys], "left"))
+    return few.unionByName(_probe_stand_ins(many, wanted, keys, text))
 
 
 def occurring_pairs(
     texts: DataFrame, pairs: DataFrame, keys: list[str], text: str = "text",
-    whole_token: bool = True,
 ) -> DataFrame:
     """``(scope, keys, pairs)`` with every pair whose ``find`` may occur in the text.
 
@@ -72,8 +73,6 @@ def occurring_pairs(
     parsed = pairs.select(
         "scope", "find", "put", F.regexp_extract("find", CORE, 0).alias("core")
     )
-    if not whole_token:
-        return _by_substring(texts, parsed, id_cols, text)
     cored = parsed.where(F.col("core") != "")
     heads = cored.groupBy("scope", F.regexp_extract("core", TOKEN, 0).alias("head")).agg(
         F.collect_set(F.size(F.regexp_extract_all("core", F.lit(TOKEN), F.lit(0)))).alias("ns")
@@ -129,45 +128,97 @@ def _substring_hits(texts, pairs, id_cols, text) -> DataFrame:
     )
 
 
-def _by_substring(texts, pairs, id_cols, text) -> DataFrame:
-    """Matches without token edges (restoring): a find may start anywhere.
+LEAD = 64
+PIECE = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+MIXES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
-    Its first four characters are matched first, then the whole of it only for
-    the lengths of finds with that beginning.
+
+class Probe:
+    """Rolling hashes of the windows of a text, tested against a set of bits.
+
+    A window's hash is the sum of its code points times powers of an odd base modulo
+    2**64, taken from prefix sums; it does not depend on what lies around the window.
     """
-    width = 4
-    lead = F.substring("find", 1, width)
-    long_enough = pairs.where(F.length("find") >= width)
-    leads = long_enough.groupBy("scope", lead.alias("lead")).agg(
-        F.collect_set(F.length("find")).alias("ns")
-    )
-    t = F.col(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1)))
-    cuts = texts.select(
-        *id_cols,
-        F.explode_outer(
-            F.array_distinct(F.transform(starts, lambda i: t.substr(i, F.lit(width))))
-        ).alias("lead"),
-    )
-    fitting = cuts.join(leads, ["scope", "lead"]).groupBy(*id_cols).agg(
-        F.map_from_entries(F.collect_list(F.struct("lead", "ns"))).alias("_leads")
-    )
-    found = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.element_at("_leads", t.substr(i, F.lit(width))), lambda n: t.substr(i, n)
-        ),
-    )
-    grams = texts.join(fitting, id_cols).select(
-        *id_cols,
-        F.explode_outer(
-            F.array_distinct(F.flatten(F.filter(found, lambda a: a.isNotNull())))
-        ).alias("find"),
-    )
-    hits = grams.join(long_enough.select("scope", "find", "put"), ["scope", "find"]).select(
-        *id_cols, "find", "put"
-    )
-    short = pairs.where(F.length("find") < width)
-    if not short.isEmpty():
-        hits = hits.unionByName(_substring_hits(texts, short, id_cols, text))
-    return hits.groupBy(*id_cols).agg(F.collect_list(F.struct("find", "put")).alias("pairs"))
+
+    def __init__(self, bits: int, lengths: list[int]):
+        self.bits, self.lengths = bits, lengths
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) <= n:
+            self.up, self.down = (
+                np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, b, np.uint64))])
+                for b in (BASE, pow(BASE, -1, 1 << 64)))
+
+    def places(self, text: str, scope: int):
+        """``(start, length, places of its bits)`` for all windows of each length, in pieces."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        self._powers(min(len(codes), PIECE + LEAD))
+        mask = np.uint64(int(scope) & 0xFFFFFFFFFFFFFFFF)
+        for start in range(0, len(codes), PIECE):
+            piece = codes[start:start + PIECE + LEAD]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(piece * self.up[:len(piece)])])
+            for n in self.lengths:
+                here = min(len(piece) - n + 1, PIECE)
+                if here <= 0:
+                    continue
+                h = (sums[n:n + here] - sums[:here]) * self.down[:here] ^ mask
+                h ^= h >> np.uint64(29)
+                yield start, n, [(h * np.uint64(mix)) >> np.uint64(64 - self.bits) for mix in MIXES]
+
+    def found(self, text: str, scope: int, words: np.ndarray) -> list[str]:
+        """Distinct windows of the text whose bits are all set."""
+        out = set()
+        for start, n, (first, second) in self.places(text, scope):
+            hit = np.flatnonzero(_is_set(words, first))
+            hit = hit[_is_set(words, second[hit])] + start
+            out.update(text[i:i + n] for i in hit.tolist())
+        return sorted(out)
+
+
+def _is_set(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (words[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _probe_stand_ins(texts: DataFrame, pairs: DataFrame, keys: list[str], text: str, max_bits: int = 27) -> DataFrame:
+    """Texts with the ``pairs`` of large scopes that may occur in them, anywhere.
+
+    Every stand-in, or its first 64 characters, is hashed into a set of bits: 16 bits
+    a stand-in and 2**``max_bits`` at most (16 MB), which every task gets.  All
+    windows of a text of the lengths that stand-ins have are tested against it where
+    the text lies; only windows that pass are joined, and only texts with one are
+    shuffled.  Windows that pass by chance, more of them once the set is full,
+    meet no pair in the join.
+    """
+    id_cols = ["scope", *keys]
+    pairs = cut_lineage(pairs.where("find <> ''").select(
+        "scope", "find", "put", F.substring("find", 1, LEAD).alias("lead")), "stand-ins")
+    sizes = pairs.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("lead")).alias("ns")).first()
+    bits = min(max(10, (16 * sizes["n"]).bit_length()), max_bits)
+    probe = Probe(bits, sorted(sizes["ns"]))
+
+    @F.pandas_udf("array<long>")
+    def bit_places(leads: pd.Series, scopes: pd.Series) -> pd.Series:
+        alone = {n: Probe(bits, [n]) for n in probe.lengths}
+        return pd.Series([
+            [int(p[0]) for _, _, both in alone[len(t)].places(t, s) for p in both] for t, s in zip(leads, scopes)])
+
+    place = F.explode(bit_places("lead", F.xxhash64("scope")))
+    set_bits = pairs.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("mask")).toPandas()
+    words = np.zeros(1 << bits - 6, np.uint64)
+    words[set_bits["word"].to_numpy(np.int64)] = set_bits["mask"].to_numpy(np.int64).view(np.uint64)
+    handed = texts.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("array<string>")
+    def windows(values: pd.Series, scopes: pd.Series) -> pd.Series:
+        return pd.Series([probe.found(t, s, handed.value) if t else [] for t, s in zip(values, scopes)])
+
+    probed = cut_lineage(texts.withColumn("_leads", windows(text, F.xxhash64("scope"))), "probed")
+    with_some = probed.where(F.size("_leads") > 0)
+    hits = with_some.select(*id_cols, F.explode("_leads").alias("lead")).join(pairs, ["scope", "lead"])
+    found = hits.groupBy(*id_cols).agg(F.collect_list(F.struct("find", "put")).alias("pairs"))
+    joined = with_some.drop("_leads").join(found, id_cols, "left")
+    none = probed.where(F.size("_leads") == 0).drop("_leads")
+    return joined.unionByName(none.withColumn("pairs", F.lit(None).cast(joined.schema["pairs"].dataType)))

@@ -188,3 +188,54 @@ def test_payload(spark):
         "x.error", restore_text(F.col("x.text"), F.col("x.mapping")).alias("t")).collect()
     assert rows[0].t == "Ask Jola Whitfield and Avery, then Avery Hartley, Noora."
     assert rows[1].error == "no separator" and rows[2].error is not None
+
+
+def test_large_map_is_probed(spark):
+    """A map of 100,000 pairs: only texts that hold a stand-in are joined, wherever it starts."""
+    from maskwright.operators.occur import attach_stand_ins
+
+    n = 100_000
+    long = "x" * 70
+    pairs = spark.range(n).select(
+        F.lit("all").alias("scope"), F.concat(F.lit("real"), "id").alias("real"),
+        F.when(F.col("id") % 1000 == 0, F.concat(F.lit(long), "id")).when(F.col("id") % 3 == 0, F.concat(F.lit("Åsa😀 "), "id"))
+        .otherwise(F.concat(F.lit("Avery "), "id")).alias("fake"))
+    mapping = {r.fake: r.real for r in pairs.collect()}
+    texts = [f"Avery said {i} things, Åsa😀 too" for i in range(300)]
+    texts += [f"notAvery {i * 31 % n}0 and Åsa😀 {i * 3}!" for i in range(100)]
+    texts += [None, "", "Avery 4", long + "5000" + long, "a" * 300_000 + "Avery 7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, scrubbed string").withColumn("lead", F.lit(1))
+    got = {r.doc_id: r.restored for r in restore(df, pairs, None, ["doc_id"]).collect()}
+    longest = max(map(len, mapping))
+
+    def want(text):
+        out, at = "", 0
+        while at < len(text):
+            found = next((text[at:at + k] for k in range(min(longest, len(text) - at), 0, -1)
+                          if text[at:at + k] in mapping), None) if text[at] in "AÅx" else None
+            out += mapping[found] if found else text[at]
+            at += len(found) if found else 1
+        return out
+
+    assert got == {i: None if t is None else want(t) for i, t in enumerate(texts)}
+    rows = df.withColumn("scope", F.lit("all"))
+    held = attach_stand_ins(rows, pairs.select("scope", F.col("fake").alias("find"), F.col("real").alias("put")),
+                            ["doc_id"], "scrubbed").collect()
+    assert all(r.pairs is None for r in held if r.doc_id < 300)
+    assert all(r.pairs for r in held if r.doc_id > 401)
+
+
+def test_probe_finds_windows_across_pieces(monkeypatch):
+    import numpy as np
+    from maskwright.operators import occur
+
+    monkeypatch.setattr(occur, "PIECE", 7)
+    scope, other = 0x5BD1E9955BD1E995, 0x27D4EB2F165667C5  # scopes come hashed
+    text, words = "the quick brown fox jumps over the lazy dog" * 3, np.zeros(1 << 10, np.uint64)
+    for lead in ("quick brown", "g", "dogthe"):
+        for _, _, both in occur.Probe(16, [len(lead)]).places(lead, scope):
+            for p in both:
+                words[int(p[0]) >> 6] |= np.uint64(1) << np.uint64(int(p[0]) & 63)
+    probe = occur.Probe(16, [1, 6, 11])
+    assert set(probe.found(text, scope, words)) == {"quick brown", "g", "dogthe"}
+    assert not probe.found(text, other, words)
